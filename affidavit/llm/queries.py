@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .byte_bpe import digests
+from .common import new_folder, table
 from .mixing import mix
 from .quality_rules import quality_rules
+from .simhash_dedup import simhash_components
+from .token_store import read_tokens, write_tokens
+from .url_filter import url_filter
+
+#: Where the public vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+#: The byte-level vocabulary's pattern, as its library states it.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Target weights of the registered mix; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5, "src3": 0.25}
@@ -66,6 +76,61 @@ from judged
 """
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), span=3, radius=2, least=None)
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages).select("page_id", "host", "path", "rule", "verdict", "pattern_rule")
+
+
+OP3_SQL = r"""
+with u as (
+    select page_id, coalesce(url, '') as url,
+           lower(regexp_extract(coalesce(url, ''), '^(?s).*?://([^/?#]*)', 1)) as host,
+           regexp_extract(coalesce(url, ''), '^(?s).*?://[^/?#]*([^?#]*)', 1) as path
+    from pages
+),
+rules(host, start, rule, verdict) as (
+    values ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
+           ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')
+),
+patterns(id, pattern) as (
+    values ('adult-host', '://([^/?#]*[.-])?adult([.-][^/?#]*)?([/?#]|$)'),
+           ('bets-host', '://([^/?#]*[.-])?free[.-]bets([.-][^/?#]*)?([/?#]|$)'),
+           ('casino-host', '://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)'),
+           ('pills-host', '://([^/?#]*[.-])?cheap[.-]pills([.-][^/?#]*)?([/?#]|$)'),
+           ('porn-host', '://([^/?#]*[.-])?porn([.-][^/?#]*)?([/?#]|$)'),
+           ('spam-host', '://([^/?#]*[.-])?spam[.-]farm([.-][^/?#]*)?([/?#]|$)'),
+           ('click-track', '[?&]adclick=[0-9]+'),
+           ('warez-path', '://[^?#]*/warez/')
+),
+fits as (
+    select u.*,
+           (select max({'n': length(r.host), 's': length(r.start), 'rule': r.rule, 'verdict': r.verdict}) from rules r
+            where (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.start)) as r,
+           (select min(p.id) from patterns p where regexp_matches(lower(u.url), p.pattern)) as pattern_rule
+    from u
+)
+select page_id, host, path, r.rule as rule,
+       coalesce(r.verdict, case when pattern_rule is not null then 'block' else 'allow' end) as verdict, pattern_rule
+from fits
+"""
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return read_tokens(spark, folder, value=("ids_crc32", "long", lambda ids: zlib.crc32(ids.tobytes())))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "source", "lang", "n_copies", "copy", "place", "text")
@@ -106,9 +171,13 @@ from copies
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_url_filter": op3_url_filter,
+        "op6_token_store": op6_token_store,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_mixing": OP10_SQL}
