@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import digests
 from .common import new_folder, table
+from .html_extract import extract
 from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash_dedup import simhash_components
@@ -127,6 +128,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, value=("ids_crc32", "long", lambda ids: zlib.crc32(ids.tobytes())))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
 
@@ -174,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_url_filter": op3_url_filter,
         "op6_token_store": op6_token_store,
+        "op7_html_extract": op7_html_extract,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mixing": op10_mixing,
     }
