@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import digests
 from .common import new_folder, table
 from .html_extract import extract
 from .mixing import mix
+from .quality_classifier import score, train
 from .quality_rules import quality_rules
 from .simhash_dedup import simhash_components
 from .token_store import read_tokens, write_tokens
@@ -122,6 +123,18 @@ from fits
 """
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no label is learned from."""
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
@@ -178,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_url_filter": op3_url_filter,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_token_store": op6_token_store,
         "op7_html_extract": op7_html_extract,
         "op9_byte_bpe": op9_byte_bpe,
