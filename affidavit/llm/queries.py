@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import digests
 from .common import new_folder, table
+from .embedding_dedup import near_vectors
 from .html_extract import extract
 from .mixing import mix
 from .quality_classifier import score, train
@@ -145,6 +146,10 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
 
@@ -194,6 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_store": op6_token_store,
         "op7_html_extract": op7_html_extract,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mixing": op10_mixing,
     }
