@@ -12,6 +12,7 @@ from .byte_bpe import digests
 from .common import new_folder, table
 from .embedding_dedup import near_vectors
 from .html_extract import extract
+from .license_scan import license_scan
 from .mixing import mix
 from .quality_classifier import score, train
 from .quality_rules import quality_rules
@@ -124,6 +125,76 @@ from fits
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/hundred/doc_id``; those that open or close with a notice are licence files."""
+    ends = F.lower(F.concat_ws("\n", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)))
+    place = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    name = F.when(
+        F.rlike(ends, F.lit("licensed|license|rights reserved")), F.concat(F.lit("LICENSE."), F.col("doc_id"))
+    ).otherwise(F.concat(F.floor(F.col("doc_id") / 100), F.lit("/"), F.col("doc_id")))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", place, name).alias("path"), "text")
+    return license_scan(files).select("doc_id", "path", "own_licence", "score", "licence", "licence_of")
+
+
+OP4_SQL = r"""
+with templates(template, licence, notice) as (
+    values (0, 'MIT', 'Released under the MIT License.'), (1, 'MIT', 'Licensed under the MIT License.'),
+           (2, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+           (3, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+           (4, 'GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
+           (5, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'), (6, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+           (7, 'CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+           (8, 'BSD-3-Clause', 'Licensed under the BSD 3-Clause License.'),
+           (9, 'MPL-2.0', 'This file is subject to the terms of the Mozilla Public License, version 2.0.'),
+           (10, 'proprietary', 'All rights reserved.')
+),
+files as (
+    select doc_id, coalesce(text, '') as text,
+           coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' ||
+           case when regexp_matches(lower(string_split(text, chr(10))[1] || chr(10) || string_split(text, chr(10))[-1]), 'licensed|license|rights reserved')
+                then 'LICENSE.' || doc_id else cast(floor(doc_id / 100) as bigint) || '/' || doc_id end as path
+    from documents
+),
+t_tokens as (
+    select template, licence, token, count(*) as tf
+    from (select template, licence, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+(?:[.][0-9]+)*')) as token from templates)
+    group by all
+),
+n_files as (select count(*) as n from files),
+d_tokens as (select distinct r, token from (select row_number() over () as r, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][0-9]+)*')) as token from files)),
+idf as (
+    select token, ln((1.0 + n) / (1 + k)) + 1 as idf
+    from (select t.token, count(d.r) as k from (select distinct token from t_tokens) t left join d_tokens d using (token) group by t.token), n_files
+),
+t_w as (select template, licence, token, tf * idf as w from t_tokens join idf using (token)),
+t_q as (select template, licence, token, w / sqrt(sum(w * w) over (partition by template)) as q from t_w),
+lines as (select distinct path, line from (select path, unnest(string_split(text, chr(10))) as line from files)),
+l_tokens as (
+    select line, token, count(*) as tf
+    from (select line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][0-9]+)*')) as token from (select distinct line from lines)) group by all
+),
+l_w as (select line, token, tf * coalesce(idf, ln(1.0 + n) + 1) as w from l_tokens cross join n_files left join idf using (token)),
+norms as (select line, sqrt(sum(w * w)) as norm from l_w group by line),
+scores as (
+    select line, licence, round(sum(w * q) / any_value(norm), 6) as score
+    from l_w join t_q using (token) join norms using (line) group by line, template, licence
+),
+own as (
+    select path, licence, score from lines join scores using (line) where score >= 0.8
+    qualify row_number() over (partition by path order by score desc, licence) = 1
+),
+votes as (
+    select dir, licence from (select regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, licence, count(*) as n from own
+                              where regexp_matches(path, '(^|/)LICENSE[.][^/]*$') group by all)
+    qualify row_number() over (partition by dir order by n desc, licence) = 1
+)
+select f.doc_id, f.path, o.licence as own_licence, o.score,
+       coalesce(o.licence, v.licence) as licence, case when o.licence is null then v.dir end as licence_of
+from files f left join own o using (path)
+left join votes v on v.dir = regexp_extract(f.path, '^([^/]*/[^/]*)/.*$', 1)
+"""
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that no label is learned from."""
     return F.crc32(F.col(key).cast("string")) % 5 == 0
@@ -196,6 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_license_scan": op4_license_scan,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_store": op6_token_store,
         "op7_html_extract": op7_html_extract,
@@ -206,4 +278,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_url_filter": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL}
