@@ -8,8 +8,8 @@ The rest are compared exactly by numpy exclusive-or and bit counts in tiles:
   the masks are all choices of 2 of ``radius + 2`` equal blocks: two
   fingerprints within the radius agree on one of them, so no link is lost.  For
   a larger radius that would need too many masks; bits are drawn at random, as
-  many as keep tiles small at the number of fingerprints at hand, and as many
-  masks as find a pair at the very radius with probability ``recall``.
+  many as keep tiles at a few hundred rows whatever the number of fingerprints,
+  and as many masks as find a pair at the very radius with probability ``recall``.
 * A tile of more than ``TILE`` rows is cut by population count, and a large
   count again by hash.  Each pair of such parts is a task of its own, but pairs
   whose counts differ by more than the radius are skipped: they can't link.
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from .common import forget, partitions, stored
 from .components import connected_components
 
 SEED = 42
-TILE = 256
+TILE = 1024
 #: Shingles that are hashed at once, so that a very long text needs little memory.
 CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -97,7 +98,7 @@ def masks(radius: int, n: int, recall: float) -> list[int]:
         cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
         blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(cuts)]
         return [a | b for a, b in itertools.combinations(blocks, 2)]
-    width = min(64 - radius, max(12, math.ceil(math.log2(max(n, 2))) - 6))
+    width = min(64 - radius, max(10, math.ceil(math.log2(max(n, 2))) - 8))
     agree = math.comb(64 - radius, width) / math.comb(64, width)
     rng = np.random.default_rng(SEED)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
@@ -232,7 +233,7 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, tex
 
 
 def simhash_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 10,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 13,
     least: float | None = 0.8, recall: float = 0.99,
 ) -> DataFrame:
     """(key, fp, component_id) for every row: the least key reachable over links.
@@ -258,15 +259,13 @@ def simhash_components(
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document left of each component, the one with the least key."""
-    ids = simhash_components(docs, key, text, **options)
-    kept = (
-        ids.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(f"`{key}`").alias("_key"))
-        .agg(F.count("*").alias("_n"))
+    ids, tag = simhash_components(docs, key, text, **options), f"_{uuid.uuid4().hex[:8]}"
+    kept = stored(
+        ids.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).groupBy(F.col(f"`{key}`").alias(tag)).agg(F.count("*").alias("n")),
+        "kept",
     )
-    kept = stored(kept, "kept")
-    match = F.col(f"`{key}`").eqNullSafe(F.col("_key"))
-    once = docs.join(kept.where("_n = 1"), match, "left_semi")
-    if kept.where("_n > 1").isEmpty():
+    match = F.col(f"`{key}`").eqNullSafe(F.col(tag))
+    once = docs.join(kept.where("n = 1").select(tag), match, "left_semi")
+    if kept.where("n > 1").isEmpty():
         return once
-    return once.unionByName(docs.join(kept.where("_n > 1"), match, "left_semi").dropDuplicates([key]))
+    return once.unionByName(docs.join(kept.where("n > 1").select(tag), match, "left_semi").dropDuplicates([key]))
