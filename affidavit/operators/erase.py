@@ -7,6 +7,7 @@ caller stores the new tables, deletes the old ones, and hands out the receipt.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,12 @@ def text_forms(forms: list[str]) -> list[str]:
 def form_pattern(forms: list[str]) -> str:
     """One alternation, longest first, that fits whole words only; vowels fit with their marks too."""
     loose = {"a": "[aàáâãäå]", "c": "[cç]", "e": "[eèéêë]", "i": "[iìíîï]", "n": "[nñ]", "o": "[oòóôõöø]", "u": "[uùúûü]", "y": "[yýÿ]"}
-    each = ["".join(r"\s+" if c.isspace() else loose.get(c.lower(), re.escape(c)) for c in re.sub(r"\s+", " ", f)) for f in text_forms(forms)]
+
+    def fits(c: str) -> str:
+        bare = unicodedata.normalize("NFKD", c)[0].lower().replace("ø", "o")
+        return r"\s+" if c.isspace() else loose.get(bare, re.escape(c))
+
+    each = ["".join(map(fits, re.sub(r"\s+", " ", f))) for f in text_forms(forms)]
     return r"(?iuU)(?<![\w.@-])(?:" + "|".join(each or ["(?!)"]) + r")(?![\w@-])"
 
 

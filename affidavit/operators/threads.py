@@ -90,7 +90,7 @@ def header_map(lines: DataFrame) -> DataFrame:
 def split_people(text: Column) -> Column:
     """Names of an address line: cut at ; and , outside of angle brackets."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[;,](?![^<]*>)")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda p: p != "")
 
 
 def cut_signature(lines: list[str], names: list[bool]) -> list[str]:

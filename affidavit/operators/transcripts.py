@@ -45,10 +45,10 @@ def transcript_documents(files: DataFrame) -> DataFrame:
     head = F.slice(F.split("content", "\n"), 1, HEAD_LINES)
 
     def value(key: str) -> Column:
-        found = F.filter(F.transform(head, F.trim), lambda s: F.startswith(s, F.lit(key + ":")))
+        found = F.filter(F.transform(head, lambda s: F.trim(s)), lambda s: F.startswith(s, F.lit(key + ":")))
         return F.when(F.size(found) > 0, F.trim(F.substring(F.element_at(found, -1), len(key) + 2, 10_000)))
 
-    people = F.filter(F.transform(F.split(F.coalesce(value("Attendees"), F.lit("")), "[;,]"), F.trim), lambda p: p != "")
+    people = F.filter(F.transform(F.split(F.coalesce(value("Attendees"), F.lit("")), "[;,]"), lambda s: F.trim(s)), lambda p: p != "")
     return files.where(kind_dir(F.col("path")) == "transcripts").select(
         doc_id(F.col("path")).alias("doc_id"), F.lit("transcript").alias("kind"), "path",
         F.coalesce(value("Meeting"), stem(F.col("path"))).alias("title"), value("Date").alias("date_text"),
