@@ -14,7 +14,8 @@ hash, so a source with a third of all rows is no hot partition.
 Defined cases: a null source is a source of its own; an unlisted one gets
 ``other`` (by default an equal share); a null or empty text counts one
 character; rows that repeat an id get the same number of copies each; an empty
-input gives an empty result; columns named as one of the added ones are replaced.
+input, or weights that are all zero, give an empty result; columns named as one
+of the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def rates(
     sums = sizes.agg(F.sum(weight).alias("all_weight"), F.sum("n_chars").alias("all_chars"))
     goal = F.lit(float(total)) if total is not None else F.col("all_chars").cast("double")
     return sizes.crossJoin(F.broadcast(sums)).select(  # one row
-        "source", "n_chars", (weight / F.col("all_weight") * goal / F.col("n_chars")).alias("rate")
+        "source", "n_chars", (F.coalesce(F.try_divide(weight, F.col("all_weight")), F.lit(0.0)) * goal / F.col("n_chars")).alias("rate")
     )
 
 
