@@ -44,6 +44,8 @@ from .simhash_dedup import spanning_forest
 LEAST, RECALL, AUDITED, TRIES = 0.95, 0.99, 1000, 3
 #: Rows of a tile on average and at most, of a part of a component, neighbours of a list at first and at most, rounds.
 MEAN_TILE, TILE, PART, K, MOST_K, ROUNDS, NEW = 64, 256, 1024, 6, 24, 4, 0.001
+#: Rows of a result batch.
+SENT = 8192
 log = logging.getLogger(__name__)
 
 
@@ -80,27 +82,40 @@ def by_unit(df: DataFrame, work: Callable[[pa.Table], dict | None], schema: str)
     """Deals rows out by the column unit and applies ``work`` to the rows of each unit."""
     dealt = df.repartition(partitions(df.sparkSession), "unit").sortWithinPartitions("unit")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
             unit = b.column("unit").to_numpy()
             if not len(unit):
                 continue
             if rest and rest[-1].column("unit")[0].as_py() != unit[0]:
-                yield from done(pa.Table.from_batches(rest))
+                yield pa.Table.from_batches(rest)
                 rest = []
             cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 rest.append(b.slice(i, j - i))
                 if j < len(unit):
-                    yield from done(pa.Table.from_batches(rest))
+                    yield pa.Table.from_batches(rest)
                     rest = []
         if rest:
-            yield from done(pa.Table.from_batches(rest))
+            yield pa.Table.from_batches(rest)
 
-    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if found := work(rows.combine_chunks()):
-            yield pa.RecordBatch.from_pydict(found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results go out in batches of many units: a batch for each would cost more than the work."""
+        out: list[dict] = []
+        size = 0
+        for rows in units(batches):
+            if found := work(rows.combine_chunks()):
+                out.append(found)
+                size += len(next(iter(found.values())))
+            if size >= SENT:
+                yield joined(out)
+                out, size = [], 0
+        if out:
+            yield joined(out)
+
+    def joined(parts: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({c: pa.concat_arrays([p[c] for p in parts]) for c in parts[0]})
 
     return dealt.mapInArrow(run, schema)
 
