@@ -51,12 +51,9 @@ TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
 ADDED = ("licence", "score", "licence_of", "own_licence")
 
 
-def low(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(low(text), F.lit(TOKEN), F.lit(0))
+    """Runs of ASCII letters and digits, with decimal parts, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN.replace("a-z", "A-Za-z")), F.lit(0)), lambda t: F.lower(t))
 
 
 def idf(n_files: int, n_with: int) -> float:
@@ -66,7 +63,7 @@ def idf(n_files: int, n_with: int) -> float:
 def frequencies(files: DataFrame, text: str, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """The number of files, and of those that hold each token of the templates."""
     known = sorted({t for _, notice in templates for t in re.findall(TOKEN, notice.lower())})
-    held = F.array_intersect(tokens(F.col(f"`{text}`")), F.array(*[F.lit(t) for t in known]))
+    held = F.array_intersect(tokens(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.array(*[F.lit(t) for t in known]))
     counts = files.select(F.explode(F.array_append(held, F.lit(""))).alias("t")).groupBy("t").count()
     found = {r["t"]: r["count"] for r in counts.collect()}  # a row for each token of the templates
     return found.get("", 0), {t: found.get(t, 0) for t in known}
@@ -135,12 +132,12 @@ def license_scan(
     tag = uuid.uuid4().hex[:8]
     n, df = frequencies(files, text, templates)
     vectors = template_vectors(n, df, templates)
-    needed = F.lit("|".join(re.escape(t) for t in heavy_tokens(vectors, least)))
+    needed = F.lit(f"(?i)(?<![a-z0-9])(?:{'|'.join(re.escape(t) for t in heavy_tokens(vectors, least))})(?![a-z0-9])")
     column = F.col(f"`{text}`")
     found = stored(
-        files.where(F.rlike(low(column), needed)).select(
+        files.where(F.rlike(column, needed)).select(
             F.col(f"`{path}`").alias("path"),
-            F.explode(F.array_distinct(F.filter(F.split(column, "\n"), lambda s: F.rlike(low(s), needed)))).alias("line"),
+            F.explode(F.array_distinct(F.filter(F.split(column, "\n"), lambda s: F.rlike(s, needed)))).alias("line"),
         ),
         "lines",
     )
