@@ -30,6 +30,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -46,7 +47,7 @@ from .common import partitions
 
 #: Documents that the dictionary is trained on at most, ids of each, and the dictionary's bytes.
 SAMPLE, SAMPLE_IDS, DICTIONARY = 2000, 8192, 64 << 10
-CACHED, RUN, LEVEL, FLUSH = 400_000, 1 << 20, 3, 4 << 20
+CACHED, RUN, LEVEL, FLUSH = 600_000, 1 << 20, 1, 4 << 20
 #: Characters that only one of Python and the tokenizer's patterns takes for white space.
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
@@ -60,14 +61,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            pieces = json.load(f)["pre_tokenizer"]["pretokenizers"]
+            spec = json.load(f)
+        pieces = spec["pre_tokenizer"]["pretokenizers"]
+        specials = [t["content"] for t in spec["added_tokens"]]
+        self.lower = any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]) and specials == [t.lower() for t in specials]
         if not (pieces[0]["type"] == "Split" and pieces[0]["invert"] and pieces[0]["behavior"] == "Removed"):
             raise ValueError("this vocabulary may keep white space in its tokens")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of the words into the cache; what a full cache held stays until the next one is full."""
+        if len(self.cache) > CACHED:
+            self.cache, self.older = {}, self.cache
+        new = words - self.cache.keys()
+        known = new & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
+        new = list(new - known)
+        # the vocabulary is of lower case; beyond ASCII the tokenizer's own rules may differ from Python's
+        plain = [w.lower() if w.isascii() else w for w in new] if self.lower else new
+        once = list(dict.fromkeys(plain))
+        ids = dict(zip(once, self.whole(once), strict=True))
+        self.cache.update(zip(new, map(ids.__getitem__, plain), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,10 +100,7 @@ class WordEncoder:
                 size += len(texts[end])
                 end += 1
             runs = [None if _UNSURE.search(t) else t.split() for t in texts[k:end]]
-            if len(self.cache) > CACHED:
-                self.cache = {}
-            new = list(set().union(*[r for r in runs if r is not None]) - self.cache.keys())
-            self.cache.update(zip(new, self.whole(new), strict=True))
+            self.learn(set().union(*[r for r in runs if r is not None]))
             get = self.cache.__getitem__
             for text, words in zip(texts[k:end], runs, strict=True):
                 yield self.whole([text])[0] if words is None else b"".join(map(get, words))
@@ -121,10 +137,11 @@ def get(folder: str, name: str) -> bytes:
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> bytes:
     """The dictionary from the sampled documents, which are those of least hash."""
-    sample = docs.where(F.col(f"`{text}`").isNotNull()).select(
-        F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h")
-    )
-    ids = sample.orderBy("h").limit(SAMPLE).mapInArrow(_sampled(path, end_id), "ids binary")
+    named = docs.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("text"))
+    # the ids are drawn first and the texts fetched then, so that only sampled texts leave their tasks
+    drawn = docs.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h")).distinct().orderBy("h").limit(SAMPLE)
+    sample = named.join(F.broadcast(drawn), "h", "left_semi").where("text is not null").select("text").limit(SAMPLE)
+    ids = sample.mapInArrow(_sampled(path, end_id), "ids binary")
     found = [bytes(r.ids) for r in ids.toLocalIterator()]  # at most SAMPLE * SAMPLE_IDS ids
     try:
         return zstandard.train_dictionary(DICTIONARY, found).as_bytes()
