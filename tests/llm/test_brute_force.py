@@ -201,3 +201,16 @@ def test_near_copies_of_the_stage(spark):
 def test_op10_order_is_global(spark):
     out = Q.op10_mixing(spark, SF).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).orderBy("p").collect()
     assert all(a.hi <= b.lo for a, b in zip(out, out[1:], strict=False)) and len(out) > 1
+
+
+def test_links_behind_nearer_candidates(spark, monkeypatch):
+    """A and B link, but in every tile are rows that are nearer to both in bits and don't link."""
+    words = [f"x{k}" for k in range(100)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:-3])), *[(2 + k, " ".join(f"y{k}-{i}" for i in range(100))) for k in range(17)]]
+    bits = lambda places: sum(1 << p for p in places)
+    fps = [0, bits(range(12)), *[bits([*range(6), *range(12 + 3 * k, 15 + 3 * k)]) for k in range(17)]]
+    made = spark.createDataFrame([(r[0], simhash_dedup.signed(f), 0) for r, f in zip(rows, fps, strict=True)], "key long, fp long, sketch long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *a, **k: made)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.simhash_components(docs, radius=13, least=0.8).collect()}
+    assert got == {k: 0 if k < 2 else k for k in range(19)}
