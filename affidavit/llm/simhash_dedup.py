@@ -9,7 +9,8 @@ The rest are compared exactly by numpy exclusive-or and bit counts in tiles:
   fingerprints within the radius agree on one of them, so no link is lost.  For
   a larger radius that would need too many masks; bits are drawn at random, as
   many as keep tiles at a few hundred rows whatever the number of fingerprints,
-  and as many masks as find a pair at the very radius with probability ``recall``.
+  and as many masks as find a pair at the very radius with probability ``recall``,
+  or, where links also need a similarity, a pair within the radius that just has it.
 * A tile of more than ``TILE`` rows is cut by population count, and a large
   count again by hash.  Each pair of such parts is a task of its own, but pairs
   whose counts differ by more than the radius are skipped: they can't link.
@@ -114,16 +115,29 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def masks(radius: int, n: int, recall: float) -> list[int]:
-    """Bit masks such that fingerprints within ``radius`` agree on one of them."""
+def masks(radius: int, n: int, recall: float, least: float | None = None) -> list[int]:
+    """Bit masks such that fingerprints within ``radius`` agree on one of them.
+
+    With ``least``, ``recall`` is that of pairs of this very similarity, whose number of
+    differing bits is binomial.
+    """
     if radius <= 3:
         cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
         blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(cuts)]
         return [a | b for a, b in itertools.combinations(blocks, 2)]
     width = min(64 - radius, max(10, math.ceil(math.log2(max(n, 2))) - 8))
-    agree = math.comb(64 - radius, width) / math.comb(64, width)
     rng = np.random.default_rng(SEED)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    if least is None:
+        agree = math.comb(64 - radius, width) / math.comb(64, width)
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    else:
+        far = np.arange(radius + 1)
+        agrees = np.array([math.comb(64 - d, width) / math.comb(64, width) for d in far])
+        differ = math.acos(2 * least / (1 + least)) / math.pi  # of the sums behind a bit that is their correlation
+        share = np.array([math.comb(64, d) for d in far]) * differ**far * (1 - differ) ** (64 - far)
+        tables = 1
+        while share @ (1 - agrees) ** tables > (1 - recall) * share.sum():
+            tables += 1
     return [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(tables)]
 
 
@@ -248,7 +262,7 @@ def near_pairs(distinct: DataFrame, radius: int, n: int, recall: float = 0.99, l
         "fp",
         *sketch,
         F.bit_count("fp").alias("p"),
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius, n, recall)])).alias("t", "key"),
+        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius, n, recall, least)])).alias("t", "key"),
     )
     groups = (
         keyed.groupBy("t", "key", "p")
@@ -377,8 +391,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, te
 
 
 def simhash_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 13,
-    least: float | None = 0.8, recall: float = 0.99,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 20,
+    least: float | None = 0.8, recall: float = 0.999,
 ) -> DataFrame:
     """(key, fp, component_id) for every row: the least key reachable over links.
 

@@ -214,3 +214,24 @@ def test_links_behind_nearer_candidates(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash_dedup.simhash_components(docs, radius=13, least=0.8).collect()}
     assert got == {k: 0 if k < 2 else k for k in range(19)}
+
+
+def test_every_pair_at_the_least_similarity(spark):
+    """Pairs of similarity 0.80 to 0.85, no member of whose group could connect them otherwise."""
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), []
+    sets = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    while len(rows) < 400:
+        words = [f"x{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for k in rng.sample(range(300), rng.randint(5, 7)):
+            copy[k] = f"y{rng.randrange(10**6)}"
+        a, b = sets(words), sets(copy)
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows += [(len(rows) + c, " ".join(ws), "en", "s", 0) for c, ws in enumerate((words, copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert left == list(range(0, 400, 2))
