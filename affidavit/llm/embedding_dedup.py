@@ -4,8 +4,9 @@
    is one row.
 2. A first neighbour graph comes from tiles of vectors on the same side of some
    random hyperplanes; there are as many tables of tiles as find a pair at the
-   very threshold with probability ``RECALL``.  A large tile is cut by a hash
-   that differs from table to table.
+   very threshold with probability ``RECALL``.  Vectors are centred before sides
+   are chosen, as a common direction would put all on the same side.  A large tile
+   is cut by a hash, and its parts are compared with each other.
 3. NN-descent: every vector introduces its neighbours (its list, and a bounded
    sample of those that list it) to each other, and lists keep the best.  A list
    that is saturated, all of it at the threshold or above, is doubled.  Rounds
@@ -14,7 +15,9 @@
    exactly, pair of parts by pair of parts, so lists that stay saturated (a
    group of thousands of near copies) lose no link; only counts leave a task.
 5. Recall is audited: a bounded sample of vectors is compared by brute force
-   with all vectors in blocks, and below the target more tables are drawn.
+   with all vectors in blocks.  It is the mean over vectors that have links, so
+   one large group doesn't outweigh the rest; below the target more tables are
+   drawn, and if that doesn't help an error is raised.
 
 Cosines are computed in double precision from the vectors as they are stored.
 
@@ -44,6 +47,8 @@ from .simhash_dedup import spanning_forest
 LEAST, RECALL, AUDITED, TRIES = 0.95, 0.99, 1000, 3
 #: Rows of a tile on average and at most, of a part of a component, neighbours of a list at first and at most, rounds.
 MEAN_TILE, TILE, PART, K, MOST_K, ROUNDS, NEW = 64, 256, 1024, 6, 24, 4, 0.001
+#: Least cosine, once the vectors are centred, for which tables are counted.
+LOWEST = 0.5
 #: Rows of a result batch.
 SENT = 8192
 log = logging.getLogger(__name__)
@@ -146,10 +151,36 @@ def introduced(rows: pa.Table, best: int, least: float) -> dict | None:
     return {"v": pa.array(v[a]), "u": pa.array(v[b]), "s": pa.array(s[a, b])}
 
 
-def seeds(classes: DataFrame, n: int, least: float, turn: int) -> DataFrame:
+def centres(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Mean of the unit vectors of each length in bytes; a task sends one sum for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        for b in batches:
+            sizes = np.array([len(x) for x in b.column("x").to_pylist()], np.int64)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                sums[size] = sums.get(size, 0) + matrix(b.column("x").take(pa.array(rows))).sum(0)
+                counts[size] = counts.get(size, 0) + len(rows)
+        if sums:
+            names = [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["size", "n", "total"])
+
+    out: dict[int, list] = {}
+    for r in classes.select("x").mapInArrow(run, "size long, n long, total binary").collect():
+        total, n = out.get(r["size"], (0.0, 0))
+        out[r["size"]] = (total + np.frombuffer(bytes(r["total"]), "<f8"), n + r["n"])
+    return {size: total / n for size, (total, n) in out.items()}
+
+
+def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int, np.ndarray]) -> DataFrame:
     """(v, u, s) from tiles of vectors on the same side of random hyperplanes."""
     bits = max(1, math.ceil(math.log2(max(n, 2) / MEAN_TILE)))
-    agree = (1 - math.acos(least) / math.pi) ** bits
+    common = max((float(c @ c) for c in centre.values()), default=0.0)
+    # a pair's cosine once the common direction is gone; below LOWEST the audit decides
+    cosine = max(LOWEST, (least - common) / (1 - common)) if common < least else LOWEST
+    agree = (1 - math.acos(cosine) / math.pi) ** bits
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +190,8 @@ def seeds(classes: DataFrame, n: int, least: float, turn: int) -> DataFrame:
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 planes = np.random.default_rng([turn, int(size)]).normal(size=(int(size) // 8, tables * bits))
-                side = (matrix(b.column("x").take(pa.array(rows))) @ planes > 0).reshape(len(rows), tables, bits)
+                x = matrix(b.column("x").take(pa.array(rows))) - centre[int(size)]
+                side = (x @ planes > 0).reshape(len(rows), tables, bits)
                 keys[rows] = side @ (1 << np.arange(bits)) * 4096 + size // 8 % 4096
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([b.column("v"), b.column("x"), lists], ["v", "x", "keys"])
@@ -167,8 +199,11 @@ def seeds(classes: DataFrame, n: int, least: float, turn: int) -> DataFrame:
     keyed = classes.select("v", "x").mapInArrow(run, "v long, x binary, keys array<long>")
     rows = keyed.select("v", "x", F.posexplode("keys").alias("t", "key"))
     sizes = rows.groupBy("t", "key", F.length("x").alias("size")).agg(F.count("*").alias("m")).where("m > 1")
-    dealt = rows.withColumn("size", F.length("x")).join(sizes, ["t", "key", "size"]).select(
-        "v", "x", F.xxhash64("t", "key", "size", F.pmod(F.xxhash64("v", "t"), F.ceil(F.col("m") / TILE))).alias("unit")
+    cut = F.ceil(F.col("m") / TILE).cast("int")
+    dealt = (
+        rows.withColumn("size", F.length("x")).join(sizes, ["t", "key", "size"])
+        .withColumns({"i": F.pmod(F.xxhash64("v", "t"), cut).cast("int"), "j": F.explode(F.sequence(F.lit(0), cut - 1))})
+        .select("v", "x", F.xxhash64("t", "key", "size", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
     )
     return by_unit(dealt, lambda rows: introduced(rows, 2, least), "v long, u long, s double")
 
@@ -230,7 +265,7 @@ def exact_counts(parts: DataFrame, classes: DataFrame, least: float) -> DataFram
 
 
 def audit(found: DataFrame, classes: DataFrame, least: float) -> float:
-    """Share of the links of a bounded sample of vectors, found by brute force over all, that ``found`` has."""
+    """Mean share of the links of each of a bounded sample of vectors, found by brute force over all, that ``found`` has."""
     sample = classes.select("v", "x").orderBy(F.xxhash64("v")).limit(AUDITED).collect()  # at most AUDITED rows
     by_size: dict[int, list] = {}
     for r in sample:
@@ -257,10 +292,15 @@ def audit(found: DataFrame, classes: DataFrame, least: float) -> float:
             yield pa.RecordBatch.from_pydict({"v": pa.array(list(totals), pa.int64()), "all": pa.array(list(totals.values()), pa.int64())})
 
     true = classes.mapInArrow(run, "v long, all long").groupBy("v").agg(F.sum("all").alias("all"))
-    sums = true.join(found, "v", "left").agg(
-        F.sum(F.least(F.coalesce("links", F.lit(0)), "all")).alias("got"), F.sum("all").alias("all")
-    ).first()
-    return 1.0 if not sums["all"] else sums["got"] / sums["all"]
+    share = F.least(F.coalesce("links", F.lit(0)), "all") / F.col("all")
+    return true.where("all > 0").join(found, "v", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
+
+
+def news(graph: DataFrame, before: DataFrame, least: float) -> float:
+    """Mean share of the links in a vector's list that are more than the list had ``before``."""
+    count = lambda g, c: g.where(F.col("s") >= least).groupBy("v").agg(F.count("*").alias(c))
+    both = count(graph, "now").join(count(before, "old"), "v", "left")
+    return both.agg(F.avg(F.greatest(F.col("now") - F.coalesce("old", F.lit(0)), F.lit(0)) / F.col("now"))).first()[0] or 0.0
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
@@ -274,32 +314,30 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         "classes",
     )
     n = classes.count()
+    centre = centres(classes)
     edges: DataFrame | None = None
     for turn in range(TRIES):
-        new = stored(seeds(classes, n, least, turn), "edges")
+        new = stored(seeds(classes, n, least, turn, centre), "edges")
         edges = new if edges is None else edges.unionAll(new)
         graph = stored(merged(edges, None), "graph")
         links, wide = edges.where(F.col("s") >= least).select("v", "u"), None
-        known = graph.where(F.col("s") >= least).count()
         for _ in range(ROUNDS):
             full = graph.groupBy("v").agg(F.min("s").alias("s"), F.count("*").alias("k"))
             full = full.where((F.col("s") >= least) & (F.col("k") >= K)).select("v", F.least(F.col("k") * 2, F.lit(MOST_K)).alias("k"))
             wide = stored(full, "wide")
             met = stored(descend(graph, classes, least), "met")
             links = links.unionAll(met.where(F.col("s") >= least).select("v", "u"))
-            graph = stored(merged(graph.unionByName(met), wide), "graph")
-            now = graph.where(F.col("s") >= least).count()
-            if now - known <= NEW * max(known, 1):
+            before, graph = graph, stored(merged(graph.unionByName(met), wide), "graph")
+            if news(graph, before, least) <= NEW:
                 break
-            known = now
         parts = stored(connected_components(links.select(F.col("v").alias("a"), F.col("u").alias("b"))), "parts")
         counts = stored(exact_counts(parts, classes, least), "counts")
         recall = audit(counts, classes, least)
-        log.info("recall of the audited links: %.4f", recall)
+        log.info("mean recall of the audited vectors: %.4f", recall)
         if recall >= RECALL:
             break
     else:
-        log.warning("recall of the audited links is %.4f after %d tries", recall, TRIES)
+        raise RuntimeError(f"recall of the audited vectors is {recall:.4f} after {TRIES} tries, below {RECALL}")
     least_id = classes.join(parts.withColumnRenamed("node", "v"), "v").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = parts.join(least_id, "component").select(F.col("node").alias("v"), "component_id")
     named = stored(

@@ -235,3 +235,16 @@ def test_every_pair_at_the_least_similarity(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert left == list(range(0, 400, 2))
+
+
+def test_op8_audit_counts_vectors_not_links(spark):
+    """A large group that is found whole doesn't hide pairs that are lost."""
+    from affidavit.llm.embedding_dedup import audit
+
+    rng = np.random.default_rng(6)
+    group = rng.normal(size=32) + rng.normal(0, 0.01, (300, 32))
+    base = rng.normal(size=(50, 32))
+    x = np.concatenate([group, base, base + rng.normal(0, 0.01, base.shape)])
+    classes = spark.createDataFrame([(k, 1, bytearray(v.astype("<f8").tobytes())) for k, v in enumerate(x)], "v long, n long, x binary")
+    found = spark.createDataFrame([(k, 299) for k in range(300)], "v long, links long")
+    assert abs(audit(found, classes, 0.95) - 0.75) < 1e-9
