@@ -1,16 +1,20 @@
 """SimHash near-duplicates: fingerprints, tiled exact comparison, components.
 
 Every text gives a 64-bit fingerprint from the hashes of its word shingles.
-Equal fingerprints collapse first, so exact copies of any number are one row.
-The rest are compared exactly by numpy exclusive-or and bit counts in tiles:
-
-* A tile holds fingerprints that agree on a mask of bits.  For a radius up to 3
-  the masks are all choices of 2 of ``radius + 2`` equal blocks: two
-  fingerprints within the radius agree on one of them, so no link is lost.  For
-  a larger radius that would need too many masks; bits are drawn at random, as
-  many as keep tiles at a few hundred rows whatever the number of fingerprints,
-  and as many masks as find a pair at the very radius with probability ``recall``,
-  or, where links also need a similarity, a pair within the radius that just has it.
+Equal texts (with ``least``: equal sets of shingles; without: equal
+fingerprints) collapse first, so exact copies of any number are one row.  The
+rest are compared exactly by numpy exclusive-or and bit counts in tiles, whose
+rows are in the order of their population counts: rows whose counts differ by
+more than the radius can't link and are never compared.
+
+* Without a similarity (radius up to 3) a tile holds fingerprints that agree on
+  a mask of bits.  The masks are all choices of 2 of ``radius + 2`` equal blocks:
+  two fingerprints within the radius agree on one of them, so no link is lost.
+* With a similarity ``least`` a tile holds texts that agree on ROWS min-hashes
+  of their shingles, one of BANDS such choices.  Bits of a fingerprint would
+  serve badly: two texts of similarity 0.8 agree on a bit with probability 0.85,
+  unrelated ones with 0.5, so tables would grow in number with the corpus; on a
+  min-hash they agree with 0.8, unrelated ones hardly ever.
 * A tile of more than ``TILE`` rows is cut by population count, and a large
   count again by hash.  Each pair of such parts is a task of its own, but pairs
   whose counts differ by more than the radius are skipped: they can't link.
@@ -23,17 +27,21 @@ The rest are compared exactly by numpy exclusive-or and bit counts in tiles:
   different components is verified.  A large family of texts that look alike but
   don't link therefore costs as many checks as it has such pairs.
 
+Chances to lose a pair of similarity exactly 0.8, from the binomial
+distribution: 2.2 in 10,000 in no common band, 2 in 100,000 by the sketch, 3 in
+100,000 by the radius of 22; a higher similarity has lower ones.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint
 zero and links like any other; fewer words than a shingle give one shingle of
-all; rows that repeat an id are one document; a null id is never a component's
-name unless all ids of it are null; further columns pass through; an empty table
-gives an empty result.
+all; a very long text is hashed in chunks (with ``least`` its set of shingle
+hashes is in memory, 8 bytes for each); rows that repeat an id are one document;
+a null id is never a component's name unless all ids of it are null; further
+columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,6 +60,9 @@ TILE = 1024
 #: Places of 16 in which the sketches of candidates agree at least: by the binomial distribution
 #: all but 2 in 100,000 pairs of similarity 0.8 do, and 3 in 10,000 unrelated ones.
 ALIKE = 6
+#: Min-hashes that name a tile, and choices of them: a pair of similarity 0.8 is in a common tile
+#: with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9998.
+ROWS, BANDS = 4, 16
 #: Pairs of a result batch.
 SENT = 1 << 18
 #: Times that the nearest candidate of each part is checked before all the rest.
@@ -60,7 +71,7 @@ NEAREST = 2
 CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
-_MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_digests(text: bytes, span: int) -> Iterator[np.ndarray]:
@@ -80,65 +91,74 @@ def shingle_digests(text: bytes, span: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in spans]), np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: bytes, span: int, sketched: bool = False) -> tuple[int, int]:
-    """Unsigned fingerprint, where a bit is 1 if set in over half the hashes, and a sketch.
-
-    The sketch has four bits of each of 16 minima of the shingles' hashes; it
-    means nothing unless asked for.
-    """
-    counts, n, least = np.zeros((8, 256), np.int64), 0, np.full(16, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(text: bytes, span: int) -> int:
+    """Unsigned fingerprint, where a bit is 1 if set in over half the hashes."""
+    counts, n = np.zeros((8, 256), np.int64), 0
     for rows in shingle_digests(text, span):
         counts += np.bincount((rows + _PLACE).ravel(), minlength=2048).reshape(8, 256)
         n += len(rows)
-        if sketched:
-            hashes = rows.view("<u8").ravel()
-            least = np.minimum(least, [(hashes * m).min() for m in _MULTIPLIERS])
-    sketch = int(((least >> np.uint64(20) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64)).sum(dtype=np.uint64))
-    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big"), sketch
+    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
+
 
+def shingle_set(text: bytes, span: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in ascending order."""
+    rows = [np.unique(x.view("<u8").ravel()) for x in shingle_digests(text, span)]
+    return np.unique(np.concatenate(rows)) if len(rows) > 1 else rows[0] if rows else np.zeros(0, np.uint64)
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 3, sketched: bool = False) -> DataFrame:
-    """(key, fp, sketch), both as signed longs."""
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def traits(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Of a set of hashes: a name that only an equal set has, a sketch and the keys of its BANDS tiles.
+
+    The sketch has four bits of each of the first 16 min-hashes.
+    """
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), CHUNK // 16):
+        least = np.minimum(least, (hashes[k : k + CHUNK // 16, None] * _MULTIPLIERS).min(0))
+    sketch = ((least[:16] >> np.uint64(20) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64)).sum(dtype=np.uint64)
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys ^ row)
+    name = mixed(mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes)))
+    return int(name), int(sketch), keys
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 3, sets: bool = False) -> DataFrame:
+    """(key, fp), and with ``sets`` also node, sketch and keys of the set of shingles; all numbers as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed64 = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            both = np.array([fingerprint(t.as_py() or b"", span, sketched) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "fp", "sketch"])
+            texts = [t.as_py() or b"" for t in b.column(1).cast(pa.binary())]
+            columns = [b.column(0), signed64([fingerprint(t, span) for t in texts])]
+            if sets:
+                found = [traits(shingle_set(t, span)) for t in texts]
+                keys = np.array([k for _, _, k in found], np.uint64).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, np.int32), keys)
+                columns += [signed64([n for n, _, _ in found]), signed64([x for _, x, _ in found]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     of = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([T.StructField("key", of.schema["key"].dataType), T.StructField("fp", T.LongType()), T.StructField("sketch", T.LongType())])
-    return of.mapInArrow(run, schema)
+    names = ["key", "fp", "node", "sketch", "keys"] if sets else ["key", "fp"]
+    kinds = [of.schema["key"].dataType, T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
+    return of.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]))
 
 
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def masks(radius: int, n: int, recall: float, least: float | None = None) -> list[int]:
-    """Bit masks such that fingerprints within ``radius`` agree on one of them.
-
-    With ``least``, ``recall`` is that of pairs of this very similarity, whose number of
-    differing bits is binomial.
-    """
-    if radius <= 3:
-        cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
-        blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(cuts)]
-        return [a | b for a, b in itertools.combinations(blocks, 2)]
-    width = min(64 - radius, max(10, math.ceil(math.log2(max(n, 2))) - 8))
-    rng = np.random.default_rng(SEED)
-    if least is None:
-        agree = math.comb(64 - radius, width) / math.comb(64, width)
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
-    else:
-        far = np.arange(radius + 1)
-        agrees = np.array([math.comb(64 - d, width) / math.comb(64, width) for d in far])
-        differ = math.acos(2 * least / (1 + least)) / math.pi  # of the sums behind a bit that is their correlation
-        share = np.array([math.comb(64, d) for d in far]) * differ**far * (1 - differ) ** (64 - far)
-        tables = 1
-        while share @ (1 - agrees) ** tables > (1 - recall) * share.sum():
-            tables += 1
-    return [sum(1 << int(b) for b in rng.choice(64, width, replace=False)) for _ in range(tables)]
+def masks(radius: int) -> list[int]:
+    """Bit masks such that fingerprints within ``radius`` agree on one of them."""
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(cuts)]
+    return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -177,18 +197,19 @@ def sketches_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def unit_links(
     unit: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, apart: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and distance of all links between rows of the same unit; rows are sorted by unit.
+    """Places and distance of all links between rows of the same unit; rows are sorted by unit, then by population count.
 
+    Rows whose counts differ by more than the radius are never compared.
     Sketches have to agree in ALIKE places where there are any, and ``apart`` has to differ.
     """
-    at = np.arange(len(fp))
+    at, ones = np.arange(len(fp)), np.bitwise_count(fp).astype(np.int16)
     for step in range(1, len(fp)):
         at = at[at + step < len(fp)]
-        at = at[unit[at] == unit[at + step]]
+        at = at[(unit[at] == unit[at + step]) & (ones[at + step] - ones[at] <= radius)]
         if not len(at):
             return
         far = np.bitwise_count(fp[at] ^ fp[at + step])
-        near = np.flatnonzero((far <= radius) & (far > 0))
+        near = np.flatnonzero(far <= radius)
         if sketch is not None and len(near):
             near = near[sketches_differ(sketch[at[near]], sketch[at[near] + step]) <= 16 - ALIKE]
         if apart is not None and len(near):
@@ -212,28 +233,28 @@ def groups_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def compare(
-    unit: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None
+    unit: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links between rows of the same unit; rows are sorted by unit.
+    """A spanning forest of the links between rows of the same unit; rows are sorted as for :func:`unit_links`.
 
-    The last column marks the groups whose forest leaves out links: unit and least fingerprint as one number, else zero.
+    The last column marks the groups whose forest leaves out links: unit and least node as one number, else zero.
     """
     found = list(unit_links(unit, fp, radius, sketch))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
     keep = spanning_forest(i, j, d, len(fp))
     group = groups_of(i[keep], j[keep], len(fp))
     links, edges = np.bincount(group[i], minlength=len(fp)), np.bincount(group[i[keep]], minlength=len(fp))
     own = group[i[keep]]
-    name = (unit[own].view(np.uint64) ^ fp[own] * _MULTIPLIERS[0]).view(np.int64)
-    return fp[i[keep]], fp[j[keep]], d[keep].astype(np.int32), np.where(links[own] > edges[own], name, 0)
+    name = mixed(unit[own].view(np.uint64) ^ mixed(node[own].view(np.uint64))).view(np.int64)
+    return node[i[keep]], node[j[keep]], d[keep].astype(np.int32), np.where(links[own] > edges[own], name, 0)
 
 
 def by_unit(dealt: DataFrame, links: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``links`` of the columns of whole units of ``dealt``: unit, fp and further ones."""
+    """``links`` of the columns of whole units of ``dealt`` (unit, node, fp and further ones), by population count."""
     names = dealt.columns
-    order = dealt.repartition(partitions(dealt.sparkSession), "unit").sortWithinPartitions("unit")
+    order = dealt.repartition(partitions(dealt.sparkSession), "unit").sortWithinPartitions("unit", F.bit_count("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[np.ndarray] = []
@@ -251,19 +272,16 @@ def by_unit(dealt: DataFrame, links: Callable[..., Iterator[pa.RecordBatch]], sc
     return order.mapInArrow(run, schema)
 
 
-def near_pairs(distinct: DataFrame, radius: int, n: int, recall: float = 0.99, least: float | None = None) -> DataFrame:
-    """(a, b, d, part): links between the fingerprints of ``distinct`` (column fp), enough to connect all that link.
+def near_pairs(classes: DataFrame, radius: int, by_sets: bool = False) -> DataFrame:
+    """(a, b, d, part): links between the nodes of ``classes`` (node, fp), enough to connect all that link.
 
-    With ``least``, links are candidates whose sketches (column sketch) agree, and
-    rows of the same ``part``, unless it is zero, have links that are not given.
+    With ``by_sets``, tiles come from the column keys, links are candidates whose
+    sketches (column sketch) agree, and rows of the same ``part``, unless it is
+    zero, have links that are not given.
     """
-    sketch = [] if least is None else ["sketch"]
-    keyed = distinct.select(
-        "fp",
-        *sketch,
-        F.bit_count("fp").alias("p"),
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius, n, recall, least)])).alias("t", "key"),
-    )
+    more = ["sketch"] if by_sets else []
+    keys = F.col("keys") if by_sets else F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])
+    keyed = classes.select("node", "fp", *more, F.bit_count("fp").alias("p"), F.posexplode(keys).alias("t", "key"))
     groups = (
         keyed.groupBy("t", "key", "p")
         .agg(F.count("*").alias("n"))
@@ -273,7 +291,7 @@ def near_pairs(distinct: DataFrame, radius: int, n: int, recall: float = 0.99, l
     )
     cuts = lambda size: F.ceil(size / TILE).cast("int")
     own = F.filter("parts", lambda x: x["p"] == F.col("p"))[0]["n"]
-    part = F.struct(F.col("p").alias("p"), F.pmod(F.xxhash64("fp"), cuts(own)).cast("int").alias("i"))
+    part = F.struct(F.col("p").alias("p"), F.pmod(F.xxhash64("node"), cuts(own)).cast("int").alias("i"))
     other = lambda x, j: F.struct(x["p"].alias("p"), j.alias("i"))
     units = F.flatten(
         F.transform(
@@ -287,13 +305,12 @@ def near_pairs(distinct: DataFrame, radius: int, n: int, recall: float = 0.99, l
     dealt = (
         keyed.join(groups, ["t", "key"])
         .withColumn("part", part)
-        .select("fp", *sketch, F.explode(F.when(F.col("m") <= TILE, F.array(F.xxhash64("t", "key"))).otherwise(units)).alias("unit"))
+        .select("node", "fp", *more, F.explode(F.when(F.col("m") <= TILE, F.array(F.xxhash64("t", "key"))).otherwise(units)).alias("unit"))
     )
 
-    def links(unit: np.ndarray, fp: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        a, b, d, part = compare(unit, fp.view(np.uint64), radius, None if sketch is None else sketch.view(np.uint64))
-        arrays = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d), pa.array(part)]
-        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "d", "part"])
+    def links(unit: np.ndarray, node: np.ndarray, fp: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        found = compare(unit, node, fp.view(np.uint64), radius, None if sketch is None else sketch.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "d", "part"])
 
     return by_unit(dealt, links, "a long, b long, d int, part long")
 
@@ -311,17 +328,16 @@ def hidden_pairs(tiles: DataFrame, links: DataFrame, classes: DataFrame, radius:
     )
     broken = named.where("ca <> cb").select("part").distinct()
     of = named.join(broken, "part", "left_semi")
-    rows = of.select("part", F.col("a").alias("fp"), F.col("ca").alias("c")).unionAll(of.select("part", "b", "cb")).distinct()
-    dealt = rows.join(classes.select("fp", "sketch"), "fp").select(F.col("part").alias("unit"), "fp", "sketch", "c")
+    rows = of.select("part", F.col("a").alias("node"), F.col("ca").alias("c")).unionAll(of.select("part", "b", "cb")).distinct()
+    dealt = rows.join(classes.select("node", "fp", "sketch"), "node").select(F.col("part").alias("unit"), "node", "fp", "sketch", "c")
 
-    def all_links(unit: np.ndarray, fp: np.ndarray, sketch: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fp = fp.view(np.uint64)
+    def all_links(unit: np.ndarray, node: np.ndarray, fp: np.ndarray, sketch: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         batch = lambda found: pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "d"]
         )
         found, size = [], 0
-        for i, j, d in unit_links(unit, fp, radius, sketch.view(np.uint64), c):
-            a, b = fp[i].view(np.int64), fp[j].view(np.int64)
+        for i, j, d in unit_links(unit, fp.view(np.uint64), radius, sketch.view(np.uint64), c):
+            a, b = node[i], node[j]
             found.append((np.minimum(a, b), np.maximum(a, b), d.astype(np.int32)))
             size += len(i)
             if size >= SENT:
@@ -340,18 +356,15 @@ def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for t in b.column(1).cast(pa.binary()):
-                rows = [x.view(np.int64).ravel() for x in shingle_digests(t.as_py() or b"", span)]
-                sets.append(np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64))
+            sets = [shingle_set(t.as_py() or b"", span).view(np.int64) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    end = lambda c: classes.select(F.col("fp").alias(c), F.col("id").alias(f"id_{c}"))
+    end = lambda c: classes.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
     ends = pairs.join(end("a"), "a").join(end("b"), "b")
     ids = ends.select(F.col("id_a").alias("id")).unionAll(ends.select("id_b")).distinct()
     of = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(ids, "id", "left_semi")
     schema = T.StructType([T.StructField("id", of.schema["id"].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
-    sets = of.mapInArrow(run, schema).groupBy("id").agg(F.first("s").alias("s"))
+    sets = of.mapInArrow(run, schema).groupBy("id").agg(F.min("s").alias("s"))  # repeated ids: the same set in every run
     both = F.size(F.array_intersect("s_a", "s_b"))
     side = lambda c: sets.select(F.col("id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}"))
     return (
@@ -391,37 +404,45 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, te
 
 
 def simhash_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 20,
-    least: float | None = 0.8, recall: float = 0.999,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 5, radius: int = 22, least: float | None = 0.8
 ) -> DataFrame:
     """(key, fp, component_id) for every row: the least key reachable over links.
 
     Fingerprints link at ``radius`` or fewer differing bits; unless ``least`` is
-    None, such a link also needs that Jaccard similarity of the shingle sets, which
-    is looked at where small sketches of the sets allow it.
+    None, such a link also needs that Jaccard similarity of the shingle sets, and
+    candidates are texts with a common band of min-hashes and sketches that agree.
+    Without ``least`` the radius is at most 3.  The result reads intermediate tables,
+    which stay in the shared folder.
     """
-    fps = stored(fingerprints(docs, key, text, span, least is not None), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("key").alias("id"), F.min_by("sketch", "key").alias("sketch")), "classes")
-    tiles = near_pairs(classes.select("fp", "sketch"), radius, classes.count(), recall, least)
-    one = lambda df: df.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
-    if least is None:
-        pairs = one(tiles)
+    if least is None and radius > 3:
+        raise ValueError("a radius above 3 needs a similarity")
+    by_sets = least is not None
+    fps = stored(fingerprints(docs, key, text, span, by_sets), "fingerprints")
+    if by_sets:
+        first = F.min_by(F.struct("key", "fp", "sketch", "keys"), F.struct(F.col("key").isNull(), "key", "fp"))
+        classes = fps.groupBy("node").agg(first.alias("c")).select("node", F.col("c.key").alias("id"), "c.fp", "c.sketch", "c.keys")
     else:
-        tiles = stored(tiles, "tiles")
+        fps = fps.withColumn("node", F.col("fp"))
+        classes = fps.groupBy("node").agg(F.min("key").alias("id")).withColumn("fp", F.col("node"))
+    classes = stored(classes, "classes")
+    tiles = stored(near_pairs(classes, radius, by_sets), "tiles")
+    pairs = tiles.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    if by_sets:
         check = lambda df: stored(verified(docs, df, classes, key, text, span, least), "links")
-        pairs = check(stored(one(tiles), "pairs"))
+        pairs = check(pairs)
         hidden = stored(hidden_pairs(tiles, pairs, classes, radius), "hidden")
         if not hidden.isEmpty():
             pairs = pairs.unionAll(check(hidden))
+        forget(hidden)
     parts = connected_components(pairs)
     named = (
-        classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("component", F.coalesce("component", "fp"))
+        classes.select("node", "id").join(parts, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
     least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    ids = stored(named.join(least_id, "component").select("fp", "component_id"), "ids")
-    forget(classes)
-    return fps.join(ids, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    ids = stored(named.join(least_id, "component").select("node", "component_id"), "ids")
+    forget(classes, tiles)
+    return fps.join(ids, "node").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
