@@ -36,7 +36,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays."""
-    return simhash_dedup(docs, span=5, radius=20, least=0.8).select(*docs.columns)
+    return simhash_dedup(docs, span=5, least=0.8).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
