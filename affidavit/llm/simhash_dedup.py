@@ -18,18 +18,17 @@ more than the radius can't link and are never compared.
 * A tile of more than ``TILE`` rows is cut by population count, and a large
   count again by hash.  Each pair of such parts is a task of its own, but pairs
   whose counts differ by more than the radius are skipped: they can't link.
-* A pair of parts reports a minimum spanning forest of its links, never all
-  pairs, so a group of m near copies costs less than m rows for each part pair.
-* Where links also need a similarity, sketches are compared inside the tiles and
-  the forests' edges are verified.  A forest stands for its group only if all of
-  it holds together; the rows of a group where verified links don't connect a
-  forest edge's ends meet again, and every pair of them that lies between
-  different components is verified.  A large family of texts that look alike but
-  don't link therefore costs as many checks as it has such pairs.
+* With a similarity, sketches prune a tile's candidates; the rows that are left
+  meet again with their sets of shingle hashes, and every candidate pair's Jaccard
+  similarity is computed exactly.  A pair is looked at in the first of the bands
+  that it shares, so a set is sent to few tiles.
+* A tile reports a minimum spanning forest of its exact links, never all pairs, so
+  a group of m near copies costs less than m rows for each pair of parts.
 
 Chances to lose a pair of similarity exactly 0.8, from the binomial
-distribution: 2.2 in 10,000 in no common band, 2 in 100,000 by the sketch, 3 in
-100,000 by the radius of 22; a higher similarity has lower ones.
+distribution: 2.2 in 10,000 in no common band, 1.4 in 10,000 by equal digests of
+an earlier band's different keys, 2 in 100,000 by the sketch, 3 in 100,000 by the
+radius of 22; a higher similarity has lower ones.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint
 zero and links like any other; fewer words than a shingle give one shingle of
@@ -63,10 +62,8 @@ ALIKE = 6
 #: Min-hashes that name a tile, and choices of them: a pair of similarity 0.8 is in a common tile
 #: with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9998.
 ROWS, BANDS = 4, 16
-#: Pairs of a result batch.
-SENT = 1 << 18
-#: Times that the nearest candidate of each part is checked before all the rest.
-NEAREST = 2
+#: Shingle hashes of a row in which a set is sent.
+SENT = 1024
 #: Shingles that are hashed at once, so that a very long text needs little memory.
 CHUNK = 1 << 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -91,13 +88,16 @@ def shingle_digests(text: bytes, span: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in spans]), np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: bytes, span: int) -> int:
-    """Unsigned fingerprint, where a bit is 1 if set in over half the hashes."""
-    counts, n = np.zeros((8, 256), np.int64), 0
+def fingerprint(text: bytes, span: int, sets: bool = False) -> tuple[int, np.ndarray]:
+    """Unsigned fingerprint, where a bit is 1 if set in over half the hashes, and with ``sets`` the different hashes in order."""
+    counts, n, different = np.zeros((8, 256), np.int64), 0, []
     for rows in shingle_digests(text, span):
         counts += np.bincount((rows + _PLACE).ravel(), minlength=2048).reshape(8, 256)
         n += len(rows)
-    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big")
+        if sets:
+            different.append(np.unique(rows.view("<u8").ravel()))
+    whole = np.unique(np.concatenate(different)) if len(different) > 1 else different[0] if different else np.zeros(0, np.uint64)
+    return int.from_bytes(np.packbits((counts @ _BITS).ravel() * 2 > n).tobytes(), "big"), whole
 
 
 def shingle_set(text: bytes, span: int) -> np.ndarray:
@@ -125,28 +125,31 @@ def traits(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
     keys = np.zeros(BANDS, np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         keys = mixed(keys ^ row)
-    name = mixed(mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes)))
-    return int(name), int(sketch), keys
+    name = mixed(mixed(hashes).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)))
+    return int(name[0]), int(sketch), keys
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 3, sets: bool = False) -> DataFrame:
-    """(key, fp), and with ``sets`` also node, sketch and keys of the set of shingles; all numbers as signed longs."""
+    """(key, fp), and with ``sets`` also node, sketch and keys of the set of shingles and a hash h of the text.
+
+    All numbers are signed longs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed64 = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
         for b in batches:
             texts = [t.as_py() or b"" for t in b.column(1).cast(pa.binary())]
-            columns = [b.column(0), signed64([fingerprint(t, span) for t in texts])]
+            found = [(f, *traits(hashes)) if sets else (f,) for f, hashes in (fingerprint(t, span, sets) for t in texts)]
+            columns = [b.column(0), signed64([x[0] for x in found])]  # key, fp
             if sets:
-                found = [traits(shingle_set(t, span)) for t in texts]
-                keys = np.array([k for _, _, k in found], np.uint64).reshape(-1).view(np.int64)
+                keys = np.array([x[3] for x in found], np.uint64).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, np.int32), keys)
-                columns += [signed64([n for n, _, _ in found]), signed64([x for _, x, _ in found]), lists]
+                columns += [signed64([x[1] for x in found]), signed64([x[2] for x in found]), lists, b.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    of = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    names = ["key", "fp", "node", "sketch", "keys"] if sets else ["key", "fp"]
-    kinds = [of.schema["key"].dataType, T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
+    of = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *([F.xxhash64(f"`{text}`").alias("h")] if sets else []))
+    names = ["key", "fp", "node", "sketch", "keys", "h"] if sets else ["key", "fp"]
+    kinds = [of.schema["key"].dataType, T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.LongType()]
     return of.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)]))
 
 
@@ -195,12 +198,12 @@ def sketches_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unit_links(
-    unit: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, apart: np.ndarray | None = None
+    unit: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, met: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places and distance of all links between rows of the same unit; rows are sorted by unit, then by population count.
 
     Rows whose counts differ by more than the radius are never compared.
-    Sketches have to agree in ALIKE places where there are any, and ``apart`` has to differ.
+    Sketches have to agree in ALIKE places where there are any, and pairs that have ``met`` elsewhere are left out.
     """
     at, ones = np.arange(len(fp)), np.bitwise_count(fp).astype(np.int16)
     for step in range(1, len(fp)):
@@ -212,80 +215,95 @@ def unit_links(
         near = np.flatnonzero(far <= radius)
         if sketch is not None and len(near):
             near = near[sketches_differ(sketch[at[near]], sketch[at[near] + step]) <= 16 - ALIKE]
-        if apart is not None and len(near):
-            near = near[apart[at[near]] != apart[at[near] + step]]
+        if met is not None and len(near):
+            near = near[~met(at[near], at[near] + step)]
         if len(near):
             yield at[near], at[near] + step, far[near]
 
 
-def groups_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least place that each of ``n`` places is connected with."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
+def met_before(band: np.ndarray, digests: list[np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether two places agree in the digest of an earlier band than the one that they meet in."""
 
+    def met(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for b in range(BANDS - 1):
+            lane = np.uint64(0xFFFF << 16 * (b % 4))
+            out |= (b < band[i]) & ((digests[b // 4][i] ^ digests[b // 4][j]) & lane == 0)
+        return out
 
-def compare(
-    unit: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links between rows of the same unit; rows are sorted as for :func:`unit_links`.
+    return met
 
-    The last column marks the groups whose forest leaves out links: unit and least node as one number, else zero.
-    """
-    found = list(unit_links(unit, fp, radius, sketch))
+
+def forest(unit: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of the links between rows of the same unit; rows are sorted as for :func:`unit_links`."""
+    found = list(unit_links(unit, fp, radius))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
     keep = spanning_forest(i, j, d, len(fp))
-    group = groups_of(i[keep], j[keep], len(fp))
-    links, edges = np.bincount(group[i], minlength=len(fp)), np.bincount(group[i[keep]], minlength=len(fp))
-    own = group[i[keep]]
-    name = mixed(unit[own].view(np.uint64) ^ mixed(node[own].view(np.uint64))).view(np.int64)
-    return node[i[keep]], node[j[keep]], d[keep].astype(np.int32), np.where(links[own] > edges[own], name, 0)
-
-
-def by_unit(dealt: DataFrame, links: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``links`` of the columns of whole units of ``dealt`` (unit, node, fp and further ones), by population count."""
+    return node[i[keep]], node[j[keep]]
+
+
+def shared_counts(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of ``sets`` (ascending) at places ``i`` and ``j``."""
+    every = np.concatenate(sets)
+    values, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    width = int((count > 1).sum())
+    if width / 64 > 8 * len(every) / len(sets):  # long sets with little in common
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    place = np.cumsum(count > 1) - 1
+    row, held = np.repeat(np.arange(len(sets)), list(map(len, sets))), count[column] > 1
+    row, column = row[held], place[column[held]]
+    bits = np.zeros((len(sets), -(-max(width, 1) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    out, some = np.zeros(len(i), np.int64), max(1, (1 << 20) // bits.shape[1])
+    for k in range(0, len(i), some):
+        out[k : k + some] = np.bitwise_count(bits[i[k : k + some]] & bits[j[k : k + some]]).sum(1)
+    return out
+
+
+def by_unit(dealt: DataFrame, links: Callable[..., Iterator[pa.RecordBatch]], schema: str, order: list) -> DataFrame:
+    """``links`` of the columns of whole units of ``dealt`` (unit and further ones), in the given order."""
     names = dealt.columns
-    order = dealt.repartition(partitions(dealt.sparkSession), "unit").sortWithinPartitions("unit", F.bit_count("fp"))
+    rows_of = dealt.repartition(partitions(dealt.sparkSession), "unit").sortWithinPartitions("unit", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            new = [b.column(c).to_numpy() for c in names]
-            rows = [np.concatenate(x) for x in zip(rows, new, strict=True)] if rows else new
-            unit = rows[names.index("unit")]
-            k = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0  # the last unit may go on in the next batch
-            if k:
-                yield from links(**{c: x[:k] for c, x in zip(names, rows, strict=True)})
-                rows = [x[k:] for x in rows]
-        if rows and len(rows[0]):
-            yield from links(**dict(zip(names, rows, strict=True)))
-
-    return order.mapInArrow(run, schema)
-
-
-def near_pairs(classes: DataFrame, radius: int, by_sets: bool = False) -> DataFrame:
-    """(a, b, d, part): links between the nodes of ``classes`` (node, fp), enough to connect all that link.
-
-    With ``by_sets``, tiles come from the column keys, links are candidates whose
-    sketches (column sketch) agree, and rows of the same ``part``, unless it is
-    zero, have links that are not given.
-    """
-    more = ["sketch"] if by_sets else []
+            if not len(b):
+                continue
+            unit = b.column("unit").to_numpy()
+            k = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if k or held and held[-1].column("unit")[0].as_py() != unit[0]:
+                if k or held:
+                    yield from call([*held, *([b.slice(0, k)] if k else [])])
+                held = []
+            held.append(b.slice(k))
+        if held:
+            yield from call(held)
+
+    def call(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        arrays = {c: rows.column(c).combine_chunks() for c in names}
+        flat = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in arrays.items()}
+        return links(**{c: x if pa.types.is_list(x.type) else x.to_numpy() for c, x in flat.items()})
+
+    return rows_of.mapInArrow(run, schema)
+
+
+def dealt_to_tiles(classes: DataFrame, radius: int, by_sets: bool = False) -> DataFrame:
+    """(unit, node, fp): rows that meet; ``by_sets`` also sketch, band and digests d0 to d3, with tiles from the column keys."""
+    more = ["sketch", "band", "d0", "d1", "d2", "d3"] if by_sets else []
     keys = F.col("keys") if by_sets else F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])
-    keyed = classes.select("node", "fp", *more, F.bit_count("fp").alias("p"), F.posexplode(keys).alias("t", "key"))
+    lane = lambda k: F.shiftleft(F.get("keys", F.lit(k)).bitwiseAND(F.lit(0xFFFF)), 16 * (k % 4))
+    four = lambda k: lane(k).bitwiseOR(lane(k + 1)).bitwiseOR(lane(k + 2)).bitwiseOR(lane(k + 3))
+    digests = [four(4 * k).alias(f"d{k}") for k in range(4)] if by_sets else []
+    rest = ["sketch"] if by_sets else []
+    keyed = classes.select("node", "fp", *rest, *digests, F.bit_count("fp").alias("p"), F.posexplode(keys).alias("band", "key"))
     groups = (
-        keyed.groupBy("t", "key", "p")
+        keyed.groupBy("band", "key", "p")
         .agg(F.count("*").alias("n"))
-        .groupBy("t", "key")
+        .groupBy("band", "key")
         .agg(F.sum("n").alias("m"), F.collect_list(F.struct("p", "n")).alias("parts"))  # at most 65 parts
         .where("m > 1")
     )
@@ -298,109 +316,109 @@ def near_pairs(classes: DataFrame, radius: int, by_sets: bool = False) -> DataFr
             F.filter("parts", lambda x: F.abs(x["p"] - F.col("p")) <= radius),
             lambda x: F.transform(
                 F.sequence(F.lit(0), cuts(x["n"]) - 1),
-                lambda j: F.xxhash64("t", "key", F.least(F.col("part"), other(x, j)), F.greatest(F.col("part"), other(x, j))),
+                lambda j: F.xxhash64("band", "key", F.least(F.col("part"), other(x, j)), F.greatest(F.col("part"), other(x, j))),
             ),
         )
     )
-    dealt = (
-        keyed.join(groups, ["t", "key"])
+    whole = F.array(F.xxhash64("band", "key"))
+    return (
+        keyed.join(groups, ["band", "key"])
         .withColumn("part", part)
-        .select("node", "fp", *more, F.explode(F.when(F.col("m") <= TILE, F.array(F.xxhash64("t", "key"))).otherwise(units)).alias("unit"))
+        .select(F.explode(F.when(F.col("m") <= TILE, whole).otherwise(units)).alias("unit"), "node", "fp", *more)
     )
 
-    def links(unit: np.ndarray, node: np.ndarray, fp: np.ndarray, sketch: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        found = compare(unit, node, fp.view(np.uint64), radius, None if sketch is None else sketch.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "d", "part"])
 
-    return by_unit(dealt, links, "a long, b long, d int, part long")
+def near_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between the nodes of ``classes`` (node, fp), enough to connect all that link."""
 
+    def links(unit: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = forest(unit, node, fp.view(np.uint64), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def hidden_pairs(tiles: DataFrame, links: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
-    """(a, b, d): candidates that the forests of ``tiles`` leave out and verified ``links`` don't connect.
+    return by_unit(dealt_to_tiles(classes, radius), links, "a long, b long", [F.bit_count("fp")])
 
-    Only groups with a forest edge between different components can have any.
-    """
-    parts = stored(connected_components(links), "parts")
-    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    named = (
-        tiles.where("part <> 0").select("part", "a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .select("part", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    )
-    broken = named.where("ca <> cb").select("part").distinct()
-    of = named.join(broken, "part", "left_semi")
-    rows = of.select("part", F.col("a").alias("node"), F.col("ca").alias("c")).unionAll(of.select("part", "b", "cb")).distinct()
-    dealt = rows.join(classes.select("node", "fp", "sketch"), "node").select(F.col("part").alias("unit"), "node", "fp", "sketch", "c")
-
-    def all_links(unit: np.ndarray, node: np.ndarray, fp: np.ndarray, sketch: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-        batch = lambda found: pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "d"]
-        )
-        found, size = [], 0
-        for i, j, d in unit_links(unit, fp.view(np.uint64), radius, sketch.view(np.uint64), c):
-            a, b = node[i], node[j]
-            found.append((np.minimum(a, b), np.maximum(a, b), d.astype(np.int32)))
-            size += len(i)
-            if size >= SENT:
-                yield batch(found)
-                found, size = [], 0
-        if found:
-            yield batch(found)
 
-    pairs = by_unit(dealt, all_links, "a long, b long, d int").distinct()
-    known = tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+_ROW = "unit long, node long, fp long, sketch long, band int, d0 long, d1 long, d2 long, d3 long"
 
 
-def similar(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, text: str, span: int, least: float) -> DataFrame:
-    """Those of ``pairs`` whose first documents' sets of shingles have a Jaccard similarity of ``least`` or more."""
+def _candidates(radius: int, unit, fp, sketch, band, d0, d1, d2, d3) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    met = met_before(band, [d.view(np.uint64) for d in (d0, d1, d2, d3)])
+    return unit_links(unit, fp.view(np.uint64), radius, sketch.view(np.uint64), met)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py() or b"", span).view(np.int64) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    end = lambda c: classes.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
-    ends = pairs.join(end("a"), "a").join(end("b"), "b")
-    ids = ends.select(F.col("id_a").alias("id")).unionAll(ends.select("id_b")).distinct()
-    of = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(ids, "id", "left_semi")
-    schema = T.StructType([T.StructField("id", of.schema["id"].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
-    sets = of.mapInArrow(run, schema).groupBy("id").agg(F.min("s").alias("s"))  # repeated ids: the same set in every run
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    side = lambda c: sets.select(F.col("id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}"))
-    return (
-        ends.join(side("a"), "id_a")
-        .join(side("b"), "id_b")
-        .select("a", "b", both.alias("both"), (F.size("s_a") + F.size("s_b")).alias("all"))
-        .where(F.col("both") >= least * (F.col("all") - F.col("both")))
-    )
 
+def candidates(classes: DataFrame, radius: int) -> DataFrame:
+    """The rows of tiles that are a candidate of another row of their tile."""
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, text: str, span: int, least: float) -> DataFrame:
-    """The links among candidate ``pairs`` (a, b, d), enough to connect all that link.
+    def links(**rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(len(rows["unit"]), bool)
+        for i, j, _ in _candidates(radius, **{c: x for c, x in rows.items() if c != "node"}):
+            kept[i] = kept[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in rows.values()], list(rows))
 
-    Shingle sets are large, so the nearest candidate of each part is checked
-    first, NEAREST times over; what lies inside a connected part by then needs no
-    check, and all that is left is checked at last.
-    """
-    ends = lambda df: df.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").select("a", "b", "d", "ca", "cb")
-    side = lambda parts, c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    none = F.lit(None).cast("long")
-    open_ = stored(ends(pairs.withColumns({"ca": none, "cb": none})), "open")
-    links: DataFrame | None = None
-    for _ in range(NEAREST):
-        edge = F.struct("d", F.xxhash64("a", "b").alias("h"), "a", "b")
-        both = open_.select(F.col("ca").alias("c"), edge.alias("e")).unionAll(open_.select("cb", edge))
-        best = stored(both.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.d").distinct(), "nearest")
-        new = stored(similar(docs, best, classes, key, text, span, least).select("a", "b"), "links")
-        links = new if links is None else links.unionAll(new)
-        parts = stored(connected_components(links), "parts")
-        left = open_.select("a", "b", "d").join(best.select("a", "b"), ["a", "b"], "left_anti")
-        rest = stored(ends(left.join(side(parts, "a"), "a", "left").join(side(parts, "b"), "b", "left")), "open")
-        forget(open_, best, parts)
-        open_ = rest
-        if open_.isEmpty():
-            return links
-    return links.unionAll(similar(docs, open_.select("a", "b", "d"), classes, key, text, span, least).select("a", "b"))
+    return by_unit(dealt_to_tiles(classes, radius, True), links, _ROW, [F.bit_count("fp")])
+
+
+def similar(
+    docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, span: int, least: float, radius: int
+) -> DataFrame:
+    """(a, b): candidate pairs of the tiles ``rows`` with a Jaccard similarity of ``least`` or more, enough to connect all of them."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of hashes in rows of at most SENT."""
+        for b in batches:
+            for node, t in zip(b.column(0), b.column(1).cast(pa.binary()), strict=True):
+                s = shingle_set(t.as_py() or b"", span).view(np.int64)
+                cut = np.r_[np.arange(0, max(1, len(s)), SENT), len(s)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * (len(cut) - 1), pa.int64()), pa.ListArray.from_arrays(cut, s)], ["node", "s"])
+
+    own = classes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "id", F.col("h").alias("of_h"))
+    texts = docs.select(F.col(f"`{key}`").alias("of_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
+    one = texts.join(own, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "text")
+    sets = one.mapInArrow(in_one_batch(sent), "node long, s array<long>")
+    sets = sets.groupBy("node", F.get("s", F.lit(0)).alias("first")).agg(F.min("s").alias("s")).drop("first")
+
+    def links(s: pa.ListArray, **given: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.r_[True, (given["node"][1:] != given["node"][:-1]) | (given["unit"][1:] != given["unit"][:-1])])
+        row = {c: x[start] for c, x in given.items()}
+        ends = s.offsets.to_numpy()[np.r_[start, len(s)]]
+        hashes = s.values.to_numpy()
+        found = list(_candidates(radius, **{c: x for c, x in row.items() if c != "node"}))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if found:
+            i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(row["unit"][i], kind="stable")
+            i, j, d = i[order], j[order], d[order]
+            cut = np.flatnonzero(np.r_[True, row["unit"][i][1:] != row["unit"][i][:-1], True])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                at, where = np.unique(np.concatenate([i[lo:hi], j[lo:hi]]), return_inverse=True)
+                x, y = where[: hi - lo], where[hi - lo :]
+                sets_ = [np.sort(hashes[ends[k] : ends[k + 1]]) for k in at.tolist()]
+                size = np.array(list(map(len, sets_)))
+                both = shared_counts(x, y, sets_)
+                good = np.flatnonzero(both >= least * (size[x] + size[y] - both))
+                keep = good[spanning_forest(x[good], y[good], d[lo:hi][good], len(at))]
+                a.append(row["node"][at[x[keep]]])
+                b.append(row["node"][at[y[keep]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return by_unit(rows.join(sets, "node").select(*rows.columns, "s"), links, "a long, b long", [F.bit_count("fp"), "node"])
+
+
+def in_one_batch(run: Callable) -> Callable:
+    """``run`` with its small batches joined to larger ones."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in run(batches):
+            held.append(b)
+            size += b.nbytes
+            if size >= 1 << 22:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return joined
 
 
 def simhash_components(
@@ -419,21 +437,17 @@ def simhash_components(
     by_sets = least is not None
     fps = stored(fingerprints(docs, key, text, span, by_sets), "fingerprints")
     if by_sets:
-        first = F.min_by(F.struct("key", "fp", "sketch", "keys"), F.struct(F.col("key").isNull(), "key", "fp"))
-        classes = fps.groupBy("node").agg(first.alias("c")).select("node", F.col("c.key").alias("id"), "c.fp", "c.sketch", "c.keys")
+        first = F.min_by(F.struct("key", "fp", "sketch", "keys", "h"), F.struct(F.col("key").isNull(), "key", "fp", "h"))
+        classes = fps.groupBy("node").agg(first.alias("c")).select("node", F.col("c.key").alias("id"), "c.fp", "c.sketch", "c.keys", "c.h")
     else:
         fps = fps.withColumn("node", F.col("fp"))
         classes = fps.groupBy("node").agg(F.min("key").alias("id")).withColumn("fp", F.col("node"))
     classes = stored(classes, "classes")
-    tiles = stored(near_pairs(classes, radius, by_sets), "tiles")
-    pairs = tiles.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
     if by_sets:
-        check = lambda df: stored(verified(docs, df, classes, key, text, span, least), "links")
-        pairs = check(pairs)
-        hidden = stored(hidden_pairs(tiles, pairs, classes, radius), "hidden")
-        if not hidden.isEmpty():
-            pairs = pairs.unionAll(check(hidden))
-        forget(hidden)
+        rows = stored(candidates(classes, radius), "candidates")
+        pairs = similar(docs, rows, classes, key, text, span, least, radius)
+    else:
+        pairs = near_pairs(classes, radius)
     parts = connected_components(pairs)
     named = (
         classes.select("node", "id").join(parts, "node", "left")
@@ -441,7 +455,7 @@ def simhash_components(
     )
     least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
     ids = stored(named.join(least_id, "component").select("node", "component_id"), "ids")
-    forget(classes, tiles)
+    forget(classes, *([rows] if by_sets else []))
     return fps.join(ids, "node").select(F.col("key").alias(key), "fp", "component_id")
 
 
