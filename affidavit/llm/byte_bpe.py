@@ -4,23 +4,27 @@ Texts are cut by the pattern; pieces that are tokens are done.  The others are
 put into matrices by length, one row for each piece, padded on the right.  In
 each round every row merges its leftmost pair of least rank: pairs are found in
 a hash table of two arrays, the merged column is closed up, and only the two
-pairs beside a merge are looked up again.  Rows without a pair leave the matrix.
+pairs beside a merge are looked up again.  Rows without a pair leave the matrix.  A
+piece of more than ``LONGEST`` bytes, where closing up would cost the square of
+its length, is merged in the same order over linked places and a heap of pairs.
 
 Each Python worker keeps a bounded cache of pieces.  Texts are handled in
 runs of a few MB; a longer one goes piece by piece, so memory doesn't grow with it.
 
-Defined cases: a null text is encoded as an empty one, which has no ids; lone
-or repeated rows, ties and null keys are rows like any other; an empty table
-gives an empty result.
+Defined cases: a null text is encoded as an empty one, which has no ids; a very
+long text goes in parts, and a very long piece costs its length times the
+logarithm of it; lone or repeated rows, ties and null keys are rows like any
+other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ CACHED, RUN, LONG, PIECES = 400_000, 1 << 20, 1 << 22, 1 << 18
 #: Cells of one matrix, and the rank of a pair that doesn't merge.
 CELLS, NONE = 1 << 20, np.iinfo(np.int32).max
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256)
+#: Bytes up to which a piece is a row of a matrix.
+LONGEST = WIDTHS[-1]
 
 
 class PairTable:
@@ -126,15 +132,53 @@ class ByteBpe:
                 rank[r, side[r]] = self.pair(ids[r, side[r]], ids[r, side[r] + 1])
         return out
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Packed ids of one long piece: the leftmost pair of least rank is merged until none is left."""
+        ids = self.start[np.frombuffer(piece, np.uint8)]
+        first = self.pair(ids[:-1], ids[1:])
+        at = np.flatnonzero(first != NONE)
+        heap = list(zip(first[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        ids, rank, n = ids.tolist(), first.tolist() + [NONE], len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            best, k = heapq.heappop(heap)
+            if rank[k] != best:  # the pair is gone or another by now
+                continue
+            gone = after[k]
+            ids[k], rank[gone], after[k] = best, NONE, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            for left in (k, before[k]):
+                if left >= 0:
+                    right = after[left]
+                    rank[left] = self.pairs.get((ids[left], ids[right]), NONE) if right < n else NONE
+                    if rank[left] != NONE:
+                        heapq.heappush(heap, (rank[left], left))
+        out, k = [], 0
+        while k < n:
+            out.append(ids[k])
+            k = after[k]
+        return np.array(out, "<u4").tobytes()
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The pair table as a dictionary, made when a long piece needs it."""
+        full = np.flatnonzero(self.pair.keys >= 0)
+        keys = self.pair.keys[full]
+        return dict(zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True), self.pair.ranks[full].tolist(), strict=True))
+
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of the pieces into the cache."""
         if len(self.cache) > len(self.known) + CACHED:
             self.cache = dict(self.known)
         new = sorted(((p, p.encode("utf-8", "surrogatepass")) for p in pieces - self.cache.keys()), key=lambda x: len(x[1]))
+        while new and len(new[-1][1]) > LONGEST:
+            name, data = new.pop()
+            self.cache[name] = self.merge_long(data)
         k = 0
         while k < len(new):
-            size = len(new[k][1])
-            width = next((w for w in WIDTHS if w >= size), size)
+            width = next(w for w in WIDTHS if w >= len(new[k][1]))
             end, most = k, max(1, CELLS // width)
             while end < len(new) and len(new[end][1]) <= width and end - k < most:
                 end += 1
@@ -191,14 +235,20 @@ def _mapped(docs: DataFrame, key: str, value: str, schema: list[tuple[str, T.Dat
     return of.mapInArrow(run, T.StructType(fields)).withColumnRenamed("key", key)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids) with ids packed as unsigned 32-bit little-endian integers."""
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, n_tokens, ids) with ids packed as unsigned 32-bit little-endian integers.
+
+    With ``decoded`` the ids are decoded again, and decoded_sha256 is the hash of the bytes.
+    """
 
     def row(values: pa.Array) -> list[pa.Array]:
-        packed = [b"".join(x) for x in bpe_of(path, pattern).encode([t or "" for t in values.to_pylist()])]
-        return [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
+        bpe = bpe_of(path, pattern)
+        packed = [b"".join(x) for x in bpe.encode([t or "" for t in values.to_pylist()])]
+        columns = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
+        return columns + ([pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in packed], pa.string())] if decoded else [])
 
-    return _mapped(docs, key, text, [("n_tokens", T.LongType()), ("ids", T.BinaryType())], row)
+    names = [("n_tokens", T.LongType()), ("ids", T.BinaryType()), ("decoded_sha256", T.StringType())]
+    return _mapped(docs, key, text, names if decoded else names[:2], row)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

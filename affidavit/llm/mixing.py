@@ -6,6 +6,9 @@ distribution with that mean, by inverting it at a uniform number that is hashed
 from seed and document id; copies get a second hashed number, and the output is
 ordered by it over all partitions.
 
+A mean above ``MOST_RATE`` is cut into equal parts of at most that, each with a
+hashed number of its own; their sum has the Poisson distribution with the whole mean.
+
 Shares are in characters, so that one source of long texts doesn't take over.
 Sizes are summed by partial aggregates, the table of rates has a row for each
 source and is broadcast only behind a check of its size, and rows are dealt by a
@@ -13,7 +16,7 @@ hash, so a source with a third of all rows is no hot partition.
 
 Defined cases: a null source is a source of its own; an unlisted one gets
 ``other`` (by default an equal share); a null or empty text counts one
-character; rows that repeat an id get the same number of copies each; an empty
+character; a very long text is one row like any other; rows that repeat an id get the same number of copies each; an empty
 input, or weights that are all zero, give an empty result; columns named as one
 of the added ones are replaced.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-#: Rates above this are split into whole copies and a Poisson rest, so that the inversion stays short and exact.
+#: Rates above this are split into equal parts, so that the inversion stays short and exact.
 MOST_RATE = 16.0
 #: Steps of the inversion: beyond 80 the probability left is below 2^-52 for every mean up to MOST_RATE.
 STEPS = 80
@@ -89,11 +92,11 @@ def mix(
     if docs.select(f"`{by}`").distinct().limit(MOST_SENT + 1).count() <= MOST_SENT:
         table = F.broadcast(table)
     columns = [c for c in docs.columns if c not in ADDED]
-    whole = F.floor(F.greatest(F.col(rate) - MOST_RATE / 2, F.lit(0.0)))
-    few = F.col(rate) <= MOST_RATE
     identity = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))
-    copies = F.when(few, F.lit(0)).otherwise(whole) + poisson(
-        uniform(F.lit(seed), identity), F.when(few, F.col(rate)).otherwise(F.col(rate) - whole)
+    parts = F.ceil(F.col(rate) / MOST_RATE).cast("int")
+    drawn = lambda k: poisson(uniform(F.lit(seed), F.lit("part"), identity, k), F.col(rate) / parts)
+    copies = F.when(parts <= 1, poisson(uniform(F.lit(seed), identity), F.col(rate))).otherwise(
+        F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), drawn), F.lit(0), lambda n, k: n + k)
     )
     n = partitions(spark)
     return (

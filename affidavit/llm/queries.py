@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,6 @@ from .simhash_dedup import simhash_components
 from .token_store import read_tokens, write_tokens
 from .url_filter import url_filter
 
-#: Where the public vocabulary files are.
-TOKENIZERS = "/opt/tokenizers"
-#: The byte-level vocabulary's pattern, as its library states it.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 #: Target weights of the registered mix; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5, "src3": 0.25}
 
@@ -94,7 +90,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with u as (
     select page_id, coalesce(url, '') as url,
-           lower(regexp_extract(coalesce(url, ''), '^(?s).*?://([^/?#]*)', 1)) as host,
+           translate(regexp_extract(coalesce(url, ''), '^(?s).*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
            regexp_extract(coalesce(url, ''), '^(?s).*?://[^/?#]*([^?#]*)', 1) as path
     from pages
 ),
@@ -209,7 +205,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_tokens(spark, folder, value=("ids_crc32", "long", lambda ids: zlib.crc32(ids.tobytes())))
 
 
@@ -222,7 +218,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

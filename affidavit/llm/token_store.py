@@ -15,13 +15,15 @@ frames cross the network.  A task writes under a name of its own and moves its
 files into place when they are whole, so a task that is lost and run again
 leaves the same files.
 
-The encoder takes the runs between white space one by one, each different run
-once while a worker's bounded cache holds it; the vocabulary file is of a kind
-where white space always ends a token and is dropped, which is checked.
-
-Defined cases: a null text counts as empty and has the end id alone; null keys
-come first; rows that repeat a key stay, in the order of their frames; further
-columns play no part; an empty table gives a folder without shards.
+The encoder takes the runs between white space, each different run once while a
+worker's bounded cache holds it, and gives many new ones to the library at once,
+with a token between them; the vocabulary file is of a kind where white space
+always ends a token and is dropped, which is checked.
+
+Defined cases: a null text counts as empty and has the end id alone; a very long
+text is one frame, and its ids are in memory at once; null keys come first; rows
+that repeat a key stay, in the order of their frames; further columns play no
+part; an empty table gives a folder without shards.
 """
 
 from __future__ import annotations
@@ -45,8 +47,11 @@ from pyspark.sql import types as T
 
 from .common import partitions
 
-#: Documents that the dictionary is trained on at most, ids of each, and the dictionary's bytes.
-SAMPLE, SAMPLE_IDS, DICTIONARY = 2000, 8192, 64 << 10
+#: Documents that the dictionary is trained on at most, bytes of their ids after which no further
+#: document is taken (each is taken whole, in samples of PIECE bytes), and the dictionary's bytes.
+SAMPLE, SAMPLE_BYTES, PIECE, DICTIONARY = 2000, 16 << 20, 16 << 10, 64 << 10
+#: What stands between words that are encoded together, and how many these are.
+BETWEEN, TOGETHER = "|", 512
 CACHED, RUN, LEVEL, FLUSH = 600_000, 1 << 20, 1, 4 << 20
 #: Characters that only one of Python and the tokenizer's patterns takes for white space.
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
@@ -68,6 +73,8 @@ class WordEncoder:
         if not (pieces[0]["type"] == "Split" and pieces[0]["invert"] and pieces[0]["behavior"] == "Removed"):
             raise ValueError("this vocabulary may keep white space in its tokens")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,16 +85,34 @@ class WordEncoder:
         """Puts the ids of the words into the cache; what a full cache held stays until the next one is full."""
         if len(self.cache) > CACHED:
             self.cache, self.older = {}, self.cache
-        new = words - self.cache.keys()
-        known = new & self.older.keys()
-        self.cache.update((w, self.older[w]) for w in known)
-        new = list(new - known)
+        cache, older, new = self.cache, self.older, []
+        for w in words:
+            if w not in cache:
+                if w in older:
+                    cache[w] = older[w]
+                else:
+                    new.append(w)
         # the vocabulary is of lower case; beyond ASCII the tokenizer's own rules may differ from Python's
         plain = [w.lower() if w.isascii() else w for w in new] if self.lower else new
-        once = list(dict.fromkeys(plain))
-        ids = dict(zip(once, self.whole(once), strict=True))
+        once = dict.fromkeys(plain)
+        together = [w for w in once if self.between is not None and BETWEEN not in w]
+        ids = dict(zip(together, self.separated(together), strict=True))
+        alone = [w for w in once if w not in ids]
+        ids.update(zip(alone, self.whole(alone), strict=True))
         self.cache.update(zip(new, map(ids.__getitem__, plain), strict=True))
 
+    def separated(self, words: list[str]) -> Iterator[bytes]:
+        """The packed ids of words without BETWEEN, from few calls of the library."""
+        space = f" {BETWEEN} "
+        lines = [space.join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, f"<u{self.width}")
+            data, cut = ids.tobytes(), np.flatnonzero(ids == self.between) * self.width
+            starts, ends = [0, *(cut + self.width).tolist()], [*cut.tolist(), len(data)]
+            if len(ends) != len(words[k * TOGETHER : (k + 1) * TOGETHER]):
+                raise ValueError("the vocabulary does not keep words apart")
+            yield from (data[i:j] for i, j in zip(starts, ends, strict=True))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -137,12 +162,19 @@ def get(folder: str, name: str) -> bytes:
 
 def train(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> bytes:
     """The dictionary from the sampled documents, which are those of least hash."""
-    named = docs.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.col(f"`{text}`").alias("text"))
-    # the ids are drawn first and the texts fetched then, so that only sampled texts leave their tasks
-    drawn = docs.select(F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h")).distinct().orderBy("h").limit(SAMPLE)
-    sample = named.join(F.broadcast(drawn), "h", "left_semi").where("text is not null").select("text").limit(SAMPLE)
-    ids = sample.mapInArrow(_sampled(path, end_id), "ids binary")
-    found = [bytes(r.ids) for r in ids.toLocalIterator()]  # at most SAMPLE * SAMPLE_IDS ids
+    named = docs.select(
+        F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"), F.xxhash64(f"`{text}`").alias("g"), F.col(f"`{text}`").alias("text")
+    )
+    # the hashes are drawn first and the texts fetched then, so that only sampled texts leave their tasks
+    drawn = named.where("text is not null").select("h", "g").distinct().orderBy("h", "g").limit(SAMPLE)
+    sample = named.join(F.broadcast(drawn), ["h", "g"], "left_semi").dropDuplicates(["h", "g"]).orderBy("h", "g")
+    found, size = [], 0
+    for r in sample.mapInArrow(_sampled(path, end_id), "ids binary").toLocalIterator():
+        ids = bytes(r.ids)
+        found += [ids[k : k + PIECE] for k in range(0, len(ids), PIECE)]
+        size += len(ids)
+        if size >= SAMPLE_BYTES:
+            break
     try:
         return zstandard.train_dictionary(DICTIONARY, found).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the samples serve as they are
@@ -153,8 +185,8 @@ def _sampled(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = encoder_of(path)
-            ids = [x[: SAMPLE_IDS * e.width] + e.pack([end_id]) for x in e.encode(b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            for x in e.encode(b.column("text").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([x + e.pack([end_id])], pa.binary())], ["ids"])
 
     return run
 

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def test_op5(spark):
 def test_op6(spark, docs):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{Q.TOKENIZERS}/word_bpe_49k.json")
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want, start = [], 0
     for r in docs:
         ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [1], "<u4")
@@ -105,7 +106,7 @@ def test_word_encoder_is_the_library(spark):
 
     from affidavit.llm.token_store import WordEncoder
 
-    e, rng = WordEncoder(f"{Q.TOKENIZERS}/word_bpe_49k.json"), random.Random(5)
+    e, rng = WordEncoder(P.path("word_bpe_49k.json")), random.Random(5)
     letters = "abcXYZ'sßΣσςİıéÉ́  \t\n\r\x0b\x1c\x1f\x85  ᠎12.,!?<|>日本🙂"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["Don'T STOP'S <|endoftext|> x<|startoftext|>y"]
     want = [e.pack(x.ids) for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -135,9 +136,9 @@ def test_op9(spark, docs):
 
     import tiktoken
 
-    with open(f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    e = tiktoken.Encoding("own", pat_str=Q.BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = {}
     for r in docs:
@@ -154,18 +155,30 @@ def test_byte_bpe_on_odd_texts():
 
     from affidavit.llm.byte_bpe import bpe_of
 
-    path, rng = f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken", random.Random(4)
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(4)
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    e = tiktoken.Encoding("own", pat_str=Q.BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["", "a" * 3000, "ab" * 2000, " " * 500, "don't WE'LL\n\n x", "日本語🙂" * 40] + ["".join(rng.choice("abcé ßΩ1!\n ") for _ in range(rng.randint(0, 400))) for _ in range(300)]
-    b = bpe_of(path, Q.BYTE_PATTERN)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    odd = "".join(rng.choice("abcdefgh") for _ in range(5000))
+    texts = ["", "a" * 3000, "ab" * 2000, " " * 500, odd, "x" + "the" * 900, "é" * 130, "q" * 256, "q" * 257, "don't WE'LL\n\n x", "日本語🙂" * 40] + ["".join(rng.choice("abcé ßΩ1!\n ") for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    b = bpe_of(path, P.PATTERN)
     got = [b"".join(x) for x in b.encode(texts)]
     assert got == [np.array(e.encode_ordinary(t), "<u4").tobytes() for t in texts]
     assert [b.decode(x).decode() for x in got] == texts
     assert [b"".join(b._long(t)) for t in texts] == got
 
 
+def test_a_piece_of_a_megabyte_takes_seconds():
+    import time
+
+    from affidavit.llm.byte_bpe import bpe_of
+
+    b, began = bpe_of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), time.time()
+    text = "thequickbrownfox" * 65_536
+    packed = b"".join(next(b.encode([text])))
+    assert b.decode(packed).decode() == text and time.time() - began < 60
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -174,7 +187,7 @@ def test_pipeline(spark):
     assert 0 < len(out) and {r.doc_id for r in out} <= docs.keys()
     from affidavit.llm.byte_bpe import bpe_of
 
-    b = bpe_of(f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken", Q.BYTE_PATTERN)
+    b = bpe_of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for r in out:
         lines = docs[r.doc_id].split("\n")
         assert all(line in lines for line in b.decode(bytes(r.ids)).decode().split("\n"))

@@ -6,16 +6,16 @@ import hashlib
 import random
 import re
 
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from affidavit.llm import byte_bpe, embedding_dedup, html_extract, license_scan, mixing, quality_classifier, quality_rules, simhash_dedup, token_store, url_filter
 from affidavit.llm.common import new_folder
-from affidavit.llm.queries import BYTE_PATTERN, TOKENIZERS
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-BPE, WORDS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/word_bpe_49k.json"
+BPE, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 rng = random.Random(7)
 WORD = [f"w{rng.randrange(10**6):06d}" for _ in range(4000)]
 prose = lambda n: " ".join(rng.choice(WORD) for _ in range(n))
@@ -198,13 +198,13 @@ def test_embeddings(spark):
 
 def test_byte_bpe(docs, empty):
     clash = docs.withColumns({"key": F.lit(1), "value": F.lit(2), "ids": F.lit(3), "n_tokens": F.lit(4)})
-    encoded = byte_bpe.encode(clash, BPE, BYTE_PATTERN)
-    back = {(r.doc_id, bytes(r.data)) for r in byte_bpe.decode(encoded, BPE, BYTE_PATTERN).collect()}
+    encoded = byte_bpe.encode(clash, BPE, P.PATTERN)
+    back = {(r.doc_id, bytes(r.data)) for r in byte_bpe.decode(encoded, BPE, P.PATTERN).collect()}
     assert back == {(r.doc_id, (r.text or "").encode()) for r in docs.collect()}
-    for r in byte_bpe.digests(docs, BPE, BYTE_PATTERN).collect():
+    for r in byte_bpe.digests(docs, BPE, P.PATTERN).collect():
         if r.doc_id in (3, 4):
             assert (r.n_tokens, r.ids_sha256) == (0, hashlib.sha256().hexdigest())
-    assert byte_bpe.encode(empty, BPE, BYTE_PATTERN).collect() == []
+    assert byte_bpe.encode(empty, BPE, P.PATTERN).collect() == []
 
 
 def test_mixing(spark, docs, empty):
