@@ -3,12 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of documents.
+
+Defined cases, in every stage: an empty table gives an empty one; repeated rows and
+ids are rows of their own, but for the near-dedup, where an id is one document;
+further columns of any name pass through all stages but the last; texts are taken
+whole, however long.  A null or empty text fails the quality rules; in the other
+stages it is an empty text: scored as one, one of the near copies of all empty
+texts, counted as one character when sources are mixed, and without tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +25,12 @@ from affidavit.llm.common import stored, table
 from affidavit.llm.mixing import mix
 from affidavit.llm.quality_classifier import score, train
 from affidavit.llm.quality_rules import quality_rules, without_lines
-from affidavit.llm.queries import BYTE_PATTERN, MIX_WEIGHTS, TOKENIZERS
+from affidavit.llm.queries import MIX_WEIGHTS
 from affidavit.llm.simhash_dedup import simhash_dedup
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and lines above the limit go from those that stay."""
+    """Rejected documents go (null and empty texts among them), and lines above the limit go from those that stay."""
     judged = quality_rules(docs).where("rules.kept")
     judged = judged.withColumn("text", without_lines(F.col("text"), F.col("rules.removed")))
     return judged.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -45,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row."""
-    return encode(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
+    """(doc_id, n_tokens, ids, decoded_sha256) of every row; the last is the hash of the bytes that the ids decode to."""
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
