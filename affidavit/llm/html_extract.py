@@ -1,28 +1,35 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser feeds one pass over a page.  Block elements cut
-it into lines; a line knows its text, the tags met in it and the elements around
-it.  Lines inside elements that never hold main text (navigation, forms,
-scripts, ...; also by class, id and role) are set aside.  The others get the
-ratio of text characters to tags, smoothed over the lines by a Gaussian; the
-threshold that best splits the smoothed ratios into two clusters (their least
-summed variance) marks content lines, and runs of them are regions.  The region
-with the most text selects its container: an enclosing article or main element,
-else the smallest element around the region that holds nearly all content text
-around.  The result is every line of the container that wasn't set aside, so
-short paragraphs between long ones stay.
+it into lines; a line knows its text, the tags met since the line before, and the
+element around it.  Every line, menus and footers too, gets the ratio of text
+characters to tags, smoothed over the lines by a Gaussian; the threshold that
+best splits the smoothed ratios into two clusters (their least summed variance)
+marks content lines, and runs of them are regions.  The region with the most text
+selects the content: the article or main element around it, else the smallest
+element around its longest line that holds nearly all content text, and of that
+element's parts only those that are mostly content, as smoothing carries a
+region a line or two too far.
+
+Inside the content, elements that never hold main text (navigation, forms,
+scripts, ...; also by class, id and role) are cleaned away, and nothing else is,
+so short paragraphs between long ones stay.  An element is not cleaned away by
+its class, id or role if it is an article, main or heading, has one inside, or
+holds nearly all text of the page.
 
 Defined cases: a null, empty or text-less page gives an empty text; unclosed
 and stray tags are taken as browsers mostly take them; a page cut off anywhere
-gives what came before; of regions of equal text the first wins; very long
-pages are parsed in one streaming pass; repeated rows stay; further columns
-pass through, but for ``text`` and ``n_chars``, which the result replaces; an
-empty table gives an empty result.
+gives what came before; of regions of equal text the first wins; very long and
+very deep pages are parsed in one pass, in memory that grows with the page, as
+elements are numbered in their order and know where they end; repeated rows stay;
+further columns pass through, but for ``text`` and ``n_chars``, which the result
+replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, WINDOW = 1.0, 3
-#: Share of the content text that a container without article or main must hold.
-SHARE = 0.8
+#: Share of the content text that a container without article or main must hold, and of the page's
+#: text from which on an element isn't cleaned away by its class, id or role.
+SHARE, NEARLY_ALL = 0.8, 0.9
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -45,7 +53,10 @@ NEVER = frozenset(
     "nav header footer aside form script style noscript template head title select option button textarea iframe "
     "object canvas svg math audio video menu dialog datalist label fieldset search".split()
 )
+#: Elements of NEVER whose text is no line at all.
+UNSEEN = frozenset("script style noscript template head title iframe object canvas svg math audio video".split())
 CONTAINERS = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: Words of class, id or role that mark what isn't main text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs combx comment commentlist comments complementary "
@@ -64,57 +75,70 @@ ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 SCOPES = frozenset("table td th ul ol dl body html article main section div blockquote button object".split())
 #: Elements of single paragraphs, items or cells: a page's main text is more than one of them.
 SMALL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt td th tr tbody pre blockquote figure figcaption address".split())
+#: Class names of a page's state or kind, not of a part: has-sidebar, with-ads, comments-open, form-page.
+STATE = re.compile("^(?:has|with|no|is|hide|show)[-_]|[-_](?:open|closed|enabled|disabled|page|template|layout)$")
 _GAP, _NAME = re.compile(r"\s+"), re.compile("[a-z]+")
 
 
 def marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            words = _NAME.findall(re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
-            if not MARKS.isdisjoint(words):
-                return True
+            for one in value.split():
+                one = re.sub("([a-z])([A-Z])", r"\1-\2", one).lower()
+                if not STATE.search(one) and not MARKS.isdisjoint(_NAME.findall(one)):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: (text, tags, element), and the elements' parents."""
+    """Lines of a page (text, tags, element) and its elements in their order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, set aside
-        self.parents, self.names = [0], [""]
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, unseen
+        self.open: Counter[str] = Counter()
+        # of every element: its parent, name, whether it is cleaned away (1 by its attributes, 2 by its name), last element and lines
+        self.parents, self.names, self.aside, self.last, self.first_line, self.end_line = [0], [""], [0], [0], [0], [0]
         self.parts: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         if self.parts:
             text = _GAP.sub(" ", "".join(self.parts)).strip()
-            if text and not self.stack[-1][2]:
+            if text:
                 self.lines.append((text, self.tags, self.stack[-1][1]))
                 self.tags = 0
             self.parts = []
 
     def close_to(self, k: int) -> None:
         """Leaves the elements above place ``k`` of the stack."""
-        if any(name in BLOCKS or aside for name, _, aside in self.stack[k:]):
+        if any(self.stack[m][1] != self.stack[m - 1][1] for m in range(k, len(self.stack))):
             self.flush()
+        for m in range(len(self.stack) - 1, k - 1, -1):
+            name, e, _ = self.stack[m]
+            self.open[name] -= 1
+            if e != self.stack[m - 1][1]:
+                self.last[e], self.end_line[e] = len(self.names) - 1, len(self.lines)
         del self.stack[k:]
 
     def implied(self, tag: str) -> None:
         closes = CLOSES.get(tag, frozenset())
         if tag in ENDS_P:
             closes = closes | {"p"}
-        if not closes:
+        left = sum(self.open[c] for c in closes)
+        if not left:
             return
         bound = SCOPES - closes if tag != "tr" else frozenset(["table"])
         found = None
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k][0]
             if name in closes:
-                found = k
+                found, left = k, left - 1
+                if not left:
+                    break
             elif name in bound:
                 break
         if found:
@@ -131,22 +155,28 @@ class Lines(HTMLParser):
             self.implied(tag)
         if tag in VOID:
             return
-        above = self.stack[-1][2]
-        aside = above or tag in NEVER or (bool(attrs) and tag not in ("html", "body") and marked(attrs))
-        if aside and not above:
+        aside = 2 if tag in NEVER else 1 if attrs and tag not in ("html", "body") and marked(attrs) else 0
+        if aside:
             self.flush()
-        if tag in BLOCKS or aside != above:
-            self.parents.append(self.stack[-1][1])
+        self.open[tag] += 1
+        element, unseen = self.stack[-1][1], self.stack[-1][2] or tag in UNSEEN
+        if tag in BLOCKS or aside:
+            self.parents.append(element)
             self.names.append(tag)
-            self.stack.append((tag, len(self.names) - 1, aside))
-        else:
-            self.stack.append((tag, self.stack[-1][1], aside))
+            self.aside.append(aside)
+            self.last.append(0)
+            self.first_line.append(len(self.lines))
+            self.end_line.append(0)
+            element = len(self.names) - 1
+        self.stack.append((tag, element, unseen))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
                 self.close_to(k)
@@ -158,6 +188,25 @@ class Lines(HTMLParser):
         if not self.stack[-1][2]:
             self.parts.append(data)
 
+    def end(self) -> None:
+        self.close()
+        self.flush()
+        self.close_to(1)
+        self.last[0], self.end_line[0] = len(self.names) - 1, len(self.lines)
+
+    def cleaned(self, size: np.ndarray) -> np.ndarray:
+        """Whether each element is cleaned away, by itself or with one around it."""
+        kept = np.array([n in CONTAINERS or n == "h1" for n in self.names])
+        own = kept | np.array([n in HEADINGS for n in self.names])
+        inside = np.cumsum(kept)
+        chars = np.r_[0.0, np.cumsum(size)]
+        last, first, end = np.array(self.last), np.array(self.first_line), np.array(self.end_line)
+        spared = own | (inside[last] - inside > 0) | (chars[end] - chars[first] >= NEARLY_ALL * chars[-1])
+        aside = ((np.array(self.aside) == 1) & ~spared | (np.array(self.aside) == 2)).tolist()
+        for e in range(1, len(aside)):
+            aside[e] = aside[e] or aside[self.parents[e]]
+        return np.array(aside)
+
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     weight = np.exp(-0.5 * (np.arange(-WINDOW, WINDOW + 1) / sigma) ** 2)
@@ -177,44 +226,72 @@ def threshold(values: np.ndarray) -> float:
     return float(v[1 + int(np.argmin(cost))])
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, clustered: bool = True) -> str:
+    """The main text; ``clustered=False`` takes every line for content, to show what the clusters do."""
     parser = Lines()
     parser.feed(page or "")
-    parser.close()
-    parser.flush()
+    parser.end()
     if not parser.lines:
         return ""
     size = np.array([len(t) for t, _, _ in parser.lines], float)
     ratio = smoothed(size / np.maximum(1, [k for _, k, _ in parser.lines]))
-    content = ratio >= threshold(ratio)
-    starts = np.flatnonzero(content & ~np.r_[False, content[:-1]])
-    ends = np.flatnonzero(content & ~np.r_[content[1:], False]) + 1
-    sums = np.r_[0.0, np.cumsum(size * content)]
-    best = int(np.argmax(sums[ends] - sums[starts]))
     elements = np.array([e for _, _, e in parser.lines])
-    chains = [_above(int(e), parser.parents) for e in dict.fromkeys(elements[starts[best] : ends[best]])]
-    shared = [e for e in chains[0] if all(e in c for c in map(set, chains[1:])) and parser.names[e] not in SMALL]
-    # article or main around the region, or else around its heaviest line
-    heavy = _above(int(elements[starts[best] + int(np.argmax(size[starts[best] : ends[best]]))]), parser.parents)
-    named = [e for e in shared if parser.names[e] in CONTAINERS] or [e for e in heavy if parser.names[e] in CONTAINERS]
-    inside = {}
-    for e in dict.fromkeys(elements.tolist()):
-        inside[e] = set(_above(e, parser.parents))
-    if named:
-        top = named[-1] if parser.names[named[-1]] == "article" else named[0]
+    seen = np.flatnonzero(~parser.cleaned(size)[elements])
+    content = ratio >= threshold(ratio) if clustered else np.ones(len(ratio), bool)
+    if not content[seen].any():
+        content[seen] = True
+    if not len(seen):
+        return ""
+    # regions are runs of content lines among the lines that aren't cleaned away
+    marks, weight = content[seen], size[seen] * content[seen]
+    starts = np.flatnonzero(marks & ~np.r_[False, marks[:-1]])
+    ends = np.flatnonzero(marks & ~np.r_[marks[1:], False]) + 1
+    sums = np.r_[0.0, np.cumsum(weight)]
+    best = int(np.argmax(sums[ends] - sums[starts]))
+    region = elements[seen[starts[best] : ends[best]]]
+    heaviest = int(region[int(np.argmax(size[seen[starts[best] : ends[best]]]))])
+    shared = int(region[0])
+    for e in region.tolist():
+        while not shared <= e <= parser.last[shared]:
+            shared = parser.parents[shared]
+    top = _container(parser, shared) or _container(parser, heaviest)
+    if top:
+        chosen = seen[(elements[seen] >= top) & (elements[seen] <= parser.last[top])]
     else:
-        weight = {c: sum(float(s) for s, e, k in zip(size, elements, content, strict=True) if k and c in inside[int(e)]) for c in shared}
-        top = next((c for c in shared if weight[c] >= SHARE * sums[-1]), 0)
-    return "\n\n".join(t for t, _, e in parser.lines if top in inside[e])
+        before = np.r_[0.0, np.cumsum(size * content * np.isin(np.arange(len(size)), seen))]
+        top = heaviest
+        while top and (parser.names[top] in SMALL or before[parser.end_line[top]] - before[parser.first_line[top]] < SHARE * sums[-1]):
+            top = parser.parents[top]
+        chosen = _content_parts(parser, top, elements, seen, size, before)
+    return "\n\n".join(parser.lines[k][0] for k in chosen.tolist())
 
 
-def _above(element: int, parents: list[int]) -> list[int]:
-    """The element and those around it, outwards."""
-    out = [element]
+def _container(parser: Lines, element: int) -> int:
+    """The article or main around an element, itself included: an outermost article, or else the nearest; 0 for none."""
+    named = []
     while element:
-        element = parents[element]
-        out.append(element)
-    return out
+        if parser.names[element] in CONTAINERS:
+            named.append(element)
+        element = parser.parents[element]
+    return 0 if not named else named[-1] if parser.names[named[-1]] == "article" else named[0]
+
+
+def _content_parts(parser: Lines, top: int, elements: np.ndarray, seen: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of the lines inside ``top``: those of its parts that are paragraphs and the like, or wholes of mostly content."""
+    chars = np.r_[0.0, np.cumsum(size * np.isin(np.arange(len(size)), seen))]
+    out, part = [], 0
+    for k in seen[(elements[seen] >= top) & (elements[seen] <= parser.last[top])].tolist():
+        e = int(elements[k])
+        if not (part and part <= e <= parser.last[part]):
+            part = e
+            while part != top and parser.parents[part] != top:
+                part = parser.parents[part]
+        first, end = parser.first_line[part], parser.end_line[part]
+        if part == top or parser.names[part] in SMALL or 2 * (before[end] - before[first]) >= chars[end] - chars[first]:
+            out.append(k)
+        if part == top:
+            part = 0
+    return np.array(out, np.int64)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -113,6 +113,136 @@ def test_word_encoder_is_the_library(spark):
     assert list(e.encode(texts)) == want
 
 
+class Page:
+    """Slow reference extractor over a tree of well-formed pages without class names: definitions followed word by word."""
+
+    SMALL = set("p h1 h2 h3 h4 h5 h6 ul li".split())
+    AWAY = set("nav header footer aside form".split())
+
+    def __init__(self, html):
+        import re
+
+        self.lines, self.tags, path, counter = [], 0, [("root", 0)], 1
+        for m in re.finditer(r"<(/?)([a-z0-9]+)>|([^<]+)", html):
+            if m[3]:
+                if m[3].strip():
+                    self.lines.append((" ".join(m[3].split()), self.tags, list(path)))
+                    self.tags = 0
+            else:
+                self.tags += 1
+                if m[1]:
+                    path.pop()
+                else:
+                    path.append((m[2], counter))
+                    counter += 1
+
+    def text(self):
+        import math
+
+        n = len(self.lines)
+        ratio = [len(t) / max(1, k) for t, k, _ in self.lines]
+        w = lambda d: math.exp(-d * d / 2)
+        smooth = [sum(ratio[j] * w(i - j) for j in range(n) if abs(i - j) <= 3) / sum(w(i - j) for j in range(n) if abs(i - j) <= 3) for i in range(n)]
+        var = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) if v else 0
+        cuts = sorted(set(smooth))
+        cut = min(cuts[1:], key=lambda c: (round(var([x for x in smooth if x < c]) + var([x for x in smooth if x >= c]), 6), c)) if len(cuts) > 1 else cuts[0]
+        seen = [k for k in range(n) if not any(name in self.AWAY for name, _ in self.lines[k][2])]
+        hit = {k for k in seen if smooth[k] >= cut} or set(seen)
+        runs, run = [], []
+        for k in [*seen, None]:
+            if k in hit:
+                run.append(k)
+            elif run:
+                runs.append(run)
+                run = []
+        best = max(runs, key=lambda r: (sum(len(self.lines[k][0]) for k in r), -r[0]))
+        common = [e for e in self.lines[best[0]][2] if all(e in self.lines[k][2] for k in best)]
+        heavy = self.lines[max(best, key=lambda k: (len(self.lines[k][0]), -k))][2]
+        for chain in (common, heavy):
+            named = [e for e in chain if e[0] in ("article", "main")]
+            if named:
+                top = named[0] if named[0][0] == "article" else named[-1]
+                return "\n\n".join(self.lines[k][0] for k in seen if top in self.lines[k][2])
+        total = sum(len(self.lines[k][0]) for k in hit)
+        holds = lambda e: sum(len(self.lines[k][0]) for k in hit if e in self.lines[k][2])
+        top = next((e for e in reversed(heavy) if e[0] not in self.SMALL and holds(e) >= 0.8 * total), ("root", 0))
+        out = []
+        for k in seen:
+            path = self.lines[k][2]
+            if top in path:
+                part = path[path.index(top) + 1] if path.index(top) + 1 < len(path) else None
+                chars = lambda ks: sum(len(self.lines[j][0]) for j in ks if part in self.lines[j][2])  # noqa: B023, E731
+                if part is None or part[0] in self.SMALL or 2 * chars(hit) >= chars(seen):
+                    out.append(self.lines[k][0])
+        return "\n\n".join(out)
+
+
+def made_page(rng, shape):
+    word = lambda n: " ".join(rng.choice(["stone", "river", "of", "wander", "light", "a", "evening"]) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a>{word(1)}</a></li>" for _ in range(n)) + "</ul>"
+    paragraphs = "".join(f"<p>{word(rng.choice([2, 40, 60, 90]))}</p>" for _ in range(rng.randint(3, 8))) + f"<p>{word(80)}</p>"
+    body = f"<h1>{word(4)}</h1>{paragraphs}"
+    menu, foot = f"<div>{links(rng.randint(5, 12))}</div>", f"<div>{links(rng.randint(3, 9))}</div>"
+    if shape == "article":
+        return f"<body><nav>{links(6)}</nav><article>{body}</article><footer><p>{word(5)}</p></footer></body>"
+    if shape == "plain":
+        return f"<body>{menu}<div>{body}</div>{foot}</body>"
+    if shape == "flat":
+        return f"<body>{menu}{body}{foot}</body>"
+    return f"<body>{menu}<div><div>{links(8)}</div><section>{body}</section></div><aside><p>{word(30)}</p></aside>{foot}</body>"
+
+
+def test_op7_against_a_slow_extractor():
+    """Pages with and without article; on those without, the result depends on the clusters."""
+    import random
+
+    from affidavit.llm.html_extract import main_text
+
+    rng, changed = random.Random(21), []
+    for k in range(400):
+        shape = ["article", "plain", "flat", "nested"][k % 4]
+        page = made_page(rng, shape)
+        text = main_text(page)
+        assert text == Page(page).text(), page
+        if main_text(page, clustered=False) != text:
+            changed.append(shape)
+        if shape == "plain":  # labelled: the body's div is the main text
+            want = [w for w in page[page.index("<h1>") : page.rindex("</p>")].replace("</h1>", "\n").replace("</p>", "\n").replace("<h1>", "").replace("<p>", "").split("\n") if w]
+            assert text == "\n\n".join(want)
+    assert changed.count("flat") == 100  # menus that no tag or class names go by the clusters alone
+
+
+def test_op7_memory_and_time_of_deep_pages():
+    import time
+    import tracemalloc
+
+    from affidavit.llm.html_extract import main_text
+
+    for page in ("<div>x " * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<div><b>" * 10_000):
+        tracemalloc.start()
+        began = time.time()
+        main_text(page)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100 << 20 and time.time() - began < 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main class='has-sidebar'><h1>T</h1><p>{}</p></main>", "<div id='page' class='with-ads'><h1>T</h1><p>{}</p></div>",
+        "<article class='post comments-open'><h1>T</h1><p>{}</p></article>", "<div class='form-page'><h1>T</h1><p>{}</p></div>",
+        "<article><h1 class='page-header'>T</h1><p>{}</p></article>", "<div class='banner'><h1>T</h1><p>{}</p></div>",
+    ],
+)
+def test_op7_class_names_do_not_take_the_content(page):
+    from affidavit.llm.html_extract import main_text
+
+    side = "<div class='sidebar'><p>See also this</p></div><div class='comment-list'><p>Nice post, thanks</p></div>"
+    text = "Many words make a paragraph here. " * 9
+    assert main_text(f"<body>{side}{page.format(text)}{side}</body>") == "T\n\n" + text.strip()
+
+
 def test_op8(spark):
     rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
     rng = np.random.default_rng(2)
