@@ -8,18 +8,22 @@
    are chosen, as a common direction would put all on the same side.  A large tile
    is cut by a hash, and its parts are compared with each other.
 3. NN-descent: every vector introduces its neighbours (its list, and a bounded
-   sample of those that list it) to each other, and lists keep the best.  A list
-   that is saturated, all of it at the threshold or above, is doubled.  Rounds
-   end when hardly any link is new.
+   sample of those that list it) to each other, and lists keep the best.  Two
+   vectors that link with a third have a cosine of ``2 * least ** 2 - 1`` or more,
+   so lists hold no others; a vector whose neighbours are all known from the round
+   before introduces nobody.  A list that is saturated, all of it at the threshold
+   or above, is doubled.  Rounds end when hardly any link is new.
 4. Links at the threshold give components.  Inside a component links are counted
    exactly, pair of parts by pair of parts, so lists that stay saturated (a
    group of thousands of near copies) lose no link; only counts leave a task.
 5. Recall is audited: a bounded sample of vectors is compared by brute force
    with all vectors in blocks.  It is the mean over vectors that have links, so
    one large group doesn't outweigh the rest; below the target more tables are
-   drawn, and if that doesn't help an error is raised.
+   drawn, and if that doesn't help an error is raised.  A sample without links is
+   no evidence: more tables are drawn then too, and the result says so in the log.
 
-Cosines are computed in double precision from the vectors as they are stored.
+Cosines are computed in double precision from the vectors as they are stored,
+and vectors are sent as they are stored, single precision as 4 bytes a component.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, nor do vectors of different lengths or rows
@@ -39,14 +43,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, stored
+from .common import forget, partitions, stored
 from .components import connected_components
-from .simhash_dedup import spanning_forest
 
 LEAST, RECALL, AUDITED, TRIES = 0.95, 0.99, 1000, 3
 #: Rows of a tile on average and at most, of a part of a component, neighbours of a list at first and at most, rounds.
-MEAN_TILE, TILE, PART, K, MOST_K, ROUNDS, NEW = 64, 256, 1024, 6, 24, 4, 0.001
+MEAN_TILE, TILE, PART, K, MOST_K, ROUNDS, NEW = 256, 1024, 256, 6, 24, 4, 0.001
 #: Least cosine, once the vectors are centred, for which tables are counted.
 LOWEST = 0.5
 #: Rows of a result batch.
@@ -54,13 +58,18 @@ SENT = 8192
 log = logging.getLogger(__name__)
 
 
-def matrix(rows: pa.Array) -> np.ndarray:
-    """Unit vectors in double precision from packed doubles of one length."""
-    x = np.frombuffer(b"".join(rows.to_pylist()), "<f8").reshape(len(rows), -1)
+def matrix(rows: pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors in double precision from packed numbers of one length and ``kind``."""
+    x = np.frombuffer(b"".join(rows.to_pylist()), kind).reshape(len(rows), -1).astype(float)
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow of the norms
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def kind_of(vectors: DataFrame, vector: str) -> str:
+    """How components are packed: 4 bytes each if they are stored so, else 8."""
+    return "<f4" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) else "<f8"
+
+
 def usable(key: str, vector: str) -> Column:
     """Whether a row has an id and a vector that can link; never null."""
     x = F.col(f"`{vector}`").cast("array<double>")
@@ -69,15 +78,15 @@ def usable(key: str, vector: str) -> Column:
     return F.col(f"`{key}`").isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def packed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, x): usable vectors as packed doubles."""
+def packed(vectors: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
+    """(id, x): usable vectors as packed numbers."""
     of = vectors.where(usable(key, vector)).select(
-        F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x")
+        F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>" if kind == "<f4" else "array<double>").alias("x")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.array(v, "<f8") + 0.0 for v in b.column(1).to_pylist()]  # -0.0 becomes 0.0
+            x = [np.array(v, kind) + np.zeros(1, kind) for v in b.column(1).to_pylist()]  # -0.0 becomes 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "x"])
 
     return of.mapInArrow(run, "id long, x binary")
@@ -130,11 +139,27 @@ def column(rows: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
 
 
-def introduced(rows: pa.Table, best: int, least: float) -> dict | None:
-    """Of the vectors of a unit: each one's ``best`` others, and a spanning forest of the links."""
+def tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of a spanning forest of a symmetric matrix of links."""
+    left, a, b = near.any(1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in np.flatnonzero(left).tolist():
+        if left[root]:
+            left[root], stack = False, [root]
+            while stack:
+                k = stack.pop()
+                new = np.flatnonzero(near[k] & left)
+                left[new] = False
+                a.append(np.full(len(new), k))
+                b.append(new)
+                stack += new.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def introduced(rows: pa.Table, best: int, least: float, kind: str) -> dict | None:
+    """Of the vectors of a unit: each one's ``best`` others that may share a link with it, and a spanning forest of the links."""
     if len(rows) < 2:
         return None
-    v, x = column(rows, "v").to_numpy(), matrix(column(rows, "x"))
+    v, x = column(rows, "v").to_numpy(), matrix(column(rows, "x"), kind)
     v, first = np.unique(v, return_index=True)
     if len(v) < 2:
         return None
@@ -144,14 +169,13 @@ def introduced(rows: pa.Table, best: int, least: float) -> dict | None:
     k = min(best, len(v) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
     a, b = np.repeat(np.arange(len(v)), k), near.ravel()
-    i, j = np.nonzero(np.triu(s >= least, 1))
-    if len(i):
-        tree = spanning_forest(i, j, -s[i, j], len(v))
-        a, b = np.concatenate([a, i[tree], j[tree]]), np.concatenate([b, j[tree], i[tree]])
-    return {"v": pa.array(v[a]), "u": pa.array(v[b]), "s": pa.array(s[a, b])}
+    close = s[a, b] >= 2 * least * least - 1
+    i, j = tree(s >= least)
+    a, b = np.concatenate([a[close], i, j]), np.concatenate([b[close], j, i])
+    return {"v": pa.array(v[a]), "u": pa.array(v[b]), "s": pa.array(s[a, b])} if len(a) else None
 
 
-def centres(classes: DataFrame) -> dict[int, np.ndarray]:
+def centres(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
     """Mean of the unit vectors of each length in bytes; a task sends one sum for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +185,7 @@ def centres(classes: DataFrame) -> dict[int, np.ndarray]:
             sizes = np.array([len(x) for x in b.column("x").to_pylist()], np.int64)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
-                sums[size] = sums.get(size, 0) + matrix(b.column("x").take(pa.array(rows))).sum(0)
+                sums[size] = sums.get(size, 0) + matrix(b.column("x").take(pa.array(rows)), kind).sum(0)
                 counts[size] = counts.get(size, 0) + len(rows)
         if sums:
             names = [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())]
@@ -174,7 +198,7 @@ def centres(classes: DataFrame) -> dict[int, np.ndarray]:
     return {size: total / n for size, (total, n) in out.items()}
 
 
-def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int, np.ndarray]) -> DataFrame:
+def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int, np.ndarray], kind: str) -> DataFrame:
     """(v, u, s) from tiles of vectors on the same side of random hyperplanes."""
     bits = max(1, math.ceil(math.log2(max(n, 2) / MEAN_TILE)))
     common = max((float(c @ c) for c in centre.values()), default=0.0)
@@ -189,10 +213,10 @@ def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int,
             keys = np.zeros((len(b), tables), np.int64)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                planes = np.random.default_rng([turn, int(size)]).normal(size=(int(size) // 8, tables * bits))
-                x = matrix(b.column("x").take(pa.array(rows))) - centre[int(size)]
+                planes = np.random.default_rng([turn, int(size)]).normal(size=(len(centre[int(size)]), tables * bits))
+                x = matrix(b.column("x").take(pa.array(rows)), kind) - centre[int(size)]
                 side = (x @ planes > 0).reshape(len(rows), tables, bits)
-                keys[rows] = side @ (1 << np.arange(bits)) * 4096 + size // 8 % 4096
+                keys[rows] = side @ (1 << np.arange(bits)) * 4096 + size // 4 % 4096
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([b.column("v"), b.column("x"), lists], ["v", "x", "keys"])
 
@@ -205,14 +229,14 @@ def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int,
         .withColumns({"i": F.pmod(F.xxhash64("v", "t"), cut).cast("int"), "j": F.explode(F.sequence(F.lit(0), cut - 1))})
         .select("v", "x", F.xxhash64("t", "key", "size", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
     )
-    return by_unit(dealt, lambda rows: introduced(rows, 2, least), "v long, u long, s double")
+    return by_unit(dealt, lambda rows: introduced(rows, 2, least, kind), "v long, u long, s double")
 
 
 def merged(edges: DataFrame, wide: DataFrame | None) -> DataFrame:
-    """The best of each list: K, or what ``wide`` (v, k) says."""
+    """The best of each list of ``edges`` (v, u, s, fresh): K, or what ``wide`` (v, k) says; an edge that was known isn't fresh."""
     order = Window.partitionBy("v").orderBy(F.desc("s"), "u")
     top = (
-        edges.groupBy("v", "u").agg(F.max("s").alias("s"))
+        edges.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
         .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= (K if wide is None else MOST_K))
     )
@@ -221,21 +245,22 @@ def merged(edges: DataFrame, wide: DataFrame | None) -> DataFrame:
     return top.drop("r")
 
 
-def descend(graph: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """One round: neighbours of neighbours meet, and (v, u, s) of the best pairs comes out with the graph's."""
+def descend(graph: DataFrame, classes: DataFrame, least: float, kind: str) -> DataFrame:
+    """One round: neighbours of neighbours meet, and (v, u, s) of the best pairs comes out."""
     order = Window.partitionBy("unit").orderBy(F.xxhash64("v", "unit"))
     back = (
-        graph.select(F.col("u").alias("unit"), "v")
+        graph.select(F.col("u").alias("unit"), "v", "fresh")
         .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= K)
-        .select("unit", "v")
+        .select("unit", "v", "fresh")
     )
-    members = graph.select(F.col("v").alias("unit"), F.col("u").alias("v")).unionAll(back).distinct()
-    met = members.join(classes.select("v", "x"), "v").select("unit", "v", "x")
-    return by_unit(met, lambda rows: introduced(rows, 2, least), "v long, u long, s double")
+    members = graph.select(F.col("v").alias("unit"), F.col("u").alias("v"), "fresh").unionAll(back)
+    news = members.where("fresh").select("unit").distinct()
+    met = members.select("unit", "v").distinct().join(news, "unit", "left_semi").join(classes.select("v", "x"), "v").select("unit", "v", "x")
+    return by_unit(met, lambda rows: introduced(rows, 2, least, kind), "v long, u long, s double")
 
 
-def exact_counts(parts: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def exact_counts(parts: DataFrame, classes: DataFrame, least: float, kind: str) -> DataFrame:
     """(v, links): of each vector of a component the weight of the others that it links with."""
     sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
     cut = F.ceil(F.col("m") / PART).cast("int")
@@ -249,28 +274,31 @@ def exact_counts(parts: DataFrame, classes: DataFrame, least: float) -> DataFram
 
     def count(rows: pa.Table) -> dict | None:
         v, n, i = (column(rows, c).to_numpy() for c in ("v", "n", "i"))
-        lo, hi = column(rows, "lo").to_numpy(), column(rows, "hi").to_numpy()
-        x, out = matrix(column(rows, "x")), np.zeros(len(v), np.int64)
+        lo, hi, n = column(rows, "lo").to_numpy(), column(rows, "hi").to_numpy(), n.astype(float)
+        x, out = matrix(column(rows, "x"), kind), np.zeros(len(v))
         if lo[0] == hi[0]:
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
+            near = (x @ x.T >= least).astype(float)
+            np.fill_diagonal(near, 0)
             out = near @ n
         else:
             a, b = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
-            near = x[a] @ x[b].T >= least
+            near = (x[a] @ x[b].T >= least).astype(float)
             out[a], out[b] = near @ n[b], n[a] @ near
         return {"v": pa.array(v), "links": pa.array(out.astype(np.int64))}
 
     return by_unit(dealt, count, "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
 
 
-def audit(found: DataFrame, classes: DataFrame, least: float) -> float:
-    """Mean share of the links of each of a bounded sample of vectors, found by brute force over all, that ``found`` has."""
+def audit(found: DataFrame, classes: DataFrame, least: float, kind: str) -> float | None:
+    """Mean share of the links of each of a bounded sample of vectors, found by brute force over all, that ``found`` has.
+
+    None if no vector of the sample has a link.
+    """
     sample = classes.select("v", "x").orderBy(F.xxhash64("v")).limit(AUDITED).collect()  # at most AUDITED rows
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.x), []).append((r.v, bytes(r.x)))
-    asked = {s: (np.array([v for v, _ in rows]), matrix(pa.array([x for _, x in rows], pa.binary()))) for s, rows in by_size.items()}
+    asked = {s: (np.array([v for v, _ in rows]), matrix(pa.array([x for _, x in rows], pa.binary()), kind)) for s, rows in by_size.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, int] = {}
@@ -284,7 +312,7 @@ def audit(found: DataFrame, classes: DataFrame, least: float) -> float:
                 rows = np.flatnonzero(sizes == size)
                 for k in range(0, len(rows), 2048):
                     some = rows[k : k + 2048]
-                    near = q @ matrix(pa.array([xs[i] for i in some], pa.binary())).T >= least
+                    near = q @ matrix(pa.array([xs[i] for i in some], pa.binary()), kind).T >= least
                     near &= names[:, None] != ids[some]
                     for v, t in zip(names.tolist(), (near @ n[some]).tolist(), strict=True):
                         totals[v] = totals.get(v, 0) + t
@@ -293,19 +321,18 @@ def audit(found: DataFrame, classes: DataFrame, least: float) -> float:
 
     true = classes.mapInArrow(run, "v long, all long").groupBy("v").agg(F.sum("all").alias("all"))
     share = F.least(F.coalesce("links", F.lit(0)), "all") / F.col("all")
-    return true.where("all > 0").join(found, "v", "left").agg(F.coalesce(F.avg(share), F.lit(1.0))).first()[0]
+    return true.where("all > 0").join(found, "v", "left").agg(F.avg(share)).first()[0]
 
 
-def news(graph: DataFrame, before: DataFrame, least: float) -> float:
-    """Mean share of the links in a vector's list that are more than the list had ``before``."""
-    count = lambda g, c: g.where(F.col("s") >= least).groupBy("v").agg(F.count("*").alias(c))
-    both = count(graph, "now").join(count(before, "old"), "v", "left")
-    return both.agg(F.avg(F.greatest(F.col("now") - F.coalesce("old", F.lit(0)), F.lit(0)) / F.col("now"))).first()[0] or 0.0
+def news(graph: DataFrame, least: float) -> float:
+    """Mean share of the links in a vector's list that are fresh."""
+    return graph.where(F.col("s") >= least).groupBy("v").agg(F.avg(F.col("fresh").cast("int")).alias("a")).agg(F.avg("a")).first()[0] or 0.0
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
-    rows = stored(packed(vectors, key, vector), "rows")
+    kind = kind_of(vectors, vector)
+    rows = stored(packed(vectors, key, vector, kind), "rows")
     same = rows.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     # a vector goes by its least id, or by a hash where an id names several vectors
     several = same.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several"))
@@ -314,30 +341,38 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         "classes",
     )
     n = classes.count()
-    centre = centres(classes)
-    edges: DataFrame | None = None
+    centre = centres(classes, kind)
+    edges, old = None, []
     for turn in range(TRIES):
-        new = stored(seeds(classes, n, least, turn, centre), "edges")
+        new = stored(seeds(classes, n, least, turn, centre, kind).withColumn("fresh", F.lit(True)), "edges")
         edges = new if edges is None else edges.unionAll(new)
         graph = stored(merged(edges, None), "graph")
-        links, wide = edges.where(F.col("s") >= least).select("v", "u"), None
+        links, used = edges.where(F.col("s") >= least).select("v", "u"), [graph]
         for _ in range(ROUNDS):
             full = graph.groupBy("v").agg(F.min("s").alias("s"), F.count("*").alias("k"))
             full = full.where((F.col("s") >= least) & (F.col("k") >= K)).select("v", F.least(F.col("k") * 2, F.lit(MOST_K)).alias("k"))
-            wide = stored(full, "wide")
-            met = stored(descend(graph, classes, least), "met")
+            met = stored(descend(graph, classes, least, kind).withColumn("fresh", F.lit(True)), "met")
             links = links.unionAll(met.where(F.col("s") >= least).select("v", "u"))
-            before, graph = graph, stored(merged(graph.unionByName(met), wide), "graph")
-            if news(graph, before, least) <= NEW:
+            after = stored(merged(graph.withColumn("fresh", F.lit(False)).unionByName(met), full), "graph")
+            forget(graph)
+            graph = after
+            used += [met, graph]
+            if news(graph, least) <= NEW:
                 break
         parts = stored(connected_components(links.select(F.col("v").alias("a"), F.col("u").alias("b"))), "parts")
-        counts = stored(exact_counts(parts, classes, least), "counts")
-        recall = audit(counts, classes, least)
-        log.info("mean recall of the audited vectors: %.4f", recall)
-        if recall >= RECALL:
+        counts = stored(exact_counts(parts, classes, least, kind), "counts")
+        forget(*used)
+        old.append(new)
+        recall = audit(counts, classes, least, kind)
+        log.info("mean recall of the audited vectors: %s", recall)
+        if recall is not None and recall >= RECALL:
             break
+        if turn < TRIES - 1:
+            forget(parts, counts)
     else:
-        raise RuntimeError(f"recall of the audited vectors is {recall:.4f} after {TRIES} tries, below {RECALL}")
+        if recall is not None:
+            raise RuntimeError(f"recall of the audited vectors is {recall:.4f} after {TRIES} tries, below {RECALL}")
+        log.warning("no audited vector has a link: recall is not known")
     least_id = classes.join(parts.withColumnRenamed("node", "v"), "v").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = parts.join(least_id, "component").select(F.col("node").alias("v"), "component_id")
     named = stored(
@@ -348,6 +383,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         ),
         "named",
     )
+    forget(parts, counts, classes, *old)
     linked = rows.join(named, "x").select("id", "n_links", "component_id")
     alone = vectors.where(~usable(key, vector)).select(F.col(f"`{key}`").cast("long").alias("id"))
     return (

@@ -466,4 +466,5 @@ def test_op8_audit_counts_vectors_not_links(spark):
     x = np.concatenate([group, base, base + rng.normal(0, 0.01, base.shape)])
     classes = spark.createDataFrame([(k, 1, bytearray(v.astype("<f8").tobytes())) for k, v in enumerate(x)], "v long, n long, x binary")
     found = spark.createDataFrame([(k, 299) for k in range(300)], "v long, links long")
-    assert abs(audit(found, classes, 0.95) - 0.75) < 1e-9
+    assert abs(audit(found, classes, 0.95, "<f8") - 0.75) < 1e-9
+    assert audit(found, classes.where("v > 349"), 0.95, "<f8") is None  # no link among these is no evidence
