@@ -171,7 +171,7 @@ def introduced(rows: pa.Table, best: int, least: float, kind: str) -> dict | Non
     a, b = np.repeat(np.arange(len(v)), k), near.ravel()
     close = s[a, b] >= 2 * least * least - 1
     i, j = tree(s >= least)
-    a, b = np.concatenate([a[close], i, j]), np.concatenate([b[close], j, i])
+    a, b = np.concatenate([a[close], j]), np.concatenate([b[close], i])  # one way only: a root may have very many
     return {"v": pa.array(v[a]), "u": pa.array(v[b]), "s": pa.array(s[a, b])} if len(a) else None
 
 
@@ -222,10 +222,15 @@ def seeds(classes: DataFrame, n: int, least: float, turn: int, centre: dict[int,
 
     keyed = classes.select("v", "x").mapInArrow(run, "v long, x binary, keys array<long>")
     rows = keyed.select("v", "x", F.posexplode("keys").alias("t", "key"))
-    sizes = rows.groupBy("t", "key", F.length("x").alias("size")).agg(F.count("*").alias("m")).where("m > 1")
-    cut = F.ceil(F.col("m") / TILE).cast("int")
+    # few tiles are large; written first, their table shows its size, so that vectors need not move to meet it
+    large = stored(
+        rows.groupBy("t", "key", F.length("x").alias("size")).agg(F.count("*").alias("m")).where(F.col("m") > TILE)
+        .select("t", "key", "size", F.ceil(F.col("m") / TILE).cast("int").alias("cut")),
+        "tiles",
+    )
+    cut = F.coalesce("cut", F.lit(1))
     dealt = (
-        rows.withColumn("size", F.length("x")).join(sizes, ["t", "key", "size"])
+        rows.withColumn("size", F.length("x")).join(large, ["t", "key", "size"], "left")
         .withColumns({"i": F.pmod(F.xxhash64("v", "t"), cut).cast("int"), "j": F.explode(F.sequence(F.lit(0), cut - 1))})
         .select("v", "x", F.xxhash64("t", "key", "size", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
     )

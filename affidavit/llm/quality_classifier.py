@@ -1,19 +1,22 @@
 """Quality from passages: gated attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words.  Every passage of every
-whole text is encoded into a few numbers of its form: shares of character
+whole text is encoded into a few numbers of its form (shares of character
 classes, lengths of words, how often words repeat in the passage, next to each
-other and from earlier passages.  Passages get a hidden vector; gated attention
-(tanh times sigmoid) weighs a bag's vectors into one, and a logistic layer
-scores that.  All weights are learned together from document labels alone, by
-Adam on the summed cross-entropy, with the gradients written out in numpy.
-
-Fitting uses a bounded sample: the ``MOST_ROWS`` labelled documents of least
-hash, encoded by Spark tasks and of each at most ``MOST_PASSAGES`` evenly spaced
-passages.  Scoring covers every passage of every text, in a streaming softmax
-that holds one block of passages at a time and the set of the text's words.
-
-Defined cases: a null or empty text is a bag of one empty passage; null labels
+other and from earlier passages) and of its content (words hashed into
+``BUCKETS`` counts).  Passages get a hidden vector; gated attention (tanh times
+sigmoid) weighs a bag's vectors into one, and a logistic layer scores that.  All
+weights are learned together from document labels alone, by Adam on the summed
+cross-entropy, with the gradients written out in numpy.
+
+Fitting uses a bounded sample of whole documents, encoded by Spark tasks: the
+``MOST_ROWS`` labelled ones of least hash, or fewer once they have
+``MOST_PASSAGES`` passages together.  Scoring covers every passage of every text,
+in a streaming softmax that holds one block of passages at a time and the set of
+the text's words.
+
+Defined cases: a null or empty text is a bag of one empty passage; a very long text
+is scored block by block; null labels
 and labels of unknown documents are ignored, and of a document with several the
 least counts; with no labels, or labels of one kind, every score is that kind's
 share (0.5 without any); repeated rows get equal scores; a null key is scored
@@ -23,6 +26,7 @@ replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PASSAGE, BLOCK = 64, 256
-MOST_ROWS, MOST_PASSAGES = 4000, 64
+MOST_ROWS, MOST_PASSAGES = 4000, 200_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 16, 8, 40, 64, 0.01, 1e-4
 THRESHOLD = 0.3
 
@@ -47,7 +51,9 @@ for _chars, _name in (
         _CLASS[_c] = _name[0]
 _CLASS = bytes(_CLASS)
 _COUNTED = [b"U", b"l", b"h", b"d", b".", b",", b"!", b"#", b"q", b"o"]
-N_FEATURES = len(_COUNTED) + 9
+#: Counts that words are hashed into.
+BUCKETS = 32
+N_FEATURES = len(_COUNTED) + 9 + BUCKETS
 
 
 def passages(text: str) -> Iterator[np.ndarray]:
@@ -55,6 +61,7 @@ def passages(text: str) -> Iterator[np.ndarray]:
     words = text.encode("utf-8", "surrogatepass").split()
     seen: set[bytes] = set()
     rows: list[list[float]] = []
+    crc = zlib.crc32
     for k in range(0, max(1, len(words)), PASSAGE):
         some = words[k : k + PASSAGE]
         n = len(some)
@@ -74,6 +81,7 @@ def passages(text: str) -> Iterator[np.ndarray]:
             len(different & seen) / len(different) if different else 0.0,
             lengths.count(1) / n if n else 0.0,
             1.0 if k == 0 else 0.0,
+            *(np.bincount([crc(w) % BUCKETS for w in some], minlength=BUCKETS) / max(1, n)).tolist(),
         ])
         seen |= different
         if len(rows) == BLOCK:
@@ -164,19 +172,19 @@ def train(
         for b in batches:
             rows = []
             for t in b.column("text"):
-                x = np.concatenate(list(passages(t.as_py() or "")))
-                if len(x) > MOST_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, MOST_PASSAGES).astype(int)]
-                rows.append(x.astype("<f4").tobytes())
+                rows.append(np.concatenate(list(passages(t.as_py() or ""))).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label").cast(pa.int32()), pa.array(rows, pa.binary())], ["h", "label", "x"])
 
     joined = texts.join(F.broadcast(drawn), "key").select("h", "label", "text")  # at most 2 * MOST_ROWS rows
-    once = joined.mapInArrow(run, "h long, label int, x binary").groupBy("h").agg(F.first("label").alias("label"), F.first("x").alias("x"))
-    sample = once.orderBy("h").limit(MOST_ROWS).toLocalIterator()
-    bags, y = [], []
-    for r in sample:
+    # of rows that repeat an id one is taken, the same in every run
+    once = joined.mapInArrow(run, "h long, label int, x binary").groupBy("h").agg(F.min(F.struct("label", "x")).alias("r"))
+    bags, y, size = [], [], 0
+    for r in once.orderBy("h").limit(MOST_ROWS).select("r.*").toLocalIterator():
         bags.append(np.frombuffer(bytes(r.x), "<f4").reshape(-1, N_FEATURES).astype(float))
         y.append(r.label)
+        size += len(bags[-1])
+        if size >= MOST_PASSAGES:
+            break
     return fit(bags, np.array(y, float), seed)
 
 

@@ -89,6 +89,43 @@ def test_op5(spark):
     assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) >= 0.97
 
 
+def test_op5_scores_are_those_of_a_plain_softmax(docs):
+    """Every passage at once, attention written out, against the streaming scorer; gradients against differences."""
+    from affidavit.llm import quality_classifier as C
+
+    rng = np.random.default_rng(8)
+    texts = [(r.text or "") for r in docs[:60]] + ["", "a b " * 40_000]
+    bags = [np.concatenate(list(C.passages(t))) for t in texts]
+    model = C.fit(bags[:60], rng.integers(0, 2, 60).astype(float))
+    w = model.weights
+    for t, x in zip(texts, bags, strict=True):
+        assert len(x) == max(1, -(-len(t.split()) // C.PASSAGE))
+        h = np.tanh((x - model.mean) / model.scale @ w["e"] + w["eb"])
+        a = [float(np.tanh(r @ w["v"]) * (1 / (1 + np.exp(-(r @ w["u"])))) @ w["a"]) for r in h]
+        p = np.exp(np.array(a) - max(a))
+        z = sum(pi / p.sum() * hi for pi, hi in zip(p, h, strict=True))
+        assert abs(model.score(C.passages(t)) - 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["cb"][0], -30, 30)))) < 1e-9
+
+    def loss(w, some, y):
+        total = 0.0
+        for x, label in zip(some, y, strict=True):
+            h = np.tanh(x @ w["e"] + w["eb"])
+            a = (np.tanh(h @ w["v"]) / (1 + np.exp(-(h @ w["u"])))) @ w["a"]
+            p = np.exp(a - a.max())
+            q = 1 / (1 + np.exp(-(p / p.sum() @ h @ w["c"] + w["cb"][0])))
+            total -= label * np.log(q) + (1 - label) * np.log(1 - q)
+        return total / len(some)
+
+    some, y = [(b - model.mean) / model.scale for b in bags[:7]], np.array([0, 1, 1, 0, 1, 0, 1.0])
+    w = {k: rng.normal(0, 0.2, x.shape) for k, x in w.items()}
+    for name, g in C._gradient(w, some, y).items():
+        at = tuple(rng.integers(0, n) for n in g.shape)
+        up, down = ({**w, name: w[name].copy()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert abs((loss(up, some, y) - loss(down, some, y)) / 2e-5 - g[at]) < 1e-6
+
+
 def test_op6(spark, docs):
     from tokenizers import Tokenizer
 
