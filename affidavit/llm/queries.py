@@ -13,7 +13,7 @@ from .byte_bpe import digests
 from .common import new_folder, table
 from .embedding_dedup import near_vectors
 from .html_extract import extract
-from .license_scan import license_scan
+from .license_scan import TEMPLATES, license_scan
 from .mixing import mix
 from .quality_classifier import score, train
 from .quality_rules import quality_rules
@@ -122,35 +122,37 @@ from fits
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/hundred/doc_id``; those that open or close with a notice are licence files."""
+    """Documents as files ``source/lang/thousand/hundred/doc_id``.
+
+    Those that open or close with a notice are licence files, every other one of its hundred, the rest of its thousand.
+    """
     ends = F.lower(F.concat_ws("\n", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)))
-    place = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
-    name = F.when(
-        F.rlike(ends, F.lit("licensed|license|rights reserved")), F.concat(F.lit("LICENSE."), F.col("doc_id"))
-    ).otherwise(F.concat(F.floor(F.col("doc_id") / 100), F.lit("/"), F.col("doc_id")))
-    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", place, name).alias("path"), "text")
+    whole = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    thousand = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), whole(1000))
+    notice = F.coalesce(F.rlike(ends, F.lit("licensed|license|rights reserved")), F.lit(False))
+    name = F.concat(F.lit("LICENSE."), F.col("doc_id"))
+    path = F.when(notice & (F.col("doc_id") % 2 == 1), F.concat_ws("/", thousand, name)).otherwise(
+        F.concat_ws("/", thousand, whole(100), F.when(notice, name).otherwise(F.col("doc_id").cast("string")))
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return license_scan(files).select("doc_id", "path", "own_licence", "score", "licence", "licence_of")
 
 
+_TEMPLATE_ROWS = ",\n           ".join("({}, '{}', '{}')".format(k, name, notice.replace("'", "''")) for k, (name, notice) in enumerate(TEMPLATES))
 OP4_SQL = r"""
 with templates(template, licence, notice) as (
-    values (0, 'MIT', 'Released under the MIT License.'), (1, 'MIT', 'Licensed under the MIT License.'),
-           (2, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-           (3, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-           (4, 'GPL-2.0', 'This work is licensed under the GNU General Public License, version 2.'),
-           (5, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'), (6, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
-           (7, 'CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
-           (8, 'BSD-3-Clause', 'Licensed under the BSD 3-Clause License.'),
-           (9, 'MPL-2.0', 'This file is subject to the terms of the Mozilla Public License, version 2.0.'),
-           (10, 'proprietary', 'All rights reserved.')
+    values TEMPLATE_ROWS
 ),
-files as (
-    select doc_id, coalesce(text, '') as text,
-           coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' ||
-           case when regexp_matches(lower(string_split(text, chr(10))[1] || chr(10) || string_split(text, chr(10))[-1]), 'licensed|license|rights reserved')
-                then 'LICENSE.' || doc_id else cast(floor(doc_id / 100) as bigint) || '/' || doc_id end as path
+named as (
+    select doc_id, coalesce(text, '') as text, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || cast(floor(doc_id / 1000) as bigint) as thousand,
+           coalesce(regexp_matches(lower(string_split(text, chr(10))[1] || chr(10) || string_split(text, chr(10))[-1]), 'licensed|license|rights reserved'), false) as notice
     from documents
 ),
+files as (
+    select doc_id, text, notice, thousand || '/' || case when notice and doc_id % 2 = 1 then 'LICENSE.' || doc_id
+        else cast(floor(doc_id / 100) as bigint) || '/' || case when notice then 'LICENSE.' || doc_id else cast(doc_id as varchar) end end as path
+    from named
+),
 t_tokens as (
     select template, licence, token, count(*) as tf
     from (select template, licence, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+(?:[.][0-9]+)*')) as token from templates)
@@ -164,7 +166,15 @@ idf as (
 ),
 t_w as (select template, licence, token, tf * idf as w from t_tokens join idf using (token)),
 t_q as (select template, licence, token, w / sqrt(sum(w * w) over (partition by template)) as q from t_w),
-lines as (select distinct path, line from (select path, unnest(string_split(text, chr(10))) as line from files)),
+split as (select path, text, notice, string_split(text, chr(10)) as ls from files),
+lines as (
+    select path, array_to_string(ls[i:i + n - 1], chr(10)) as line
+    from (select path, ls, i, unnest([1, 2, 3]) as n from (select path, ls, unnest(range(1, len(ls) + 1)) as i from split))
+    union
+    select path, array_to_string(ls[1:coalesce(nullif(list_position(list_transform(ls, lambda x: not regexp_matches(x, '^\s*(#|//|/[*]|[*]|--|;|%|<!--)')), true), 0) - 1, len(ls))], chr(10)) from split
+    union
+    select path, text from split where notice
+),
 l_tokens as (
     select line, token, count(*) as tf
     from (select line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][0-9]+)*')) as token from (select distinct line from lines)) group by all
@@ -187,8 +197,8 @@ votes as (
 select f.doc_id, f.path, o.licence as own_licence, o.score,
        coalesce(o.licence, v.licence) as licence, case when o.licence is null then v.dir end as licence_of
 from files f left join own o using (path)
-left join votes v on v.dir = regexp_extract(f.path, '^([^/]*/[^/]*)/.*$', 1)
-"""
+left join lateral (select dir, licence from votes where starts_with(f.path, dir || '/') order by length(dir) desc limit 1) v on true
+""".replace("TEMPLATE_ROWS", _TEMPLATE_ROWS)
 
 
 def held_out(key: str = "doc_id") -> Column:

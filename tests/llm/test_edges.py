@@ -120,6 +120,23 @@ def test_license_scan(spark):
     assert license_scan.license_scan(files.limit(0)).collect() == []
 
 
+def test_headers_and_licence_files(spark):
+    """Full texts with other names, comment headers, wrapped notices and tags; a nearer directory goes first."""
+    full = {name: text for name, text in license_scan.TEMPLATES if len(text) > 200}
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    rows = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Acme Inc.\n\n" + wrap(full["MIT"], 12, "")), ("m/src/a.py", "import os\n" + prose(40)),
+        ("m/vendor/COPYING", wrap(full["BSD-3-Clause"], 9, "")), ("m/vendor/x/y/b.c", prose(30)), ("m/c.java", wrap(full["Apache-2.0"], 8, "// ") + "\nclass C {}\n" + prose(300)),
+        ("n/d.sh", "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0\n" + prose(200)), ("n/e.txt", prose(20) + "\nLicensed under the Apache\nLicense, Version 2.0.\n" + prose(20)),
+        ("n/f.h", "/*\n" + wrap(full["LGPL-3.0"], 10, " * ") + "\n */\n" + prose(100)), ("n/g.txt", prose(100)), ("g.txt", prose(50) + " license of the river"),
+    ]
+    got = {r.path: (r.own_licence, r.licence, r.licence_of) for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["m/LICENSE"][0] == "MIT" and got["m/src/a.py"] == (None, "MIT", "m")
+    assert got["m/vendor/COPYING"][0] == "BSD-3-Clause" and got["m/vendor/x/y/b.c"] == (None, "BSD-3-Clause", "m/vendor")
+    assert got["m/c.java"][0] == "Apache-2.0" and got["n/d.sh"][0] == "GPL-2.0" and got["n/e.txt"][0] == "Apache-2.0" and got["n/f.h"][0] == "LGPL-3.0"
+    assert got["n/g.txt"] == (None, None, None) and got["g.txt"] == (None, None, None)
+
+
 def labels(spark):
     rows = [(1, 1), (2, 1), (8, 1), (7, 0), (None, 1), (4, None), (999, 0), (6, 1), (9, 0), (1, 1)]
     return spark.createDataFrame(rows, "doc_id long, quality int")
