@@ -8,8 +8,9 @@ licence file.  Document frequencies of the templates' tokens are counted over al
 files, and a token of no template counts as one that no file holds.  A block can
 reach the threshold only if it shares one of a template's heavy tokens: the
 lightest ones that together stay below the threshold (by the Cauchy-Schwarz
-bound) aren't enough.  Only blocks with a heavy token are looked at, each
-different block once.
+bound) aren't enough.  Of the blocks with a heavy token, each different one is
+looked at once, and only those leave their task in whose norm the templates'
+tokens have a large enough share (the same bound), so long texts don't.
 
 A file has the licence of its best block.  A directory has the licence that most
 of its licence files have.  A file without a licence of its own gets that of the
@@ -31,6 +32,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,18 +176,39 @@ def any_of(words: list[str]) -> str:
     return f"(?i)(?<![a-z0-9])(?:{each or '(?!)'})(?![a-z0-9])"
 
 
-def blocks(text: Column, whole: Column, needed: Column) -> Column:
-    """Different blocks of a text that hold a heavy token; the whole text is one where ``whole``."""
+def may_reach(block: Column, n: int, df: dict[str, int], least: float) -> Column:
+    """Whether the templates' tokens have enough of a block's norm for any template to reach ``least`` (by Cauchy-Schwarz)."""
+    weights = F.create_map(*[F.lit(x) for t, k in sorted(df.items()) for x in (t, idf(n, k))])
+    zero = F.struct(F.lit("").alias("t"), F.lit(0).alias("tf"), F.lit(0.0).alias("known"), F.lit(0.0).alias("all"))
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        """The sums once the run of equal tokens has ended."""
+        own = F.element_at(weights, acc["t"]) * acc["tf"]
+        return acc["known"] + F.coalesce(own * own, F.lit(0.0)), acc["all"] + F.coalesce(own * own, F.pow(acc["tf"] * idf(n, 0), F.lit(2.0)))
+
+    def step(acc: Column, t: Column) -> Column:
+        known, every = closed(acc)
+        same = F.struct(acc["t"].alias("t"), (acc["tf"] + 1).alias("tf"), acc["known"].alias("known"), acc["all"].alias("all"))
+        return F.when(acc["t"] == t, same).otherwise(F.struct(t.alias("t"), F.lit(1).alias("tf"), known.alias("known"), every.alias("all")))
+
+    sums = F.aggregate(F.sort_array(tokens(block)), zero, step, lambda acc: F.struct(*(x.alias(c) for x, c in zip(closed(acc), ("known", "all"), strict=True))))
+    return bind(sums, lambda s: s["known"] >= s["all"] * (least * least * (1 - 1e-9)))
+
+
+def blocks(text: Column, whole: Column, needed: Column, good: Callable[[Column], Column]) -> Column:
+    """Different blocks of a text that hold a heavy token and are ``good``; the whole text is one where ``whole``."""
     lines = F.split(text, "\n")
 
     def of(ls: Column) -> Column:
-        windows = F.flatten(
-            F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda n: F.array_join(F.slice(ls, i, n), "\n")))
-        )
+        def windows(marks: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.array_contains(F.slice(marks, i, WINDOW), F.lit(True)))
+            return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(WINDOW)), lambda n: F.array_join(F.slice(ls, i, n), "\n"))))
+
         other = F.array_position(F.transform(ls, lambda x: ~F.rlike(x, F.lit(COMMENT))), F.lit(True))
         header = F.array_join(F.slice(ls, F.lit(1), F.when(other > 0, other - 1).otherwise(F.size(ls)).cast("int")), "\n")
-        every = F.concat(windows, F.array(header), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
-        return F.array_distinct(F.filter(every, lambda s: F.rlike(s, needed)))
+        found = bind(F.transform(ls, lambda x: F.rlike(x, needed)), windows)
+        every = F.concat(found, F.array(header), F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
+        return F.filter(F.array_distinct(F.filter(every, lambda s: F.rlike(s, needed))), good)
 
     return bind(lines, of)
 
@@ -234,9 +257,10 @@ def license_scan(
     vectors = template_vectors(n, df, templates)
     needed = F.lit(any_of(heavy_tokens(vectors, least)))
     column = F.col(f"`{text}`")
+    good = lambda block: may_reach(block, n, df, least)
     whole = F.coalesce(F.rlike(F.col(f"`{path}`"), F.lit(licence_file)), F.lit(False))
     holding = files.where(F.rlike(column, needed)).select(F.col(f"`{path}`").alias("p"), column.alias("t"), whole.alias("w"))
-    found = stored(holding.select(F.col("p").alias("path"), F.explode(blocks(F.col("t"), F.col("w"), needed)).alias("line")), "lines")
+    found = stored(holding.select(F.col("p").alias("path"), F.explode(blocks(F.col("t"), F.col("w"), needed, good)).alias("line")), "lines")
     lines = stored(best_lines(found.select("line").distinct(), n, df, vectors, least), "licences")
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), "licence"))
     own = stored(
