@@ -42,7 +42,7 @@ MONTHS = (
 
 
 @lru_cache(maxsize=1)
-def _plain_letters() -> tuple[str, str]:
+def plain_letters() -> tuple[str, str]:
     """Accented letters and the letters left of them without their marks, where that is one letter."""
     pairs = {}
     for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
@@ -55,7 +55,7 @@ def _plain_letters() -> tuple[str, str]:
 
 def plain(text: Column) -> Column:
     """Text without diacritics; ø, æ and ß, which have no decomposition, become o, ae and ss."""
-    source, target = _plain_letters()
+    source, target = plain_letters()
     out = F.translate(F.regexp_replace(text, r"\p{M}", ""), source, target)
     for a, b in (("æ", "ae"), ("Æ", "AE"), ("ß", "ss"), ("œ", "oe"), ("Œ", "OE")):
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -93,24 +93,30 @@ def tokenize(text: Column, trimmed: bool = False) -> Column:
     found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
     if trimmed:
         found = F.transform(found, lambda t: F.regexp_replace(t, "[_.-]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    stop, longest = F.array(*[F.lit(w) for w in STOP_WORDS]), max(map(len, STOP_WORDS))
+    return F.filter(found, lambda t: (F.length(t) > longest) | (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def figures(text: Column) -> Column:
     """Figures in order as structs (figure, start, stop); places count from 0."""
-    gaps = F.split(text, FIGURE, -1)
-    raw = F.regexp_extract_all(text, F.lit(FIGURE), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<figure:string,start:int,stop:int>>").alias("out"))
+    gaps_, raw_ = F.split(text, FIGURE, -1), F.regexp_extract_all(text, F.lit(FIGURE), F.lit(0))
+    none = F.array().cast("array<struct<figure:string,start:int,stop:int>>")
 
-    def step(acc: Column, k: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, k))
-        stop = start + F.length(F.get(raw, k))
-        one = F.struct(F.trim(F.get(raw, k)).alias("figure"), start.alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], one).alias("out"))
+    def of(both: Column) -> Column:
+        gaps, raw = both["gaps"], both["raw"]
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(raw) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(raw) > 0, found).otherwise(F.array().cast("array<struct<figure:string,start:int,stop:int>>"))
+        def step(acc: Column, k: Column) -> Column:
+            start = acc["at"] + F.length(F.get(gaps, k))
+            stop = start + F.length(F.get(raw, k))
+            one = F.struct(F.trim(F.get(raw, k)).alias("figure"), start.alias("start"), stop.alias("stop"))
+            return F.struct(stop.alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+        found = F.aggregate(F.sequence(F.lit(0), F.size(raw) - 1), zero, step, lambda acc: acc["out"])
+        return F.when(F.size(raw) > 0, found).otherwise(none)
+
+    # both arrays are made once and read by name
+    return F.transform(F.array(F.struct(gaps_.alias("gaps"), raw_.alias("raw"))), of)[0]
 
 
 def clock(seconds: Column) -> Column:
@@ -135,6 +141,7 @@ def header_date(text: Column) -> Column:
         for k, name in enumerate(names.split(), 1):
             table.setdefault(name.lower(), k)
     months = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    # The three kinds of dates in mail headers.
     word = "[A-Za-zÄÖÜÅäöüåß]+"
     part = lambda p, k: F.regexp_extract(text, p, k)
     english = rf"(?i){word},\s*({word})\s+(\d{{1,2}}),\s*(\d{{4}})\s+(\d{{1,2}}):(\d{{2}})\s*(AM|PM)?"

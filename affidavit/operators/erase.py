@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import figures, fold
+from ..functions.text import figures, fold, plain_letters
 from .people import aliases_for, search_person
 
 TOMBSTONE, ERASED = "[withheld: erased at the request of the data subject]", "[erased]"
@@ -38,16 +39,39 @@ def text_forms(forms: list[str]) -> list[str]:
     return [f for f in forms if not UNSAFE.match(f) and len(f) > 2]
 
 
-def form_pattern(forms: list[str]) -> str:
-    """One alternation, longest first, that fits whole words only; vowels fit with their marks too."""
-    loose = {"a": "[aàáâãäå]", "c": "[cç]", "e": "[eèéêë]", "i": "[iìíîï]", "n": "[nñ]", "o": "[oòóôõöø]", "u": "[uùúûü]", "y": "[yýÿ]"}
+@lru_cache(maxsize=1)
+def _letters() -> dict[str, str]:
+    """For each plain lower-case letter a class of it and all letters that are it with marks."""
+    marked: dict[str, set[str]] = {}
+    for letter, bare in zip(*plain_letters(), strict=True):
+        marked.setdefault(bare.lower(), set()).add(letter.lower())
+    return {c: f"[{c}{''.join(sorted(x for x in more if len(x) == 1))}]" for c, more in marked.items() if len(c) == 1 and c.isalpha()}
 
-    def fits(c: str) -> str:
-        bare = unicodedata.normalize("NFKD", c)[0].lower().replace("ø", "o")
-        return r"\s+" if c.isspace() else loose.get(bare, re.escape(c))
 
-    each = ["".join(map(fits, re.sub(r"\s+", " ", f))) for f in text_forms(forms)]
-    return r"(?iuU)(?<![\w.@-])(?:" + "|".join(each or ["(?!)"]) + r")(?![\w@-])"
+def form_pattern(forms: list[str]) -> str:
+    """One alternation, longest first, that fits whole words only, whatever the marks and however they are composed."""
+    pairs = {"ae": "æ", "oe": "œ", "ss": "ß"}
+    marks = r"\p{M}*"
+
+    def fits(form: str) -> str:
+        for two, one in pairs.items():
+            form = form.replace(one, two).replace(one.upper(), two)
+        bare = "".join(c for c in unicodedata.normalize("NFKD", form.lower()) if not unicodedata.combining(c))
+        source, target = plain_letters()
+        bare = bare.translate(dict(zip(map(ord, source), target, strict=True)))
+        out, k, letters = [], 0, _letters()
+        one_of = lambda c: (letters.get(c, re.escape(c)) + marks) if c.isalpha() else r"\s+" if c.isspace() else re.escape(c)
+        while k < len(bare):
+            if bare[k : k + 2] in pairs:
+                out.append(f"(?:{pairs[bare[k : k + 2]]}|{one_of(bare[k])}{one_of(bare[k + 1])})")
+                k += 2
+            else:
+                out.append(one_of(bare[k]))
+                k += 1
+        return "".join(out)
+
+    each = [fits(re.sub(r"\s+", " ", f)) for f in text_forms(forms)]
+    return r"(?iuU)(?<![\w.@-])(?:" + "|".join(each or ["(?!)"]) + r")(?![\w@\p{M}-])"
 
 
 def redact(text: Column, pattern: str) -> Column:
@@ -66,10 +90,8 @@ def erase_person(
         raise ValueError("mode is redact or purge")
     pid, forms = subject(people, name)
     pattern = form_pattern(forms)
-    keys = [r.k for r in units.sparkSession.createDataFrame([(f,) for f in forms], "f string").select(fold(F.col("f")).alias("k")).collect()]
     gone = F.coalesce("redacted", F.lit(False))
-    mine = ~gone & (F.coalesce(F.col("speaker") == F.lit(pid), F.lit(False)) | F.coalesce(fold(F.col("speaker_display")).isin(keys), F.lit(False)))
-    marked = units.withColumns({"_mine": mine, "_n": F.when(~gone & ~mine, mentions(F.col("text"), pattern)).otherwise(0)})
+    marked = marked_units(units, pid, forms)
     blank = F.lit("" if mode == "purge" else TOMBSTONE)
     kept_meta = ("t_start", "t_end", "thread_position", "thread_total")
     meta = F.col("meta")
@@ -106,7 +128,43 @@ def erase_person(
         F.count_if(F.array_contains("recipients", F.lit(pid)) if pid else F.lit(False)).alias("recipient_entries"),
     )
     receipt = sums.crossJoin(F.broadcast(figure_survival(marked, new_units)))  # two single rows
-    return new_units, new_docs, new_people, receipt.withColumns({"mode": F.lit(mode), "person_removed": F.lit(bool(pid))})
+    touched = touched_rows(marked, documents, pattern)
+    by_role = touched.agg(F.countDistinct("doc_id").alias("documents_affected"))
+    receipt = receipt.crossJoin(F.broadcast(by_role)).withColumns(  # single rows
+        {
+            "mode": F.lit(mode), "person_removed": F.lit(bool(pid)), "forms": F.array(*[F.lit(f) for f in forms]).cast("array<string>"),
+            "erased_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"),
+        }
+    )
+    return new_units, new_docs, new_people, receipt
+
+
+def touched_rows(marked: DataFrame, documents: DataFrame, pattern: str) -> DataFrame:
+    """(role, unit_id, doc_id): the receipt's list of authored and mentioning units and of documents whose head changes.
+
+    ``marked`` are units with _mine and _n; a table, as the list grows with the person's share of the archive.
+    """
+    role = F.when(F.col("_mine"), "authored").when(F.col("_n") > 0, "mentioning")
+    head = F.greatest(mentions(F.col("title"), pattern), mentions(F.col("subject"), pattern), mentions(F.concat_ws("\n", "participants"), pattern))
+    none = F.lit(None).cast("string")
+    return marked.select(role.alias("role"), "unit_id", "doc_id").where("role is not null").unionByName(
+        documents.where(head > 0).select(F.lit("document").alias("role"), none.alias("unit_id"), "doc_id")
+    )
+
+
+def erasure_rows(units: DataFrame, documents: DataFrame, people: DataFrame, name: str) -> DataFrame:
+    """What :func:`erase_person` would touch, as (role, unit_id, doc_id)."""
+    pid, forms = subject(people, name)
+    return touched_rows(marked_units(units, pid, forms), documents, form_pattern(forms))
+
+
+def marked_units(units: DataFrame, pid: str | None, forms: list[str]) -> DataFrame:
+    """``units`` with _mine (the person's own live units) and _n (mentions in the others)."""
+    pattern = form_pattern(forms)
+    keys = [r.k for r in units.sparkSession.createDataFrame([(f,) for f in forms], "f string").select(fold(F.col("f")).alias("k")).collect()]
+    gone = F.coalesce("redacted", F.lit(False))
+    mine = ~gone & (F.coalesce(F.col("speaker") == F.lit(pid), F.lit(False)) | F.coalesce(fold(F.col("speaker_display")).isin(keys), F.lit(False)))
+    return units.withColumns({"_mine": mine, "_n": F.when(~gone & ~mine, mentions(F.col("text"), pattern)).otherwise(0)})
 
 
 def figure_survival(marked: DataFrame, new_units: DataFrame) -> DataFrame:
@@ -121,9 +179,16 @@ def figure_survival(marked: DataFrame, new_units: DataFrame) -> DataFrame:
 
 
 def verify_erasure(units: DataFrame, documents: DataFrame, people: DataFrame, forms: list[str]) -> DataFrame:
-    """(place, id, field) of every trace of the forms in any text of the three tables; empty if clean."""
-    pattern = form_pattern(forms)
-    hit = lambda c: F.coalesce(F.rlike(c, F.lit(pattern)), F.lit(False))
+    """(place, id, field) of every trace of the forms in any text of the three tables; empty if clean.
+
+    This second look knows nothing of the eraser's pattern: it folds the texts, cuts
+    them into words and looks for each form's words side by side.
+    """
+    words = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(fold(c), r"(?U)[^\w.@-]+", " "), r"[.-]+(?= |$)", ""), F.lit(" "))
+    one = units.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in text_forms(forms)]).cast("array<string>")).alias("f"))
+    asked = sorted({r.w for r in one.select(words(F.col("f")).alias("w")).collect() if r.w.strip()})  # the forms of one person
+    wanted = F.array(*[F.lit(w) for w in asked]).cast("array<string>")
+    hit = lambda c: F.coalesce(F.exists(F.transform(F.array(words(c)), lambda t: F.exists(wanted, lambda w: F.contains(t, w))), lambda x: x), F.lit(False))
     joined = lambda c: F.concat_ws("\n", c)
 
     def rows(df: DataFrame, place: str, key: str, fields: dict[str, Column]) -> DataFrame:

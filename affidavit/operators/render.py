@@ -78,3 +78,41 @@ def answers_to_json(verified: dict[str, DataFrame]) -> DataFrame:
     for df in lists.values():
         out = out.join(df, "answer_id", "left")
     return out.select("answer_id", F.to_json(F.struct(*[c for c in out.columns if c != "answer_id"])).alias("json"))
+
+
+def answers_to_markdown(answers: DataFrame, verified: dict[str, DataFrame]) -> DataFrame:
+    """(answer_id, markdown): answer, claims with their quotes and references, gaps, what is unsupported, warnings and the count.
+
+    A quote's reference is found by unit and quote, so the same unit may be quoted twice.
+    """
+    cited = verified["citations"].select(
+        "answer_id", "c", "k", F.concat(F.when(F.col("ok"), "").otherwise("**FAILED** "), F.lit("> “"), "quote", F.lit("” — "), "reference").alias("line")
+    )
+    quotes = cited.groupBy("answer_id", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("quotes"))
+    claims = answers.select("answer_id", F.posexplode("claims").alias("c", "claim")).join(quotes, ["answer_id", "c"], "left")
+    claim = F.concat(F.lit("- "), "claim.statement", F.coalesce(F.concat(F.lit(" ("), "claim.status", F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit("\n"), "quotes"), F.lit("")))
+    listed = lambda df, by, line, name: df.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, line.alias("l")))), lambda x: x["l"]).alias(name))
+    bullets = lambda df, c, name: listed(df, F.col(c).alias("o"), F.concat(F.lit("- "), c), name)
+    out = answers.select("answer_id", "answer").join(listed(claims, F.col("c"), claim, "claims"), "answer_id", "left")
+    out = out.join(bullets(verified["unsupported"], "statement", "unsupported"), "answer_id", "left").join(bullets(verified["warnings"], "warning", "warnings"), "answer_id", "left")
+    out = out.join(verified["summary"].select("answer_id", "total", "verified"), "answer_id", "left")
+    part = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(c, "\n")))
+    count = F.format_string("%d of %d citations verified.", "verified", "total")
+    return out.select(
+        "answer_id",
+        F.concat_ws("\n\n", "answer", part("Claims", F.col("claims")), part("Without citation", F.col("unsupported")), part("Warnings", F.col("warnings")), count).alias("markdown"),
+    )
+
+
+def render_brief(question: str, stats: DataFrame, digest: DataFrame, evidence: DataFrame) -> str:
+    """What a model is given: the archive's numbers, the digest's documents with their facts, the evidence in order, the question.
+
+    ``digest`` and ``evidence`` are bounded by their own limits (``rollups.digest``, ``sweep.kept_units``).
+    """
+    s = stats.first()
+    docs = digest.orderBy(F.desc("relevance"), F.col("date_text").asc_nulls_last(), "doc_id").toLocalIterator()
+    lines = [f"ARCHIVE: {s.documents} documents, {s.units} units, {s.first_date} to {s.last_date}", "", "DIGEST"]
+    for d in docs:
+        lines += [f"* {d.title} ({d.date_text or 'undated'}; relevance {d.relevance})", *[f"  - {f}" for f in d.facts or []]]
+    shown = evidence.orderBy(F.col("date_text").asc_nulls_last(), "doc_id", "seq").toLocalIterator()
+    return "\n".join([*lines, "", "EVIDENCE", *[r.rendered for r in shown], "", f"QUESTION: {question}"])

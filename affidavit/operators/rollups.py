@@ -109,3 +109,9 @@ def digest(triage: DataFrame, documents: DataFrame, facts: DataFrame, most_docs:
     few = facts.join(chosen.select("doc_id"), "doc_id", "left_semi").withColumn("r", place).where(F.col("r") <= most_facts)
     lists = few.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "fact"))), lambda x: x["fact"]).alias("facts"))
     return chosen.join(lists, "doc_id", "left")
+
+
+def bundle_usage(usage: DataFrame, by: str = "answer_id") -> DataFrame:
+    """(by, calls, input, cached, output): usage summed over all responses that one answer took."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return usage.groupBy(by).agg(F.count("*").alias("calls"), *[total(c) for c in ("input", "cached", "output")])

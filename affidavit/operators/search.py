@@ -58,11 +58,43 @@ def grep(
     return found.orderBy(*ORDER).limit(limit) if limit is not None else found
 
 
+def search_exact(units: DataFrame, pattern: str, regex: bool = False, limit: int = 100) -> DataFrame:
+    """(unit_id, doc_id, seq, excerpt, note): the first matches, or one row that says in how many units there is none."""
+    hits = grep(units, pattern, regex, limit=limit).select("unit_id", *ORDER, "excerpt", F.lit(None).cast("string").alias("note"))
+    n = live(units).agg(F.count("*").alias("n"), F.count_if(F.rlike("text", F.lit("(?iu)" + (pattern if regex else re.escape(pattern))))).alias("k"))
+    none = n.where("k = 0").select(
+        *[F.lit(None).cast(dict(hits.dtypes)[c]).alias(c) for c in ("unit_id", *ORDER, "excerpt")], F.format_string("no hit in %d units", "n").alias("note")
+    )
+    return hits.unionByName(none)
+
+
+def list_figures(units: DataFrame, topic: str | None = None, most: int | None = 60) -> DataFrame:
+    """One line for each figure, oldest first: date, figure, source and context."""
+    found = find_figures(units, topic).orderBy(*chronological(), "n")
+    line = F.concat_ws(" | ", F.coalesce(F.substring("date_text", 1, 10), F.lit("undated")), "figure", F.concat(F.lit("["), "unit_id", F.lit("]")), "context")
+    shown = found.select("unit_id", "n", line.alias("line"))
+    return shown.limit(most) if most is not None else shown
+
+
+def of_speakers(hits: DataFrame, units: DataFrame, people: DataFrame, org: str) -> DataFrame:
+    """The hits whose speaker belongs to an organisation (a left semi join)."""
+    theirs = units.join(people.where(F.col("org") == org).select(F.col("pid").alias("speaker")), "speaker", "left_semi").select("unit_id")
+    return hits.join(theirs, "unit_id", "left_semi")
+
+
+def documents_with(units: DataFrame, pid: str, pattern: str) -> DataFrame:
+    """(doc_id) of the documents that a person wrote in or that mention a form of theirs (see ``erase.form_pattern``)."""
+    shown = live(units)
+    said = shown.where(F.col("speaker") == pid).select("doc_id")
+    return said.unionAll(shown.where(F.rlike("text", F.lit(pattern))).select("doc_id")).distinct()
+
+
 def postings(units: DataFrame, key: str = "unit_id", trimmed: bool = False) -> DataFrame:
     """(key, token, tf, length) of every live unit."""
     tokens = live(units).select(key, tokenize(F.col("text"), trimmed).alias("tokens"))
     return (
-        tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+        tokens.select(key, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("token"))  # outer: no filter that makes the tokens again
+        .where("token is not null")
         .groupBy(key, "length", "token")
         .agg(F.count("*").alias("tf"))
     )
@@ -86,8 +118,9 @@ def bm25(
     held = (
         tokens.select(
             "unit_id", *ORDER, F.size("tokens").alias("length"),
-            F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("token"),
+            F.explode_outer(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("token"),
         )
+        .where("token is not null")
         .groupBy("unit_id", *ORDER, "length", "token")
         .agg(F.count("*").alias("f"))
     )
@@ -122,7 +155,7 @@ def find_figures(units: DataFrame, topic: str | None = None, context: int = 110)
     at = live(units)
     if topic:
         at = at.where(F.arrays_overlap(tokenize(F.col("text")), tokenize(F.lit(topic))))
-    found = at.where(F.rlike("text", F.lit(FIGURE))).select("*", F.posexplode(figures(F.col("text"))).alias("n", "f"))
+    found = at.where(F.rlike("text", F.lit(FIGURE))).select("*", F.posexplode_outer(figures(F.col("text"))).alias("n", "f")).where("f is not null")
     first = F.greatest(F.col("f.start") - context, F.lit(0))
     cut = F.substring(F.col("text"), first + 1, F.col("f.stop") - first + context)
     more = [c for c in ("speaker_display", "locator", "truncated") if c in units.columns]
@@ -141,7 +174,7 @@ def latest_figures(found: DataFrame) -> DataFrame:
 
 
 def timeline(
-    units: DataFrame, topic: str, since: str | None = None, until: str | None = None, pool: int | None = 60, show: int = 50
+    units: DataFrame, topic: str, since: str | None = None, until: str | None = None, pool: int | None = 60, show: int | None = 50
 ) -> DataFrame:
     """The units nearest to a topic between two days, oldest first.
 
@@ -154,7 +187,7 @@ def timeline(
         hits = hits.where(day >= since[:10])
     if until:
         hits = hits.where(day <= until[:10])
-    return hits.orderBy(*chronological()).limit(show)
+    return hits.orderBy(*chronological()).limit(show) if show is not None else hits
 
 
 def context_window(units: DataFrame, anchors: DataFrame, width: int = 3, most: int = 60) -> DataFrame:

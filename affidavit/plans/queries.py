@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import erase, people, rollups, search, sweep, threads, transcripts, verify
+from ..sources import corpus
+from . import sample
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,16 +174,12 @@ def figure_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.latest_figures(figures(spark, sf_dir))
 
 
-@query(UNITS_SQL + BM25_SQL + """,
-pool as (select * from hits where score > 0 order by score desc, doc_id, seq limit 60)
+@query(UNITS_SQL + BM25_SQL + """
 select p.unit_id, p.doc_id, p.seq, u.date_text, substr(u.text, 1, 300) as text
-from pool p join units u using (unit_id) where u.date_text between '2024-02-01' and '2026-06-30'""")
+from hits p join units u using (unit_id) where score > 0 and u.date_text between '2024-02-01' and '2026-06-30'""")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = units_of(spark, sf_dir)
-    # the pool by the same rounded scores as the SQL's
-    pool = bm25_scores(spark, sf_dir).orderBy(F.desc("score"), "doc_id", "seq").limit(60)
-    dated = pool.drop("score").join(units.select("unit_id", "date_text", F.substring("text", 1, 300).alias("text")), "unit_id")
-    return dated.where(F.col("date_text").between("2024-02-01", "2026-06-30"))
+    found = search.timeline(units_of(spark, sf_dir), "License version work, license", "2024-02-01", "2026-06-30", pool=None, show=None)
+    return found.select("unit_id", "doc_id", "seq", "date_text", "text")
 
 
 @query("""
@@ -292,13 +290,14 @@ with p as (select 'c' || c_custkey as pid, c_name as display, 0 as prio from cus
 a as (
     select pid, prio, lower(display) as alias from p
     union select pid, prio, lower(string_split(display, '#')[2]) from p
+    union select pid, prio, lower(substr(display, 1, 1)) from p
 )
 select alias, arg_min(pid, (prio, pid)) as pid from a group by alias""")
 def alias_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("pid"), F.col("c_name").alias("display"), F.lit(0).alias("prio"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("pid"), F.col("s_name").alias("display"), F.lit(1).alias("prio"))
-    both = c.unionAll(s).withColumn("form", F.explode(F.array("display", F.substring_index("display", "#", -1))))
-    return both.groupBy(X.fold(F.col("form")).alias("alias")).agg(F.min_by("pid", F.struct("prio", "pid")).alias("pid"))
+    named = c.unionAll(s).withColumns({"aliases": F.array(F.substring_index("display", "#", -1)), "emails": F.array().cast("array<string>")})
+    return people.alias_table(named)
 
 
 @query(r"""
@@ -332,17 +331,13 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", erase.redact(F.col("text"), pattern).alias("text"))
 
 
-@query(UNITS_SQL + ", all_" + FIGURES_SQL.replace("m as", "m as", 1).replace("where not redacted", "").replace("from m)", "from all_m)").replace("found as", "all_found as") + """
-select figure, bool_or(source <> 'src0') as survived, count(*) as n from (select lower(trim(raw)) as figure, doc_id as source from all_found)
-group by figure having bool_or(source = 'src0')""")
+@query(UNITS_SQL + ", all_" + FIGURES_SQL.replace("where not redacted", "").replace("from m)", "from all_m)").replace("found as", "all_found as") + """,
+f as (select lower(trim(raw)) as figure, bool_or(doc_id <> 'src0') as survived from all_found group by 1 having bool_or(doc_id = 'src0'))
+select coalesce(list_sort(list(figure) filter (survived)), []) as survived, coalesce(list_sort(list(figure) filter (not survived)), []) as did_not_survive from f""")
 def erase_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of one source, and whether any other source states them."""
-    found = search.find_figures(units_of(spark, sf_dir).withColumn("redacted", F.lit(False)))
-    each = found.select(F.lower("figure").alias("figure"), F.col("doc_id").alias("source"))
-    sums = each.groupBy("figure").agg(
-        F.bool_or(F.col("source") != "src0").alias("survived"), F.count("*").alias("n"), F.bool_or(F.col("source") == "src0").alias("mine")
-    )
-    return sums.where("mine").drop("mine")
+    units = units_of(spark, sf_dir).withColumn("_mine", F.col("doc_id") == "src0")
+    return erase.figure_survival(units, units.withColumn("redacted", F.col("_mine")))
 
 
 def norm_sql(c: str) -> str:
@@ -353,20 +348,7 @@ def norm_sql(c: str) -> str:
 select item_id, d.doc_id from benchmark b join documents d on contains({norm_sql('d.text')}, {norm_sql('b.text')})""")
 def verify_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark passage word for word, found by its rarest run of words and then compared whole."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", X.norm(F.col("text")).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.norm(F.col("text")).alias("t"))
-    # a quote's words between its first and last, which may be cut within a word, are whole words of the text
-    inner = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 4), lambda k: F.xxhash64(F.get(c, k), F.get(c, k + 1), F.get(c, k + 2)))
-    words = F.split("q", " ")
-    keyed = items.withColumn("w", words).withColumn("key", F.when(F.size("w") >= 5, F.array_min(inner(F.col("w")))))
-    shingles = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda k: F.xxhash64(F.get("w", k), F.get("w", k + 1), F.get("w", k + 2)))
-    wanted = F.broadcast(keyed.where("key is not null").select("key").distinct()) if keyed.count() <= 100_000 else keyed.where("key is not null").select("key").distinct()
-    held = docs.withColumn("w", F.split("t", " ")).where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(shingles)).alias("key"))
-    pairs = held.join(wanted, "key", "left_semi").join(keyed.where("key is not null").select("key", "item_id"), "key").select("item_id", "doc_id").distinct()
-    long = pairs.join(items, "item_id").join(docs, "doc_id").where(F.contains("t", F.col("q")))
-    short = keyed.where("key is null").select("item_id", "q")
-    few = docs.join(F.broadcast(short), F.contains("t", F.col("q")))  # quotes of under five words, which benchmarks hardly have
-    return long.select("item_id", "doc_id").unionAll(few.select("item_id", "doc_id"))
+    return verify.exact_hits(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("""
@@ -415,11 +397,13 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select source, substr(sha256(string_agg(sha256(text), '' order by doc_id)), 1, 16) as fingerprint from documents group by source""")
+with l0 as (select source, cast(doc_id as bigint) as k, sha256(coalesce(text, '')) as h from documents),
+l1 as (select source, cast(floor(k / 1000) as bigint) as k, sha256(string_agg(h, '' order by k)) as h from l0 group by source, cast(floor(k / 1000) as bigint)),
+l2 as (select source, cast(floor(k / 1000) as bigint) as k, sha256(string_agg(h, '' order by k)) as h from l1 group by source, cast(floor(k / 1000) as bigint)),
+l3 as (select source, cast(floor(k / 1000) as bigint) as k, sha256(string_agg(h, '' order by k)) as h from l2 group by source, cast(floor(k / 1000) as bigint))
+select source, substr(sha256(string_agg(h, '' order by k)), 1, 16) as fingerprint from l3 group by source""")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    parts = hashed.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("a"))
-    return parts.select("source", F.substring(F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256), 1, 16).alias("fingerprint"))
+    return corpus.range_fingerprints(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query("""
@@ -458,3 +442,108 @@ def verify_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = held.select("item_id", F.col("doc_id").alias("unit_id"), quote.alias("quote"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), "text", F.lit(False).alias("redacted"))
     return verify.verify_citations(cited, docs).select("item_id", "unit_id", "match", "ok", F.round("ratio", 6).alias("ratio"))
+
+
+@query(r"""
+select n_name as name, lower(n_name) as folded, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') as slug,
+       upper(substr(list_aggregate(list_transform(list_filter(regexp_split_to_array(n_name, '\s+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)), 'string_agg', ''), 1, 3)) as initials,
+       cast(n_nationkey * 37 // 60 as varchar) || ':' || lpad(cast(n_nationkey * 37 % 60 as varchar), 2, '0') as clock
+from nation""")
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    return table(spark, sf_dir, "nation").select(
+        name.alias("name"), X.fold(name).alias("folded"), X.slug(name).alias("slug"), X.initials(name).alias("initials"), X.clock(F.col("n_nationkey") * 37).alias("clock")
+    )
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_text"), "o_orderdate")
+
+
+@query("select o_orderkey as doc_id, strftime(o_orderdate, '%Y-%m-%d') as date_text from orders order by date_text desc, doc_id limit 6")
+def latest_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.latest_activity(order_documents(spark, sf_dir)).select("doc_id", "date_text")
+
+
+@query("select cast(round((epoch_ms(max(o_orderdate)) - epoch_ms(min(o_orderdate))) / 2629800000.0) as int) as months from orders")
+def span_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.span_months(order_documents(spark, sf_dir), "o_orderdate")
+
+
+@query("""
+select user_id % 100 as answer_id, count(*) as calls, coalesce(sum(k), 0)::bigint as input, coalesce(sum(k // 2), 0)::bigint as cached,
+       coalesce(sum(k + 1), 0)::bigint as output
+from (select *, cast(json_extract(props, '$.k') as bigint) as k from events) group by 1""")
+def bundle_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    used = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("answer_id"), k.alias("input"), F.floor(k / 2).alias("cached"), (k + 1).alias("output"))
+    return rollups.bundle_usage(used)
+
+
+@query(UNITS_SQL + """,
+f as (select doc_id as from_doc, quality + 2 * toxic as relevance, doc_id % 7 as k, doc_id - doc_id % 2 as unit_id from labels),
+one as (select *, row_number() over (partition by unit_id order by from_doc, k) as r from f where relevance >= 2)
+select u.unit_id, u.doc_id, u.seq from one join units u on u.unit_id = one.unit_id where r = 1 and not u.redacted order by from_doc, k, u.unit_id limit 160""")
+def evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") + 2 * F.col("toxic")).alias("relevance"), (F.col("doc_id") % 7).alias("k"), (F.col("doc_id") - F.col("doc_id") % 2).alias("unit_id")
+    )
+    return sweep.kept_units(facts, units_of(spark, sf_dir)).select("unit_id", "doc_id", "seq")
+
+
+@query(UNITS_SQL + """
+select null::bigint as unit_id, null as doc_id, null::int as seq, null as excerpt, 'no hit in ' || count(*) || ' units' as note from units where not redacted""")
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that no unit holds gives one row that says so."""
+    return search.search_exact(units_of(spark, sf_dir), "Zzyzx+Qwvk")
+
+
+@query(UNITS_SQL + """
+select distinct doc_id from units where not redacted and (lang = 'fr' or regexp_matches(text, '(^|[^A-Za-z0-9_.@À-ɏ-])(?i:moron)([^A-Za-z0-9_@À-ɏ-]|$)'))""")
+def documents_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that French wrote in or that hold a word."""
+    return search.documents_with(units_of(spark, sf_dir).withColumn("speaker", F.col("lang")), "fr", erase.form_pattern(["moron"]))
+
+
+@query("select conv_id || '.' || turn as unit_id from conversations where turn % 2 = 0 and role = 'user'")
+def hits_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = turns(spark, sf_dir).withColumn("speaker", F.col("role"))
+    who = spark.createDataFrame([("user", "Buyer"), ("assistant", "Vendor")], "pid string, org string")
+    return search.of_speakers(units.where("seq % 2 = 0").select("unit_id"), units, who, "Buyer")
+
+
+def sample_archive(spark: SparkSession) -> corpus.Archive:
+    files = spark.createDataFrame(sample.FILES, "path string, content string")
+    return corpus.build(spark, files, spark.createDataFrame(sample.ROSTER, sample.ROSTER_SCHEMA))
+
+
+def values(columns: str, rows: list[tuple]) -> str:
+    """SQL for rows that were worked out by hand."""
+    word = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(word, r)) + ')' for r in rows)}) t({columns})"
+
+
+@query(values("unit_id, seq, speaker, locator, date_text, truncated, text", [
+    ("E01.m03", 0, "mia_holt", "message 3 of 3, 2024-06-03", "2024-06-03T16:15", False, "Thank you for the 12 % discount."),
+    ("E01.m02", 1, "tom_reed", "message 2 of 3, 2024-06-03", "2024-06-03T09:15", False, "Der Rabatt ist 12 %.\nMia, bitte antworten."),
+    ("E01.m01", 2, "jörn_ås", "message 1 of 3, 2024-06-02", "2024-06-02T08:00", False, "Nils Lund said hello. Nils Lund will call."),
+    ("T01.s0000", 0, "mia_holt", "0:05–0:12", "2024-05-02", False, "We need the forecast for about 40% of the articles."),
+    ("T01.s0001", 1, None, "at 1:02", "2024-05-02", False, "Could you repeat that?"),
+    ("T01.s0002", 2, "jörn_ås", "at 1:10", "2024-05-02", True, "The delay was 30 days, I think..."),
+    ("T01.s0003", 3, "tom_reed", "at 5:01", "2024-05-02", False, "That is all."),
+    ("T02.s0000", 0, None, "lines 3–5", "2024-06-01", False, "Is the price 5m or six million?"),
+    ("T02.s0001", 1, None, "line 6", "2024-06-01", False, "Ask Tom Reed."),
+]))
+def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings with and without times and a thread in three languages, parsed, stitched and resolved to people."""
+    return sample_archive(spark).units.select("unit_id", "seq", "speaker", "locator", "date_text", "truncated", "text")
+
+
+@query(values("doc_id, kind, title, internal, n_units, short, declared, parsed", [
+    ("emails/01_offer", "email", "Offer", False, 3, "E01", 3, 3), ("transcripts/01_kick-off", "transcript", "Kick-off", False, 4, "T01", None, None),
+    ("transcripts/02_INTERNAL-review", "transcript", "Review", True, 2, "T02", None, None),
+]))
+def sample_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_archive(spark).documents.select(
+        "doc_id", "kind", "title", "internal", "n_units", F.col("meta.short").alias("short"), F.col("meta.declared_messages").alias("declared"), F.col("meta.parsed_messages").alias("parsed")
+    )

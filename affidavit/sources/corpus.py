@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,13 +46,25 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
 def fingerprint(files: DataFrame) -> str:
     """The first 16 hex digits of the hash over the files' names and hashes in order of their paths.
 
-    One short row for each file meets in one place; contents are hashed where they are.
+    Contents are hashed where they are; the names and hashes stream by in their order.
     """
-    name = F.substring_index("path", "/", -1)
-    one = F.concat(F.encode(name, "utf-8"), F.unhex(F.sha2(F.encode("content", "utf-8"), 256)))
-    rows = files.select("path", F.hex(one).alias("x"))
-    joined = rows.agg(F.array_sort(F.collect_list(F.struct("path", "x"))).alias("a")).select(F.array_join(F.transform("a", lambda s: s["x"]), "").alias("x"))
-    return joined.select(F.substring(F.sha2(F.unhex("x"), 256), 1, 16)).first()[0]
+    total = hashlib.sha256()
+    rows = files.select("path", F.substring_index("path", "/", -1).alias("name"), F.unhex(F.sha2(F.encode("content", "utf-8"), 256)).alias("h"))
+    for r in rows.orderBy("path", "h").toLocalIterator():
+        total.update(r["name"].encode() + bytes(r["h"]))
+    return total.hexdigest()[:16]
+
+
+def range_fingerprints(rows: DataFrame, by: str, key: str, text: str, step: int = 1000) -> DataFrame:
+    """(by, fingerprint) for groups of any size: hashes of texts, of ranges of ``step`` keys, of ranges of those, and so on four times.
+
+    No task holds more than ``step`` hashes of a group, up to ``step`` ** 4 keys.
+    """
+    out = rows.select(F.col(by).alias("by"), F.col(key).cast("long").alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h"))
+    for _ in range(4):
+        out = out.groupBy("by", F.floor(F.col("k") / step).alias("up")).agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("a"))
+        out = out.select("by", F.col("up").alias("k"), F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("h"))
+    return out.select(F.col("by").alias(by), F.substring("h", 1, 16).alias("fingerprint"))
 
 
 def build(spark: SparkSession, files: DataFrame, roster: DataFrame, orgs: dict[str, str] | None = None) -> Archive:

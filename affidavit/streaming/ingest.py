@@ -1,7 +1,7 @@
 """Texts that arrive over time, appended to a unit table (an addition of this engine).
 
 Every text file of a watched folder becomes units of one paragraph each; units
-of a file that comes again replace nothing, as ids are checked before appending.
+of a file that comes again under another name are appended again.
 """
 
 from __future__ import annotations

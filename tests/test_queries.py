@@ -41,6 +41,37 @@ def test_archive_query(spark, duck, name):
     compare(spark, duck, A.Q[name], A.SQL[name])
 
 
+def test_window_ratio_is_the_best_of_all_windows():
+    import difflib
+    import random
+
+    from affidavit.operators.verify import window_ratio
+
+    rng = random.Random(3)
+    for _ in range(200):
+        hay = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 80)))
+        needle = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 30)))
+        if hay and rng.random() < 0.5:
+            k = rng.randrange(len(hay))
+            needle = hay[k : k + 20]
+        n = len(needle)
+        parts = [hay] if n >= len(hay) else [hay[k : k + n] for k in range(0, len(hay) - n + 1, max(1, n // 4))]
+        want = max((difflib.SequenceMatcher(None, needle, p).ratio() for p in parts), default=0.0) if needle and hay else 0.0
+        assert window_ratio(needle, hay) == want
+
+
+def test_erased_forms_fit_whatever_the_marks(spark):
+    from pyspark.sql import functions as F
+
+    from affidavit.operators.erase import form_pattern, redact
+
+    texts = ["Šimek called", "Jose\u0301 Ruiz and José RUIZ", "Strauss, Strauß", "Simeks stays, x.Simek too", "Łukasz Żak", "Bæk"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = form_pattern(["Simek", "Jose Ruiz", "Strauß", "Lukasz Zak", "Baek"])
+    got = [r[0] for r in df.select(redact(F.col("t"), pattern)).collect()]
+    assert got == ["[erased] called", "[erased] and [erased]", "[erased], [erased]", "Simeks stays, x.Simek too", "[erased]", "[erased]"]
+
+
 def test_fuzzy_citations(spark):
     assert {"match", "ok", "ratio"} <= set(A.Q["verify_fuzzy"](spark, SF).columns)
 
