@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import FIGURE, figures, tokenize
 
 ORDER = ("doc_id", "seq")
+#: Values of a place that one task numbers.
+SPAN = 65536
 
 
 def live(units: DataFrame) -> DataFrame:
@@ -25,6 +27,30 @@ def chronological() -> list[Column]:
     return [F.col("date_text").asc_nulls_last(), F.col("doc_id"), F.col("seq")]
 
 
+def places(units: DataFrame, by: str = "seq", dated: bool = False) -> DataFrame:
+    """``units`` with ``place``, from 1, in their document: by ``by``, or if ``dated`` by ``date_text`` first, undated last.
+
+    A row is numbered among SPAN values of ``by`` (of its date); what stands before
+    them is a sum of counts, so of a document only one row for each such stretch
+    meets in a task.  Most documents are one stretch, and the sums name only later ones.
+    """
+    low = F.lit(-(2**62))
+    cut = {"_s": F.coalesce(F.floor(F.col(by) / SPAN), low)}
+    if dated:
+        cut |= {"_u": F.col("date_text").isNull(), "_d": F.coalesce("date_text", F.lit(""))}
+    order = ["_u", "_d", "_s"] if dated else ["_s"]
+    at = units.withColumns(cut)
+    before = F.sum("_n").over(Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    sums = at.groupBy("doc_id", *order).agg(F.count("*").alias("_n")).withColumn("_before", before).where("_before > 0")
+    sums = sums.select(F.col("doc_id").alias("_doc"), *[F.col(c).alias(c + "k") for c in order], "_before")
+    numbered = at.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", *order).orderBy(by)))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    for c in order:
+        same &= F.col(c) == F.col(c + "k")
+    place = F.col("_r") + F.coalesce("_before", F.lit(0))
+    return numbered.join(sums, same, "left").select(*[F.col(f"`{c}`") for c in units.columns], place.alias("place"))
+
+
 def get_units(units: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (place, unit_id) with a status: found, withheld or missing."""
     state = F.when(F.col("u.unit_id").isNull(), "missing").when(F.col("u.redacted"), "withheld").otherwise("found")
@@ -192,9 +218,7 @@ def timeline(
 
 def context_window(units: DataFrame, anchors: DataFrame, width: int = 3, most: int = 60) -> DataFrame:
     """Live units within ``width`` places of an anchor (anchor: unit_id) of the same document, with their distance."""
-    ranked = live(units).select(
-        "unit_id", *ORDER, "text", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).alias("rn")
-    )
+    ranked = places(live(units).select("unit_id", *ORDER, "text")).withColumnRenamed("place", "rn")
     at = ranked.join(anchors.select(F.col("unit_id")).distinct(), "unit_id").select(
         F.col("unit_id").alias("anchor"), F.explode(F.sequence(F.col("rn") - max(width, 1), F.col("rn") + max(width, 1))).alias("rn"),
         "doc_id", F.col("rn").alias("anchor_rn"),

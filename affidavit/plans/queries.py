@@ -192,8 +192,7 @@ def chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("unit_id"), F.col("o_orderpriority").alias("doc_id"), day.alias("date_text"), F.col("o_orderkey").alias("seq")
     )
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*search.chronological())).cast("long")
-    return orders.select("unit_id", "doc_id", "date_text", place.alias("place"))
+    return search.places(orders, dated=True).select("unit_id", "doc_id", "date_text", "place")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,15 +309,16 @@ def discover_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-with m as (select doc_id, regexp_extract(text, '([A-Za-z0-9_.\-]+@[A-Za-z0-9_.\-]+\.[A-Za-z]{2,})', 1) as raw from documents)
-select doc_id, lower(regexp_replace(raw, '\.+$', '')) as email, 'p_' || lower(regexp_replace(raw, '\.+$', '')) as pid from m where raw <> ''""")
+with m as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_.\-]+@[A-Za-z0-9_.\-]+\.[A-Za-z]{2,}', 0)) as raw from documents)
+select distinct doc_id, lower(regexp_replace(raw, '\.+$', '')) as email, 'p_' || lower(regexp_replace(raw, '\.+$', '')) as pid from m""")
 def resolve_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people behind every address that a document holds."""
     docs = table(spark, sf_dir, "documents")
-    named = docs.select("doc_id", F.regexp_extract("text", X.EMAIL, 0).alias("raw")).where("raw <> ''")
+    named = docs.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(X.EMAIL), F.lit(0))).alias("raw")).where("raw is not null").distinct()
     email = F.lower(F.regexp_replace("raw", r"\.+$", ""))
     aliases = named.select(email.alias("alias")).distinct().withColumn("pid", F.concat(F.lit("p_"), "alias"))
     asked = named.withColumn("asked", F.concat(F.lit("Someone <"), "raw", F.lit(">")))
-    return people.resolve(asked, "asked", aliases).select("doc_id", email.alias("email"), "pid")
+    return people.resolve(asked, "asked", aliases).select("doc_id", email.alias("email"), "pid").distinct()
 
 
 @query(r"""
