@@ -72,8 +72,59 @@ def test_erased_forms_fit_whatever_the_marks(spark):
     assert got == ["[erased] called", "[erased] and [erased]", "[erased], [erased]", "Simeks stays, x.Simek too", "[erased]", "[erased]"]
 
 
-def test_fuzzy_citations(spark):
-    assert {"match", "ok", "ratio"} <= set(A.Q["verify_fuzzy"](spark, SF).columns)
+def test_fuzzy_citations(spark, duck):
+    import difflib
+    import re
+
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    norm = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    want = set()
+    for item, quote in duck.sql("select item_id, text from benchmark").fetchall():
+        q = norm(re.sub(r"(\w+)(\W+\w+)$", r"changed\2", quote))
+        for doc, text in texts.items():
+            t = norm(text or "")
+            if norm(quote) in t:
+                parts = [t] if len(q) >= len(t) else [t[k : k + len(q)] for k in range(0, len(t) - len(q) + 1, max(1, len(q) // 4))]
+                ratio = 1.0 if q in t else max(difflib.SequenceMatcher(None, q, p).ratio() for p in parts)
+                kind = "exact" if q in t else "approximate" if ratio >= 0.9 else "none"
+                want.add((item, doc, kind, kind != "none", round(ratio, 6)))
+    assert want and {tuple(r) for r in A.Q["verify_fuzzy"](spark, SF).collect()} == want
+
+
+def test_places_do_not_depend_on_the_stretches(spark, monkeypatch):
+    import random
+
+    from affidavit.operators import search
+
+    rng = random.Random(5)
+    seqs = rng.sample(range(-40, 400), 300)
+    rows = [("a" if k < 200 else "b" if k < 299 else None, s, rng.choice([None, "2024-01-02", "2024-01-01T10:00", "2023"])) for k, s in enumerate(seqs)]
+    units = spark.createDataFrame(rows, "doc_id string, seq int, date_text string")
+    monkeypatch.setattr(search, "SPAN", 16)
+    for dated in (False, True):
+        got = {(r.doc_id, r.seq): r.place for r in search.places(units, dated=dated).collect()}
+        want = {}
+        for d in ("a", "b", None):
+            mine = sorted((r for r in rows if r[0] == d), key=lambda r: (r[2] is None, r[2] or "", r[1]) if dated else r[1])
+            want |= {(d, r[1]): k for k, r in enumerate(mine, 1)}
+        assert got == want
+
+
+def test_stitching_does_not_depend_on_the_chunks(spark, monkeypatch):
+    import random
+
+    from affidavit.operators import transcripts
+
+    rng = random.Random(7)
+    said = ["We think that", "so it goes on", "Done.", "yeah", "wait", "It ends..."]
+    rows = [(d, k, rng.choice("AB"), k * 20, rng.choice(said[: 3 if d == "open" else 6])) for d, n in (("open", 300), ("mixed", 200), ("short", 5)) for k in range(n)]
+    rows += [("never", k, "A", k, "and so") for k in range(90)]  # no place to cut at
+    lines = spark.createDataFrame(rows, "doc_id string, idx int, speaker_raw string, t int, text string")
+    seen = [sorted(tuple(r) for r in transcripts.stitch(lines).select("doc_id", "idx", "segment", "member").collect())]
+    for size in (3, 16):
+        monkeypatch.setattr(transcripts, "CHUNK", size)
+        seen.append(sorted(tuple(r) for r in transcripts.stitch(lines).select("doc_id", "idx", "segment", "member").collect()))
+    assert len(seen[0]) == len(rows) and seen[1:] == seen[:1] * 2
 
 
 def test_entry(spark):
