@@ -20,6 +20,9 @@ from .quality_rules import quality_rules
 from .simhash_dedup import simhash_components
 from .token_store import read_tokens, write_tokens
 from .url_filter import url_filter
+from .vector_codes import compress, digest
+from .whitening import whiten
+from .word_bpe import encode as encode_words
 
 #: Target weights of the registered mix; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 0.5, "src3": 0.25}
@@ -268,6 +271,67 @@ from copies
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, codebooks = compress(table(spark, sf_dir, "embeddings"))
+    code = F.lower(F.hex("codes"))
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest(codebooks)).alias("codebooks_sha256"))
+
+
+_OP12_ROUND = """
+near{k} as (
+    select r, part, entry, dist from (
+        select a.r, a.part, b.entry, sum((a.v - b.v) * (a.v - b.v)) as dist
+        from parts a join book{k} b using (part, place) group by all
+    ) qualify row_number() over (partition by r, part order by dist, entry) = 1
+),
+sums{k} as (
+    select part, entry, place, cast(sum(v) as bigint) as s, count(*) as n from parts join near{k} using (r, part) group by all
+),
+book{next} as (
+    select b.part, b.entry, b.place, case when n is null then v else (s - ((s % n) + n) % n) // n end as v
+    from book{k} b left join sums{k} using (part, entry, place)
+)"""
+OP12_SQL = (
+    """
+with kept as (
+    select row_number() over (order by vec_id, embedding) as r, vec_id, label, embedding
+    from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+cells as (select r, unnest(range(0, len(embedding))) as i, len(embedding) // 16 as size, embedding from kept),
+parts as (
+    select r, i // size as part, i % size as place, cast(floor(256 * cast(embedding[i + 1] as double)) as bigint) as v from cells
+),
+book0 as (select part, r - 1 as entry, place, v from parts where r <= 64),"""
+    + ",".join(_OP12_ROUND.format(k=k, next=k + 1) for k in (0, 1))
+    + """,
+near as (
+    select r, part, entry, dist from (
+        select a.r, a.part, b.entry, sum((a.v - b.v) * (a.v - b.v)) as dist
+        from parts a join book2 b using (part, place) group by all
+    ) qualify row_number() over (partition by r, part order by dist, entry) = 1
+),
+coded as (
+    select r, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(dist) as bigint) as error from near group by r
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, place)) from book2) as codebooks_sha256
+from coded join kept using (r)
+"""
+)
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_words(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -280,8 +344,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_mixing": op10_mixing,
+        "op11_whitening": op11_whitening,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_word_bpe": op13_word_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_license_scan": OP4_SQL, "op10_mixing": OP10_SQL, "op12_vector_codes": OP12_SQL}

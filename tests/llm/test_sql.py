@@ -18,7 +18,7 @@ def canon(rows, columns):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, want = Q.queries()[name](spark, SF), con.sql(Q.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
