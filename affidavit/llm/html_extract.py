@@ -12,10 +12,15 @@ element's parts only those that are mostly content, as smoothing carries a
 region a line or two too far.
 
 Inside the content, elements that never hold main text (navigation, forms,
-scripts, ...; also by class, id and role) are cleaned away, and nothing else is,
-so short paragraphs between long ones stay.  An element is not cleaned away by
-its class, id or role if it is an article, main or heading, has one inside, or
-holds nearly all text of the page.
+scripts, ...) are cleaned away, and nothing else is, so short paragraphs between
+long ones stay.  Class, id and role count too, in two ranks.  Comments and adverts
+are set aside before anything is clustered, whatever their size and whatever
+stands in them, articles and headings too; where they are all there is, an article
+or main that isn't marked itself is still taken out of them.  Other marks (sidebar,
+banner, form, ...) lose an element only where something else has content: a line
+above the threshold by itself, or text in an article, main or h1.  If nothing has, marks count from the second
+one inwards, and so on; what they lose takes no part in the clusters either.  A heading, and an article or main outside any article, is
+not cleaned away by marks of this second rank.
 
 Defined cases: a null, empty or text-less page gives an empty text; unclosed
 and stray tags are taken as browsers mostly take them; a page cut off anywhere
@@ -39,9 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, WINDOW = 1.0, 3
-#: Share of the content text that a container without article or main must hold, and of the page's
-#: text from which on an element isn't cleaned away by its class, id or role.
-SHARE, NEARLY_ALL = 0.8, 0.9
+#: Share of the content text that a container without article or main must hold.
+SHARE = 0.8
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -57,13 +61,17 @@ NEVER = frozenset(
 UNSEEN = frozenset("script style noscript template head title iframe object canvas svg math audio video".split())
 CONTAINERS = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
-#: Words of class, id or role that mark what isn't main text.
+#: Words of class, id or role that mark comments and adverts, and others that mark what isn't main text.
+ASIDE = frozenset(
+    "ad ads advert adverts advertisement advertising combx comment commentlist comments disqus replies reply skyscraper".split()
+)
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs combx comment commentlist comments complementary "
-    "contentinfo cookie cookies consent disqus footer form gdpr header login masthead menu menubar modal nav navbar "
-    "navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply search "
-    "share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
+    "banner breadcrumb breadcrumbs complementary contentinfo cookie cookies consent footer form gdpr header login masthead menu menubar "
+    "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related search "
+    "share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: How an element is marked: by its class, id or role in either rank, or by its name.
+MARKED, SET_ASIDE, NAMED = 1, 2, 3
 #: Elements that a start tag closes, and where the search for them ends.
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]),
@@ -80,16 +88,21 @@ STATE = re.compile("^(?:has|with|no|is|hide|show)[-_]|[-_](?:open|closed|enabled
 _GAP, _NAME = re.compile(r"\s+"), re.compile("[a-z]+")
 
 
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
+def marked(attrs: list[tuple[str, str | None]]) -> int:
+    """How attributes mark an element: SET_ASIDE, MARKED or 0."""
+    found = 0
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for one in value.split():
                 one = re.sub("([a-z])([A-Z])", r"\1-\2", one).lower()
-                if not STATE.search(one) and not MARKS.isdisjoint(_NAME.findall(one)):
-                    return True
+                if not STATE.search(one):
+                    words = _NAME.findall(one)
+                    if not ASIDE.isdisjoint(words):
+                        return SET_ASIDE
+                    found = found or MARKED * (not MARKS.isdisjoint(words))
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            found = MARKED
+    return found
 
 
 class Lines(HTMLParser):
@@ -100,7 +113,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, unseen
         self.open: Counter[str] = Counter()
-        # of every element: its parent, name, whether it is cleaned away (1 by its attributes, 2 by its name), last element and lines
+        # of every element: its parent, name, how it is marked, last element and lines
         self.parents, self.names, self.aside, self.last, self.first_line, self.end_line = [0], [""], [0], [0], [0], [0]
         self.parts: list[str] = []
         self.tags = 0
@@ -155,7 +168,9 @@ class Lines(HTMLParser):
             self.implied(tag)
         if tag in VOID:
             return
-        aside = 2 if tag in NEVER else 1 if attrs and tag not in ("html", "body") and marked(attrs) else 0
+        aside = NAMED if tag in NEVER else marked(attrs) if attrs and tag not in ("html", "body") else 0
+        if aside == MARKED and (tag in HEADINGS or tag in CONTAINERS and not self.open["article"]):
+            aside = 0
         if aside:
             self.flush()
         self.open[tag] += 1
@@ -194,18 +209,19 @@ class Lines(HTMLParser):
         self.close_to(1)
         self.last[0], self.end_line[0] = len(self.names) - 1, len(self.lines)
 
-    def cleaned(self, size: np.ndarray) -> np.ndarray:
-        """Whether each element is cleaned away, by itself or with one around it."""
-        kept = np.array([n in CONTAINERS or n == "h1" for n in self.names])
-        own = kept | np.array([n in HEADINGS for n in self.names])
-        inside = np.cumsum(kept)
-        chars = np.r_[0.0, np.cumsum(size)]
-        last, first, end = np.array(self.last), np.array(self.first_line), np.array(self.end_line)
-        spared = own | (inside[last] - inside > 0) | (chars[end] - chars[first] >= NEARLY_ALL * chars[-1])
-        aside = ((np.array(self.aside) == 1) & ~spared | (np.array(self.aside) == 2)).tolist()
-        for e in range(1, len(aside)):
-            aside[e] = aside[e] or aside[self.parents[e]]
-        return np.array(aside)
+    def depths(self, kind: int) -> np.ndarray:
+        """For each element how many of it and those around it are marked in a way."""
+        out = [int(k == kind) for k in self.aside]
+        for e in range(1, len(out)):
+            out[e] += out[self.parents[e]]
+        return np.array(out)
+
+    def inside(self, names: frozenset[str]) -> np.ndarray:
+        """Whether each element is, or is in, one of these names."""
+        out = [n in names for n in self.names]
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parents[e]]
+        return np.array(out)
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -233,15 +249,22 @@ def main_text(page: str | None, clustered: bool = True) -> str:
     parser.end()
     if not parser.lines:
         return ""
-    size = np.array([len(t) for t, _, _ in parser.lines], float)
-    ratio = smoothed(size / np.maximum(1, [k for _, k, _ in parser.lines]))
     elements = np.array([e for _, _, e in parser.lines])
-    seen = np.flatnonzero(~parser.cleaned(size)[elements])
-    content = ratio >= threshold(ratio) if clustered else np.ones(len(ratio), bool)
+    named, aside = parser.depths(NAMED)[elements] > 0, parser.depths(SET_ASIDE)[elements]
+    lines = np.flatnonzero(aside == 0)  # those that take part at all
+    if named[lines].all():  # all else is comments and adverts: an article among them that isn't marked
+        lines = np.flatnonzero(_unmarked_container(parser)[elements])
+    if named[lines].all():
+        return ""
+    size = np.array([len(t) for t, _, _ in parser.lines], float)
+    tags = np.array([k for _, k, _ in parser.lines])
+    lines = _unlost(parser, lines, elements, named, size / np.maximum(1, tags))
+    seen = lines[~named[lines]]
+    ratio = smoothed(size[lines] / np.maximum(1, tags[lines]))
+    content = np.zeros(len(size), bool)
+    content[lines] = ratio >= threshold(ratio) if clustered else True
     if not content[seen].any():
         content[seen] = True
-    if not len(seen):
-        return ""
     # regions are runs of content lines among the lines that aren't cleaned away
     marks, weight = content[seen], size[seen] * content[seen]
     starts = np.flatnonzero(marks & ~np.r_[False, marks[:-1]])
@@ -266,6 +289,25 @@ def main_text(page: str | None, clustered: bool = True) -> str:
     return "\n\n".join(parser.lines[k][0] for k in chosen.tolist())
 
 
+def _unmarked_container(parser: Lines) -> np.ndarray:
+    """Whether each element is in an article or main that isn't set aside itself."""
+    out = [n in CONTAINERS and k != SET_ASIDE for n, k in zip(parser.names, parser.aside, strict=True)]
+    for e in range(1, len(out)):
+        out[e] = parser.aside[e] != SET_ASIDE and (out[e] or out[parser.parents[e]])
+    return np.array(out)
+
+
+def _unlost(parser: Lines, lines: np.ndarray, elements: np.ndarray, named: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The lines but those in more marked elements than it takes to leave something with content."""
+    depth = parser.depths(MARKED)[elements[lines]]
+    least = threshold(smoothed(ratio[lines]))
+    # a line has content by itself, not by its neighbours alone
+    solid = (np.minimum(smoothed(ratio[lines]), ratio[lines]) >= least) | parser.inside(CONTAINERS | {"h1"})[elements[lines]]
+    free = ~named[lines]
+    chosen = depth[free & solid] if (free & solid).any() else depth[free]
+    return lines[depth <= int(chosen.min())]
+
+
 def _container(parser: Lines, element: int) -> int:
     """The article or main around an element, itself included: an outermost article, or else the nearest; 0 for none."""
     named = []
