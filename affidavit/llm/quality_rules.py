@@ -6,14 +6,17 @@ hashed; for every host the different documents that hold a line are counted,
 where exact copies of a text count as one document, so that copying a document
 does not turn its lines into boilerplate.  Lines in more than
 ``max(min_docs, max_share * the host's different documents)`` documents are
-removed, and a document that loses more than half of its words is rejected.
+removed, and a document that loses more than half of its words is rejected.  The
+share is low, 2 %, so that what a large host repeats on one page in fifty goes too;
+it bounds a host's removed lines at fifty times the lines of one document.
 
 Texts never cross the network: they give one (host, line, copy) row per
 different line, counted in two partial aggregates, and only the lines above the
 limit go back to documents.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; repeated rows stay repeated, and count as copies;
+null host is a host of its own; a very long text is counted whole; an empty table
+gives an empty result; repeated rows stay repeated, and count as copies;
 ties cannot arise; further columns of the input pass through untouched, but for one
 named ``rules``, which the result replaces.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD_GAP, bind, stored, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-MIN_DOCS, MAX_SHARE, MAX_LOSS = 20, 0.1, 0.5
+MIN_DOCS, MAX_SHARE, MAX_LOSS = 20, 0.02, 0.5
 #: Up to so many different repeated windows they are looked up one by one; beyond, by sorting.
 FEW = 32
 #: Up to so many lines above the limit are sent to every task (12 bytes each); beyond, documents are joined by host.

@@ -64,7 +64,7 @@ lines as (
 hosts as (select host, count(distinct t) as n_host from d group by host),
 often as (
     select host, l from (select host, l, count(distinct t) as n from lines group by host, l) join hosts using (host)
-    where n > 20 and n > n_host * 0.1
+    where n > 20 and n > n_host * 0.02
 ),
 removed as (select r, count(*) as n_lines, sum(n) as n_words from lines join often using (host, l) group by r),
 judged as (

@@ -264,23 +264,31 @@ def test_poisson_against_its_sums(spark):
 
 
 def test_stages(spark, docs, empty, tmp_path):
+    """Every stage keeps the caller's further columns as they are, whatever the operators call their own."""
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    more = {"rules": F.col("doc_id") * 2, "score": F.concat(F.lit("s"), "doc_id"), "predicted": F.lit("p"), "n_copies": F.lit(2.5), "copy": F.array("doc_id"), "place": F.lit("here"), "Row 1": F.lit(7)}
+    clash = docs.withColumns(more)
+    model = quality_classifier.train(docs, labels(spark))
+    good = [r.doc_id for r in quality_classifier.score(docs, model).collect() if r.predicted == 1]
+    copies = {(r.doc_id, r.text): r.n_copies for r in mixing.mix(docs, corpus_pipeline.MIX_WEIGHTS).collect()}
+    expected = {
+        "quality rules": [1, 2, 2, 6, 8, None],
+        "quality classifier": good,
+        "simhash near-dedup": [1, 3, 6, 7, 9, None],  # 2 is 1, 4 and 5 are 3, 8 adds few words to 1
+        "mixing": [r.doc_id for r in docs.collect() for _ in range(copies.get((r.doc_id, r.text), 0))],
+        "byte-level BPE": [r.doc_id for r in docs.collect()],
+    }
     for name, stage in corpus_pipeline.STAGES:
-        for table in (docs, empty, docs.withColumn("rules", F.lit(1)).withColumn("score", F.lit(2))):
+        for table in (docs, empty, clash):
             out = stage(spark, table, str(tmp_path))
-            ids = [r.doc_id for r in out.select("doc_id").collect()]
-            if table is empty:
-                assert ids == []
-            elif name == "byte-level BPE":
-                assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in table.collect())
-            elif name == "simhash near-dedup":
-                assert sorted(map(str, ids)) == sorted(["1", "3", "6", "7", "9", "None"])  # 2 is 1, 4 and 5 are 3, 8 adds few words to 1
-            elif name == "quality rules":
-                assert sorted(map(str, ids)) == sorted(["1", "2", "2", "6", "8", "None"])
-            else:
-                assert set(ids) <= {r.doc_id for r in table.collect()}
+            rows = out.collect()
+            assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, [] if table is empty else expected[name]))
             if name != "byte-level BPE":
-                assert out.columns == table.columns
+                assert out.dtypes == table.dtypes
+                if table is clash:
+                    id_ = lambda r: r.doc_id
+                    assert all((r.rules, r.copy) == (id_(r) and 2 * id_(r), [id_(r)]) and r["Row 1"] == 7 for r in rows)
+                    assert all((r.score, r.predicted, r.n_copies, r.place) == (id_(r) and f"s{id_(r)}", "p", 2.5, "here") for r in rows)
 
 
 def test_words_of_the_contract(spark):
