@@ -29,27 +29,42 @@ from affidavit.llm.queries import MIX_WEIGHTS
 from affidavit.llm.simhash_dedup import simhash_dedup
 
 
+#: The columns that stages read.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def through(operator: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """``operator``'s rows with the columns of ``docs``; those that no stage reads go by under names that no operator uses."""
+    own = {c: c if c in READ else f"_of_the_caller_{k}" for k, c in enumerate(docs.columns)}
+    found = operator(docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()]))
+    return found.select(*[F.col(name).alias(c) for c, name in own.items()])
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go (null and empty texts among them), and lines above the limit go from those that stay."""
-    judged = quality_rules(docs).where("rules.kept")
-    judged = judged.withColumn("text", without_lines(F.col("text"), F.col("rules.removed")))
-    return judged.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    def judged(docs: DataFrame) -> DataFrame:
+        kept = quality_rules(docs).where("rules.kept")
+        kept = kept.withColumn("text", without_lines(F.col("text"), F.col("rules.removed")))
+        return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+    return through(judged, docs)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 1").select(*docs.columns)
+    return through(lambda docs: score(docs, model).where("predicted = 1"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays."""
-    return simhash_dedup(docs, span=5, least=0.8).select(*docs.columns)
+    return through(lambda docs: simhash_dedup(docs, span=5, least=0.8), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat to the sources' target weights, in a global random order."""
-    return mix(docs, MIX_WEIGHTS).select(*docs.columns)
+    return through(lambda docs: mix(docs, MIX_WEIGHTS), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
