@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, settings
-from .operators import erase, people, practice, rollups, search
+from .operators import erase, index, people, practice, rollups, search
 from .sources import corpus
 
 ROSTER = "pid string, display string, org string, role string, emails array<string>"
@@ -70,7 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, confi
     elif args.command == "figures":
         show(search.list_figures(a.units, args.topic, at.hits).select("line"))
     elif args.command == "timeline":
-        show(search.timeline(a.units, args.topic, args.since, args.until).select("date_text", "unit_id", "score", "text"))
+        ranks = index.load_or_build(a.units, f"{at.archive}/index", a.units)
+        show(search.timeline(a.units, args.topic, args.since, args.until, index=ranks).select("date_text", "unit_id", "score", "text"))
     elif args.command == "who":
         show(people.who_is(a.people, a.units, args.name))
     elif args.command == "erase":

@@ -7,12 +7,16 @@ the archive is (doc_id, seq), which breaks every tie.
 from __future__ import annotations
 
 import re
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FIGURE, figures, tokenize
 
+if TYPE_CHECKING:
+    from .index import TextIndex
+
 ORDER = ("doc_id", "seq")
 #: Values of a place that one task numbers.
 SPAN = 65536
@@ -165,9 +169,10 @@ def bm25(
     return scored.orderBy(F.desc("score"), *ORDER).limit(top_k) if top_k is not None else scored
 
 
-def search_text(units: DataFrame, query: str, top_k: int | None = 12) -> DataFrame:
+def search_text(units: DataFrame, query: str, top_k: int | None = 12, index: TextIndex | None = None) -> DataFrame:
     """BM25 hits with snippets of 420 characters; ``top_k`` is held to 1..40, and nothing means 12."""
-    hits = bm25(units, query, min(max(top_k or 12, 1), 40))
+    most = min(max(top_k or 12, 1), 40)
+    hits = index.search(query, most) if index else bm25(units, query, most)
     return hits.join(units.select("unit_id", F.substring("text", 1, 420).alias("snippet")), "unit_id").orderBy(
         F.desc("score"), *ORDER
     )
@@ -200,14 +205,16 @@ def latest_figures(found: DataFrame) -> DataFrame:
 
 
 def timeline(
-    units: DataFrame, topic: str, since: str | None = None, until: str | None = None, pool: int | None = 60, show: int | None = 50
+    units: DataFrame, topic: str, since: str | None = None, until: str | None = None, pool: int | None = 60, show: int | None = 50,
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """The units nearest to a topic between two days, oldest first.
+    """The units nearest to a topic between two days, oldest first; ranked by a stored index if there is one.
 
     The ``pool`` best are taken before the dates are looked at; None takes all.
     Dates compare by their days, so ``until`` includes its whole day.
     """
-    hits = bm25(units, topic, pool).join(units.select("unit_id", "date_text", F.substring("text", 1, 300).alias("text")), "unit_id")
+    ranked = index.search(topic, pool) if index else bm25(units, topic, pool)
+    hits = ranked.join(units.select("unit_id", "date_text", F.substring("text", 1, 300).alias("text")), "unit_id")
     day = F.substring("date_text", 1, 10)
     if since:
         hits = hits.where(day >= since[:10])

@@ -5,14 +5,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TRAILS_OFF, clock, is_backchannel, is_open, n_words
+from ..functions.text import TRAILS_OFF, clock, is_open, n_words
 from .people import resolve
+from .stitching import stitch
 
 # The lines of a transcript's head, of an utterance's head and of the preamble before it.
 META_KEYS = ("Meeting", "Customer", "Date", "Phase", "Attendees", "Recording", "Present")
@@ -20,9 +18,7 @@ HEAD = r"^(.{2,60}?) (?:(\d+) minutes?(?: (\d+) seconds?)?|(\d+) seconds?)$"
 STAMP = r"^\d+:\d{2}(?::\d{2})?\d+:\d{2}(?::\d{2})?$"
 CAPITALS = "^[A-ZÅÄÖØÆ]{2,3}$"
 UNKNOWN = "Unknown Speaker"
-MAX_GAP, MAX_AHEAD, HEAD_LINES = 120, 8, 30
-#: Utterances of a transcript that one task stitches, on average.
-CHUNK = 4096
+HEAD_LINES = 30
 
 
 def stem(path: Column) -> Column:
@@ -107,74 +103,6 @@ def untimed_utterances(docs: DataFrame) -> DataFrame:
     )
 
 
-def stitch(utterances: DataFrame, max_gap: int = MAX_GAP, max_ahead: int = MAX_AHEAD) -> DataFrame:
-    """``utterances`` with ``segment`` (the idx of its statement's first) and ``member`` (false: an interruption).
-
-    An open utterance goes on in the next one of its speaker that is no
-    backchannel, at most ``max_ahead`` places and ``max_gap`` seconds later; what
-    stands between is an interruption.  The next place depends on nothing but the
-    places ahead, so it is a window; which places then start a statement is a
-    scan in order with two numbers of state.  Long transcripts are cut in chunks,
-    each at its first place that no utterance before it reaches or passes over, as
-    the scan starts anew there; a chunk without such a place goes with the one before.
-    """
-    size = max(CHUNK, max_ahead)
-    chunk = lambda d: F.floor((F.col("idx") + d) / size)
-    # a chunk sees as many places on either side as an utterance can reach
-    copies = utterances.select(
-        "doc_id", "idx", "t", "speaker_raw", "text", chunk(0).alias("own"),
-        F.explode(F.array_distinct(F.array(chunk(-max_ahead), chunk(0), chunk(max_ahead)))).alias("chunk"),
-    )
-    order = Window.partitionBy("doc_id", "chunk").orderBy("idx")
-    one = F.struct("idx", "t", "speaker_raw", is_backchannel(F.col("text")).alias("bc"))
-    cut = lambda c: F.coalesce(c["t"] - F.col("t") > max_gap, F.lit(False)) | (c["idx"] - F.col("idx") > max_ahead)
-    good = lambda c: (c["speaker_raw"] == F.col("speaker_raw")) & ~c["bc"]
-    late = lambda x: F.aggregate(x, F.lit(False), lambda a, c: a | cut(c))
-    nxt = F.get(F.filter("ahead", lambda c, k: good(c) & ~late(F.slice(F.col("ahead"), F.lit(1), k + 1))), F.lit(0))["idx"]
-    reached = F.max("nxt").over(order.rowsBetween(-max_ahead, -1))
-    ready = (
-        copies.withColumn("ahead", F.collect_list(one).over(order.rowsBetween(1, max_ahead)))
-        .withColumn("nxt", F.when(is_open(F.col("text")), nxt))
-        .select("doc_id", "chunk", "own", "idx", "nxt")
-        .withColumn("free", F.coalesce(reached < F.col("idx"), F.lit(True)))
-        .where("own = chunk")
-        .drop("own")
-    )
-    # a row for each chunk but the first of a transcript; most have none
-    earlier = Window.partitionBy("doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    later = (
-        ready.where("chunk > 0").groupBy("doc_id", "chunk").agg(F.min(F.when(F.col("free"), F.col("idx"))).alias("first"))
-        .withColumn("before", F.coalesce(F.last(F.when(F.col("first").isNotNull(), F.col("chunk")), ignorenulls=True).over(earlier), F.lit(0)))
-    )
-    inside = (F.col("chunk") == 0) | F.coalesce(F.col("idx") >= F.col("first"), F.lit(False))
-    parts = (
-        ready.join(later, ["doc_id", "chunk"], "left")
-        .select("doc_id", "idx", "nxt", F.when(inside, F.col("chunk")).otherwise(F.col("before")).alias("part"))
-        .repartition("doc_id", "part")
-        .sortWithinPartitions("doc_id", "part", "idx")
-    )
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, expected, segment = None, None, None
-        for b in batches:
-            segments, members = [], []
-            for d, p, i, n in zip(b["doc_id"], b["part"], b["idx"], b["nxt"], strict=True):
-                if (d, p) != doc:
-                    doc, expected = (d, p), None
-                starts, belongs = expected is None, expected is None or i == expected
-                if starts:
-                    segment = i
-                if belongs:
-                    expected = None if pd.isna(n) else int(n)
-                segments.append(segment)
-                members.append(belongs)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "idx": b["idx"], "segment": segments, "member": members})
-
-    kind = dict(parts.dtypes)["doc_id"]
-    found = parts.mapInPandas(scan, f"doc_id {kind}, idx int, segment int, member boolean")
-    return utterances.join(found, ["doc_id", "idx"])
-
-
 def statements(stitched: DataFrame) -> DataFrame:
     """(doc_id, seq, segment, ...): one row for each statement, its members' text joined."""
     row = F.struct("idx", "text", "t", "line", "speaker_raw", "member")

@@ -8,14 +8,15 @@ speakers and counts.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import erase, people, rollups, search, sweep, threads, transcripts, verify
-from ..sources import corpus
+from ..operators import erase, index, people, rollups, search, sweep, threads, transcripts, verify
+from ..sources import corpus, store
 from . import sample
 
 
@@ -33,6 +34,13 @@ def units_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The stored index of the units, built by the first query that asks for it and again once a file of its tables has changed."""
+    sources = [table(spark, sf_dir, n) for n in ("documents", "labels")]
+    folder = f"{store.shared_folder(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return index.load_or_build(units_of(spark, sf_dir), folder, *sources)
+
+
 UNITS_SQL = """
 with toxic as (select doc_id from labels group by doc_id having max(toxic) = 1),
 units as (
@@ -110,8 +118,7 @@ def grep_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 t as (select unit_id, unnest({TOKENS_SQL}) as token from units where not redacted)
 select token, count(*) as n, count(distinct unit_id) as df from t group by token order by n desc, token limit 50""")
 def tokens_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = search.postings(units_of(spark, sf_dir))
-    counts = posted.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+    counts = text_index(spark, sf_dir).terms().select("token", F.col("cf").alias("n"), "df")
     return counts.orderBy(F.desc("n"), "token").limit(50)
 
 
@@ -130,14 +137,19 @@ hits as (
 
 @query(UNITS_SQL + BM25_SQL + " select * from hits where score > 0")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(units_of(spark, sf_dir), "License version work, license", top_k=None)
-    return hits.withColumn("score", F.round("score", 3)).where("score > 0")
+    return text_index(spark, sf_dir).search("License version work, license", top_k=None, digits=3)
 
 
 @query(UNITS_SQL + BM25_SQL + " select unit_id, doc_id, seq from hits where score > 0 order by score desc, doc_id, seq limit 40")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = bm25_scores(spark, sf_dir)
-    return hits.orderBy(F.desc("score"), "doc_id", "seq").limit(40).select("unit_id", "doc_id", "seq")
+    return text_index(spark, sf_dir).search("License version work, license", top_k=40, digits=3).select("unit_id", "doc_id", "seq")
+
+
+@query(UNITS_SQL + BM25_SQL + " select * from hits where score > 0")
+def bm25_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from the units alone, in one pass over their texts."""
+    hits = search.bm25(units_of(spark, sf_dir), "License version work, license", top_k=None)
+    return hits.withColumn("score", F.round("score", 3)).where("score > 0")
 
 
 FIGURES_SQL = (
@@ -178,7 +190,7 @@ def figure_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 select p.unit_id, p.doc_id, p.seq, u.date_text, substr(u.text, 1, 300) as text
 from hits p join units u using (unit_id) where score > 0 and u.date_text between '2024-02-01' and '2026-06-30'""")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.timeline(units_of(spark, sf_dir), "License version work, license", "2024-02-01", "2026-06-30", pool=None, show=None)
+    found = search.timeline(units_of(spark, sf_dir), "License version work, license", "2024-02-01", "2026-06-30", pool=None, show=None, index=text_index(spark, sf_dir))
     return found.select("unit_id", "doc_id", "seq", "date_text", "text")
 
 

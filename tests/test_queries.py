@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from affidavit.plans import queries as A
 
@@ -61,7 +62,6 @@ def test_window_ratio_is_the_best_of_all_windows():
 
 
 def test_erased_forms_fit_whatever_the_marks(spark):
-    from pyspark.sql import functions as F
 
     from affidavit.operators.erase import form_pattern, redact
 
@@ -110,21 +110,64 @@ def test_places_do_not_depend_on_the_stretches(spark, monkeypatch):
         assert got == want
 
 
+def stitched_in_order(rows, max_gap=120, max_ahead=8):
+    """(doc_id, idx, segment, member) by walking through each transcript."""
+    docs = {}
+    for r in rows:
+        docs.setdefault(r[0], []).append(r)
+    out = []
+    for d, lines in docs.items():
+        lines.sort(key=lambda r: r[1])
+        segment = expected = None
+        for k, (_, i, speaker, t, text) in enumerate(lines):
+            if member := expected in (None, i):
+                segment = i if expected is None else segment
+                expected = None
+                if text and not (text.rstrip()[-1:] in ".!?" and not text.rstrip().endswith("...")):
+                    for other in lines[k + 1 : k + 1 + max_ahead]:
+                        if None not in (t, other[3]) and other[3] - t > max_gap:
+                            break
+                        if other[2] == speaker and speaker is not None and other[4] not in (None, "yeah", "yeah."):
+                            expected = other[1]
+                            break
+            out.append((d, i, segment, member))
+    return sorted(map(repr, out))
+
+
 def test_stitching_does_not_depend_on_the_chunks(spark, monkeypatch):
     import random
 
-    from affidavit.operators import transcripts
+    from affidavit.operators import stitching
 
     rng = random.Random(7)
-    said = ["We think that", "so it goes on", "Done.", "yeah", "wait", "It ends..."]
-    rows = [(d, k, rng.choice("AB"), k * 20, rng.choice(said[: 3 if d == "open" else 6])) for d, n in (("open", 300), ("mixed", 200), ("short", 5)) for k in range(n)]
+    said = ["We think that", "so it goes on", "Done.", "yeah", "wait", "It ends...", None, ""]
+    sizes = (("open", 300), ("mixed", 200), ("short", 5), (None, 90))
+    rows = [(d, k, rng.choice(["A", "B", "B", None] if d == "mixed" else "AB"), rng.choice([k * 20, None, k * 40]), rng.choice(said[: 3 if d == "open" else 8])) for d, n in sizes for k in range(n)]
     rows += [("never", k, "A", k, "and so") for k in range(90)]  # no place to cut at
-    lines = spark.createDataFrame(rows, "doc_id string, idx int, speaker_raw string, t int, text string")
-    seen = [sorted(tuple(r) for r in transcripts.stitch(lines).select("doc_id", "idx", "segment", "member").collect())]
-    for size in (3, 16):
-        monkeypatch.setattr(transcripts, "CHUNK", size)
-        seen.append(sorted(tuple(r) for r in transcripts.stitch(lines).select("doc_id", "idx", "segment", "member").collect()))
-    assert len(seen[0]) == len(rows) and seen[1:] == seen[:1] * 2
+    rows += [("relay", k, "AB"[k % 2], 0, "and so") for k in range(120)]  # in every other place
+    lines = spark.createDataFrame(rows, "doc_id string, idx int, speaker_raw string, t int, text string").withColumn("line", F.lit("more"))
+    want = stitched_in_order(rows)
+    for size, fan in ((4096, 4096), (9, 2), (16, 3)):
+        monkeypatch.setattr(stitching, "CHUNK", size)
+        monkeypatch.setattr(stitching, "FAN", fan)
+        got = stitching.stitch(lines.repartition(3))
+        assert got.columns == [*lines.columns, "segment", "member"]
+        assert sorted(map(repr, map(tuple, got.select("doc_id", "idx", "segment", "member").collect()))) == want, size
+    assert stitching.stitch(lines.limit(0)).collect() == []
+
+
+def test_an_endless_statement_runs_in_many_tasks(spark, monkeypatch):
+    from affidavit.operators import stitching
+
+    lines = spark.range(100_000).select(
+        F.lit("d").alias("doc_id"), F.col("id").cast("int").alias("idx"), F.lit("A").alias("speaker_raw"), F.lit(0).alias("t"), F.lit("and so").alias("text")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would end in one task
+    got = stitching.stitch(lines)
+    assert got.where("segment <> 0 or not member").count() == 0 and got.count() == 100_000
+    rows = got.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 60_000
 
 
 def test_entry(spark):
