@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL, fold, initials, plain, slug
+from ..sources.store import stored
 
 # Mailboxes of a role, pairs and words that look like names, and words of titles.
 ROLE_MAILBOXES = "datenschutz info support noreply".split()
@@ -76,28 +77,44 @@ def discover_emails(texts: DataFrame, people: DataFrame, orgs: dict[str, str] |
     )
 
 
-def discover_names(texts: DataFrame, people: DataFrame, least: int = 2) -> DataFrame:
+def discover_names(texts: DataFrame, people: DataFrame, least: int = 2, order: str | None = None) -> DataFrame:
     """(name, n, pid): pairs of capitalised words seen ``least`` times or more that are no known person's.
 
-    Of names that share a word the one that occurs more often is taken (ties: by
-    name), so the result doesn't depend on the order of the corpus.
+    Names are taken one after the other, and one that shares a word with a known
+    person or a name taken before is left: by their first place in the corpus if
+    ``order`` is a column of ``texts`` that orders it, else the most frequent first
+    (ties: by name).  That choice is made in rounds of joins over shared words: in
+    each round the names that come first among the undecided ones of both their words
+    are taken, and all that share a word with them are left.
     """
-    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(NAME_PAIR), F.lit(0))).alias("name"))
-    names = found.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    at = F.struct(order, "k") if order else F.lit(0)
+    found = texts.select(*([order] if order else []), F.posexplode(F.regexp_extract_all("text", F.lit(NAME_PAIR), F.lit(0))).alias("k", "name"))
+    names = found.groupBy("name").agg(F.count("*").alias("n"), F.min(at).alias("at")).where(F.col("n") >= least)
     words = F.transform(F.split("name", r"(?U)\s+"), fold)
     bad = F.array(*[F.lit(w) for w in NOT_NAMES])
     title = "|".join(TITLE_WORDS)
     names = names.where(~fold(F.col("name")).isin(NOT_PEOPLE) & ~F.arrays_overlap(words, bad) & ~F.rlike("name", F.lit(rf"\b({title})\b")))
     taken = people.select(F.explode(F.split("display", r"(?U)\s+")).alias("w")).select(fold(F.col("w")).alias("w")).distinct()
-    each = names.select("name", "n", F.explode(words).alias("w"))
-    blocked = each.join(taken, "w").select("name").distinct()
-    free = each.join(blocked, "name", "left_anti")
-    first = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("n"), "name"))
-    best = free.withColumn("r", first).groupBy("name", "n").agg(F.max("r").alias("r")).where("r = 1")
-    return best.select("name", "n", slug(F.col("name")).alias("pid"))
-
-
-def build_registry(roster: DataFrame, texts: DataFrame, orgs: dict[str, str] | None = None) -> DataFrame:
+    place = F.struct("at", "name") if order else F.struct((-F.col("n")).alias("at"), "name")
+    each = names.select("name", "n", place.alias("place"), F.explode(F.array_distinct(words)).alias("w"))
+    undecided = stored(without(each, taken), "names")
+    chosen = undecided.select("name", "n").limit(0)
+    while not undecided.isEmpty():
+        first = undecided.groupBy("w").agg(F.min("place").alias("first"))
+        best = undecided.join(first, "w").groupBy("name", "n").agg(F.bool_and(F.col("place") == F.col("first")).alias("best")).where("best")
+        best = stored(best.select("name", "n"), "names")
+        chosen = chosen.unionAll(best)
+        gone = undecided.join(best.select("name"), "name", "left_semi").select("w").distinct()
+        undecided = stored(without(undecided, gone), "names")
+    return chosen.select("name", "n", slug(F.col("name")).alias("pid"))
+
+
+def without(each: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (name, w, ...) of the names that have none of some words."""
+    return each.join(each.join(words, "w", "left_semi").select("name").distinct(), "name", "left_anti")
+
+
+def build_registry(roster: DataFrame, texts: DataFrame, orgs: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
     """The roster, then those found by address, then those found by name; addresses of one person are gathered."""
     base = with_aliases(roster).withColumn("prio", F.lit(0))
     mailed = discover_emails(texts, base, orgs)
@@ -107,7 +124,7 @@ def build_registry(roster: DataFrame, texts: DataFrame, orgs: dict[str, str] | N
         F.concat(F.coalesce("emails", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>"))).alias("emails"),
         F.coalesce("mention_only", F.lit(True)).alias("mention_only"), F.coalesce("prio", F.lit(1)).alias("prio"),
     )
-    named = discover_names(texts, merged).join(merged.select("pid"), "pid", "left_anti").select(
+    named = discover_names(texts, merged, order=order).join(merged.select("pid"), "pid", "left_anti").select(
         "pid", F.col("name").alias("display"), F.lit(None).cast("string").alias("org"), F.lit(None).cast("string").alias("role"),
         F.array().cast("array<string>").alias("emails"), F.lit(True).alias("mention_only"), F.lit(2).alias("prio"),
     )

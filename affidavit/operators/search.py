@@ -63,6 +63,11 @@ def get_units(units: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("w.place", "w.unit_id", state.alias("status"), text.alias("text"))
 
 
+def document_units(units: DataFrame, doc_id: str, withheld: bool = False) -> DataFrame:
+    """The units of a document in stored order, live ones unless ``withheld``."""
+    return (units if withheld else live(units)).where(F.col("doc_id") == doc_id).orderBy("seq")
+
+
 def resolve_doc(documents: DataFrame, ref: str) -> DataFrame:
     """The document that ``ref`` names: by id, else by short code, end of path or part of the id; an empty one names none."""
     rank = F.when(F.col("doc_id") == ref, 0).when(
@@ -172,7 +177,11 @@ def bm25(
 def search_text(units: DataFrame, query: str, top_k: int | None = 12, index: TextIndex | None = None) -> DataFrame:
     """BM25 hits with snippets of 420 characters; ``top_k`` is held to 1..40, and nothing means 12."""
     most = min(max(top_k or 12, 1), 40)
-    hits = index.search(query, most) if index else bm25(units, query, most)
+    return with_snippets(index.search(query, most) if index else bm25(units, query, most), units)
+
+
+def with_snippets(hits: DataFrame, units: DataFrame) -> DataFrame:
+    """Ranked hits with the first 420 characters of their units, best first."""
     return hits.join(units.select("unit_id", F.substring("text", 1, 420).alias("snippet")), "unit_id").orderBy(
         F.desc("score"), *ORDER
     )

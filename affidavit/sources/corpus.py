@@ -55,14 +55,20 @@ def fingerprint(files: DataFrame) -> str:
     return total.hexdigest()[:16]
 
 
-def range_fingerprints(rows: DataFrame, by: str, key: str, text: str, step: int = 1000) -> DataFrame:
-    """(by, fingerprint) for groups of any size: hashes of texts, of ranges of ``step`` keys, of ranges of those, and so on four times.
+def range_fingerprints(rows: DataFrame, by: str, key: str, text: str, step: int = 1000, levels: int = 4) -> DataFrame:
+    """(by, fingerprint) for groups of any size: hashes of texts, of ranges of ``step`` keys, of ranges of those, and so on.
 
-    No task holds more than ``step`` hashes of a group, up to ``step`` ** 4 keys.
+    There are ``levels`` of them or as many more as it takes until keys as far from zero as
+    the table's lie in ``step`` ranges; the last takes all ranges of a group.  No task
+    holds more than twice ``step`` hashes of a group, as keys may lie on both sides of zero.
     """
     out = rows.select(F.col(by).alias("by"), F.col(key).cast("long").alias("k"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h"))
-    for _ in range(4):
-        out = out.groupBy("by", F.floor(F.col("k") / step).alias("up")).agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("a"))
+    farthest = out.agg(F.max(F.greatest(F.col("k"), -1 - F.col("k")))).first()[0] or 0
+    while farthest >= step**levels:
+        levels += 1
+    for level in range(1, levels + 1):
+        up = F.lit(0) if level == levels else F.floor(F.col("k") / step)
+        out = out.groupBy("by", up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("a"))
         out = out.select("by", F.col("up").alias("k"), F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("h"))
     return out.select(F.col("by").alias(by), F.substring("h", 1, 16).alias("fingerprint"))
 
@@ -72,8 +78,8 @@ def build(spark: SparkSession, files: DataFrame, roster: DataFrame, orgs: dict[s
 
     People come first, from the whole corpus, so that a name resolves wherever it stands.
     """
-    texts = files.select(F.col("content").alias("text"))
-    people = P.build_registry(roster.withColumn("mention_only", F.lit(False)), texts, orgs)
+    texts = files.select(F.col("content").alias("text"), "path")
+    people = P.build_registry(roster.withColumn("mention_only", F.lit(False)), texts, orgs, order="path")
     aliases = P.alias_table(people)
     people = people.select(*[f.name for f in schemas.PEOPLE.fields])
     said = transcripts.transcript_units(files, people, aliases)

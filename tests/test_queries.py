@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from affidavit.plans import archive_queries  # noqa: F401
 from affidavit.plans import queries as A
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +176,45 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["unit_id", "doc_id", "seq"]
     assert set(A.Q) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_names_are_taken_one_after_the_other(spark):
+    import random
+
+    from affidavit.operators import people
+
+    rng = random.Random(4)
+    words = ["Anna", "Berg", "Carla", "Dorn", "Emil", "Falk", "Gerd", "Holm", "Ines", "Jung", "Karl", "Lund"]
+    pairs = [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(400)]
+    texts = [", ".join(pairs[k : k + 5]) for k in range(0, 400, 5)]
+    known = spark.createDataFrame([("x", "Karl X")], "pid string, display string")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(4)
+    counts = {}
+    for p in pairs:
+        counts[p] = counts.get(p, 0) + 1
+
+    def one_by_one(names):
+        taken, out = {"karl", "x"}, {}
+        for name in names:
+            own = set(name.lower().split())
+            if counts[name] >= 2 and not own & taken:
+                taken |= own
+                out[name] = counts[name]
+        return out
+
+    got = {r.name: r.n for r in people.discover_names(df, known, order="k").collect()}
+    assert got == one_by_one(counts) and len(got) >= 4
+    got = {r.name: r.n for r in people.discover_names(df, known).collect()}
+    assert got == one_by_one(sorted(counts, key=lambda x: (-counts[x], x)))
+
+
+def test_fingerprints_of_keys_far_apart(spark):
+    from affidavit.sources import corpus
+
+    rows = [("a", k * 10**13, f"t{k}") for k in range(-2, 3)] + [("b", 7, "x"), ("b", 8, None), (None, -1, "y"), (None, 0, "z")]
+    df = spark.createDataFrame(rows, "by string, k long, t string")
+    first = {r["by"]: r.fingerprint for r in corpus.range_fingerprints(df, "by", "k", "t").collect()}
+    again = {r["by"]: r.fingerprint for r in corpus.range_fingerprints(df.repartition(3), "by", "k", "t").collect()}
+    assert len(first) == 3 and first == again and corpus.range_fingerprints(df, "by", "k", "t").count() == 3
+    other = df.where("t is null or t <> 't1'")
+    assert corpus.range_fingerprints(other, "by", "k", "t").where("by = 'a'").first().fingerprint != first["a"]
