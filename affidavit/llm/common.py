@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of each job at its end: for tables that are written once and then read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the files behind frames from :func:`stored` that nothing reads any more."""
     for df in frames:

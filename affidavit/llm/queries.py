@@ -22,6 +22,7 @@ from .token_store import read_tokens, write_tokens
 from .url_filter import url_filter
 from .vector_codes import compress, digest
 from .whitening import whiten
+from .word_bpe import decode as decode_words
 from .word_bpe import encode as encode_words
 
 #: Target weights of the registered mix; every other source has weight 1.
@@ -113,7 +114,7 @@ patterns(id, pattern) as (
 ),
 fits as (
     select u.*,
-           (select max({'n': length(r.host), 's': length(r.start), 'rule': r.rule, 'verdict': r.verdict}) from rules r
+           (select max({'n': length(r.rule), 'rule': r.rule, 'verdict': r.verdict}) from rules r
             where (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.start)) as r,
            (select min(p.id) from patterns p where regexp_matches(lower(u.url), p.pattern)) as pattern_rule
     from u
@@ -327,9 +328,11 @@ from coded join kept using (r)
 
 
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode_words(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = decode_words(encode_words(table(spark, sf_dir, "documents"), path), path)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return found.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    n = F.size("ids").cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

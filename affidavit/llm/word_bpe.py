@@ -1,21 +1,27 @@
-"""BPE with word ends, encoded and decoded through a table of distinct words.
+"""BPE with word ends, encoded through a table of distinct words and decoded through a join with the vocabulary.
+
+Encoding:
 
 1. Texts are split into words where they are read: at white space, and words of
    Latin letters, digits and common punctuation also where the tokenizer's own
    pattern cuts them.  A *run* is some documents of a task (``RUN`` characters):
    it keeps each of its words once, and each document as the numbers of its words
    in order, so text itself never moves.
-2. The words of all runs are made distinct, and each is encoded once, by the
-   tokenizers library.
-3. Ids are decoded through a join with the table of the vocabulary (id, piece).
-   Of the words' ids, too, a run keeps each id once, so a row of the join is an
-   id of a run and not of a text.
-4. Words and ids come back to their run by its number and their place in it, and
-   the run's documents take theirs by position.
-
-A frequent word is one row in each run that has it, so no key of a join is hot;
-runs are of about equal size.  The vocabulary is broadcast up to ``BROADCAST``
-entries.  Runs are stored in the shared folder before they are used twice.
+2. The runs' words meet in buckets by their hash, those of a run and bucket packed
+   in one frame.  A bucket's words are made distinct, and each is encoded once, by
+   the tokenizers library.
+3. Ids come back to their run by its number and the words' places in it, and the
+   run's documents take theirs by position.
+
+Decoding takes ids in the same way: runs of lists of ids keep each id once, these
+are joined with the vocabulary (id, piece), broadcast up to ``BROADCAST`` entries, and
+pieces come back to their run and by position to its lists.
+
+A frequent word is one word of each run that has it, so no bucket is hot; runs are
+of about equal size, and there are more buckets where there are more partitions.
+Runs are stored in the shared folder, in buckets by their number, before they are
+used twice: only words, ids and pieces are shuffled to them, and documents stay
+where they are.
 
 The vocabulary file has to be of a kind where white space ends a word and is
 dropped, and whose library decoder is none (pieces joined by one space); others
@@ -33,6 +39,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
+import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -46,10 +55,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import forget, freed, new_folder, partitions
 
-#: Characters and ids of a run, words that the library gets at once, and entries up to which a vocabulary is broadcast.
-RUN, RUN_IDS, TOGETHER, BROADCAST = 16 << 20, 4 << 20, 4096, 1 << 20
+#: Characters and ids of a run, words that the library gets at once, entries up to which a vocabulary is broadcast, and buckets at most.
+RUN, RUN_IDS, TOGETHER, BROADCAST, MOST_BUCKETS = 10 << 20, 3 << 20, 4096, 1 << 20, 100_000
+#: Codes that are expanded and pieces that are packed at once.
+STEP, PACKED_AT_ONCE = 1 << 20, 1 << 18
 #: Letters of Latin-1 and Latin Extended-A whose lower case is one such letter, and marks that stand for themselves.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-įı-ſ", "¡¿«»“”‘’–—…€"
 #: Words that can be cut here: their parts are encoded as the library would within the word.
@@ -96,170 +107,284 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-class Run:
-    """Rows of a task, each a sequence of items; items are numbered once for the run."""
+def expanded(codes: np.ndarray, lengths: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes, each code replaced by its stretch of ``flat``: the rows' new lengths, and the stretches; some at a time."""
+    starts = np.cumsum(sizes) - sizes
+    out = [flat[ragged(starts[codes[k : k + STEP]], sizes[codes[k : k + STEP]])] for k in range(0, len(codes), STEP)]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    total = np.concatenate([[0], np.cumsum(sizes[codes], dtype=np.int64)])
+    return np.diff(total[bounds]), np.concatenate([*out, np.zeros(0, flat.dtype)])
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32 in a frame: their lower halves, then the upper ones if any number has one."""
+    high = (numbers >> 16).astype("<u2").tobytes() if int(numbers.max(initial=0)) >> 16 else b""
+    return zstandard.ZstdCompressor(1).compress((numbers & 0xFFFF).astype("<u2").tobytes() + high)
+
+
+def unpack(frame: bytes, n: int) -> np.ndarray:
+    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), "<u2")
+    low = halves[:n].astype(np.int64)
+    return low | (halves[n:].astype(np.int64) << 16) if len(halves) > n else low
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def copied(keys: pa.Array) -> pa.Array:
+    """Keys in memory of their own: a slice of a batch would keep all of it, texts too."""
+    return keys.take(pa.array(np.arange(len(keys))))
+
+
+def by_frequency(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes renumbered so that frequent ones are small, and the old code of each new one."""
+    order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")
+    place = np.empty(n, np.uint32)
+    place[order] = np.arange(n)
+    return place[codes], order
+
+
+class Words:
+    """Texts of a run, each the numbers of its words."""
 
     def __init__(self) -> None:
         self.number: defaultdict = defaultdict(count().__next__)
-        self.keys: list[pa.Array] = []
         self.codes: list[np.ndarray] = []
-        self.size = 0
 
-    def add(self, items: list) -> None:
-        self.codes.append(np.fromiter(map(self.number.__getitem__, items), np.uint32, len(items)))
+    def add(self, text: str | None) -> None:
+        found = words_of(text) if text else []
+        self.codes.append(np.fromiter(map(self.number.__getitem__, found), np.uint32, len(found)))
 
-    def closed(self, run: int, parts: Callable | None, items: pa.DataType, names: list[str]) -> pa.RecordBatch:
-        """One row: the items, and for each row how many it has and which, the frequent ones with small numbers."""
+    def closed(self, buckets: int) -> tuple[list[dict], np.ndarray, np.ndarray]:
+        """Frames of the words by bucket, the texts' lengths in words, and their codes, which are places."""
         lengths = np.array([len(c) for c in self.codes], np.int64)
         codes = np.concatenate([*self.codes, np.zeros(0, np.uint32)])
-        known = list(self.number)
-        if parts:
-            number: defaultdict = defaultdict(count().__next__)
-            split = [[number[p] for p in parts(w)] for w in known]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            flat = np.fromiter((p for s in split for p in s), np.uint32, int(sizes.sum()))
-            per = sizes[codes]
-            ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum(lengths)]
-            lengths = np.diff(ends, prepend=0)
-            codes = flat[ragged((np.cumsum(sizes) - sizes)[codes], per)]
-            known = list(number)
-        order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order))
-        packed = zstandard.ZstdCompressor(1).compress(place[codes].astype("<u4").tobytes())
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([run], pa.int64()), one(pa.array([known[k] for k in order.tolist()], items)),
-                one(pa.concat_arrays(self.keys)), one(pa.array(lengths)), pa.array([packed], pa.binary()),
-            ],
-            names,
-        )
+        known, self.codes = list(self.number), []
+        self.number.clear()
+        number: defaultdict = defaultdict(count().__next__)
+        flat, sizes = array("I"), array("I")
+        for w in known:
+            found = parts_of(w)
+            sizes.append(len(found))
+            flat.extend(map(number.__getitem__, found))
+        lengths, codes = expanded(codes, lengths, np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64))
+        words = list(number)
+        codes, order = by_frequency(codes, len(words))
+        by: defaultdict = defaultdict(list)
+        for place, k in enumerate(order.tolist()):
+            by[zlib.crc32(words[k].encode()) % buckets].append((words[k], place))
+        frames = []
+        for bucket, some in by.items():
+            some.sort()
+            text, places = zip(*some, strict=True)
+            frames.append({"bucket": bucket, "n": len(some), "words": squeeze("\n".join(text).encode()), "places": pack(np.array(places, np.uint32))})
+        return frames, lengths, codes
+
+
+class Ids:
+    """Lists of ids of a run, each id numbered."""
+
+    def __init__(self) -> None:
+        self.ids: list[np.ndarray] = []
+
+    def add(self, ids: list[int] | None) -> None:
+        self.ids.append(np.array(ids or [], np.uint32))
+
+    def closed(self, buckets: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        lengths = np.array([len(c) for c in self.ids], np.int64)
+        ids, codes = np.unique(np.concatenate([*self.ids, np.zeros(0, np.uint32)]), return_inverse=True)
+        codes, order = by_frequency(codes, len(ids))
+        return ids[order].tolist(), lengths, codes
 
 
 NAMES = ["run", "items", "keys", "lengths", "codes"]
+FRAME = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
 
 def runs(rows: DataFrame, key: str, value: str, of_text: bool) -> DataFrame:
-    """(run, items, keys, lengths, codes): texts by their words, or lists of ids by their ids, a run in a row."""
+    """(run, items, keys, lengths, codes), a run in a row: texts by their words, in frames, or lists of ids by their ids.
+
+    Stored in buckets and read again; the catalog forgets the table, its files stay in the shared folder.
+    """
+    spark = rows.sparkSession
     of = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value"))
-    item, arrow = (T.StringType(), pa.string()) if of_text else (T.IntegerType(), pa.int32())
+    kind, item, most = (Words, FRAME, RUN) if of_text else (Ids, T.IntegerType(), RUN_IDS)
+    buckets = min(2 * partitions(spark), MOST_BUCKETS)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType(
+        [T.StructField(n, t) for n, t in zip(NAMES, [T.LongType(), T.ArrayType(item), T.ArrayType(of.schema["key"].dataType), T.ArrayType(T.LongType()), T.BinaryType()], strict=True)]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def row(run: int, found: Words | Ids, keys: list[pa.Array]) -> pa.RecordBatch:
+        items, lengths, codes = found.closed(buckets)
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        columns = [
+            pa.array([run], pa.int64()), pa.array([items], arrow.field("items").type), one(pa.concat_arrays(keys)), one(pa.array(lengths)), pa.array([pack(codes)], pa.binary())
+        ]
+        return pa.RecordBatch.from_arrays(columns, NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, numbers, run = TaskContext.get().partitionId() << 32, count(), Run()
-        most = RUN if of_text else RUN_IDS
+        first, numbers, found, size = TaskContext.get().partitionId() << 32, count(), kind(), 0
+        keys: list[pa.Array] = []
         for b in batches:
             begun = 0
             for k, v in enumerate(b.column(1)):
-                v = v.as_py() or ()
-                if run.size and run.size + len(v) > most:
-                    run.keys.append(b.column(0).slice(begun, k - begun))
-                    begun = k
-                    yield run.closed(first | next(numbers), parts_of if of_text else None, arrow, NAMES)
-                    run = Run()
-                run.add(words_of(v) if of_text and v else v)
-                run.size += len(v) + 1
-            run.keys.append(b.column(0).slice(begun))
-        if run.size:
-            yield run.closed(first | next(numbers), parts_of if of_text else None, arrow, NAMES)
-
-    types = [T.LongType(), T.ArrayType(item), T.ArrayType(of.schema["key"].dataType), T.ArrayType(T.LongType()), T.BinaryType()]
-    return of.mapInArrow(work, T.StructType([T.StructField(n, t) for n, t in zip(NAMES, types, strict=True)]))
-
-
-def gathered(found: DataFrame, table: DataFrame, finish: Callable, fields: list[T.StructField]) -> DataFrame:
-    """(key, ...) of every row of the runs: ``table`` (item, ...) joined to the runs' items, and taken by position.
-
-    ``finish`` gets the columns of the items of a run in their places, the codes of
-    all rows and the lengths of each, and returns a column for each field.
-    """
-    columns = [c for c in table.columns if c != "item"]
-    places = found.select(F.col("run").alias("of"), F.posexplode("items").alias("place", "item")).join(table, "item").select("of", "place", *columns)
+                v = v.as_py()
+                n = len(v or ()) + 1
+                if size and size + n > most:
+                    keys.append(copied(b.column(0).slice(begun, k - begun)))
+                    yield row(first | next(numbers), found, keys)
+                    begun, found, size, keys = k, kind(), 0, []
+                    pa.default_memory_pool().release_unused()
+                found.add(v)
+                size += n
+            keys.append(copied(b.column(0).slice(begun)))
+        if size:
+            yield row(first | next(numbers), found, keys)
+
+    name, path = f"runs_{uuid.uuid4().hex}", new_folder(spark, "runs")
+    with freed(spark):
+        of.mapInArrow(work, schema).write.format("parquet").bucketBy(min(partitions(spark), MOST_BUCKETS), "run").option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    back._stored_at = path
+    return back
+
+
+def gathered(found: DataFrame, frames: DataFrame, finish: Callable, fields: list[T.StructField]) -> DataFrame:
+    """(key, ...) of every row of the runs: ``finish`` gets a run's frames (of, ...) in any order, and its rows' codes and lengths."""
+    schema = T.StructType([T.StructField("key", found.schema["keys"].dataType.elementType), *fields])
 
-    def work(rows: pa.Table, items: pa.Table) -> pa.Table:
-        items = items.sort_by("place").combine_chunks()
+    def work(rows: pa.Table, frames: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return out_type.empty_table()
+            raise ValueError("a run without documents")
         keys, lengths = rows.column("keys").combine_chunks().flatten(), rows.column("lengths").combine_chunks().flatten().to_numpy()
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(rows.column("codes")[0].as_py()), "<u4")
-        if len(codes) and int(codes.max()) >= items.num_rows:
-            raise ValueError("an item is not in the table")
-        got = finish([items.column(c).combine_chunks() for c in columns], codes, lengths)
-        return pa.Table.from_arrays([keys, *got], out_type.names)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType([T.StructField("key", found.schema["keys"].dataType.elementType), *fields])
-    out_type = to_arrow_schema(schema)
-    return found.groupBy("run").cogroup(places.groupBy("of")).applyInArrow(work, schema)
-
-
-def joined_text(texts: list[str], codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """For each row its items' texts, joined by one space."""
-    out, ends = [], np.cumsum(lengths)
-    for start, end in zip((ends - lengths).tolist(), ends.tolist(), strict=True):
-        out.append(" ".join(map(texts.__getitem__, codes[start:end].tolist())))
-    return pa.array(out, pa.string())
+        codes = unpack(rows.column("codes")[0].as_py(), int(lengths.sum()))
+        out = pa.Table.from_arrays([keys, *finish(frames, codes, lengths)], schema.names)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return found.select("run", "keys", "lengths", "codes").groupBy("run").cogroup(frames.groupBy("of")).applyInArrow(work, schema)
+
+
+def in_places(places: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """The order that puts items into their places, of which none may be missing."""
+    at = np.concatenate([*places, np.zeros(0, np.int64)])
+    order = np.argsort(at)
+    if not np.array_equal(at[order], np.arange(len(at))) or len(codes) and int(codes.max()) >= len(at):
+        raise ValueError("an item is not in the table")
+    return order
+
+
+def encoded_words(found: DataFrame, path: str) -> DataFrame:
+    """(of, n, places, sizes, ids): for each run and bucket the ids of its words; each distinct word of a bucket is encoded once."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        number: defaultdict = defaultdict(count().__next__)
+        codes = []
+        for data in rows.column("words"):
+            words = zstandard.ZstdDecompressor().decompress(data.as_py()).decode().split("\n")
+            codes.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        tokenizer, table, flat, sizes = tokenizer_of(path), list(number), array("I"), array("I")
+        for k in range(0, len(table), TOGETHER):
+            for e in tokenizer.encode_batch_fast(table[k : k + TOGETHER], add_special_tokens=False):
+                sizes.append(len(e.ids))
+                flat.extend(e.ids)
+        ids, size = np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64)
+        packed_sizes, packed_ids = [], []
+        for c in codes:
+            n, own = expanded(c, np.ones(len(c), np.int64), ids, size)
+            packed_sizes.append(pack(n))
+            packed_ids.append(pack(own))
+        return pa.table({"of": rows.column("run"), "n": rows.column("n"), "places": rows.column("places"), "sizes": pa.array(packed_sizes, pa.binary()), "ids": pa.array(packed_ids, pa.binary())})
+
+    frames = found.select("run", F.inline("items"))
+    return frames.groupBy("bucket").applyInArrow(work, "of long, n int, places binary, sizes binary, ids binary")
 
 
-def listed(parts: pa.Array, codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """For each row the lists of its items, one after the other."""
-    sizes = np.diff(parts.offsets.to_numpy()).astype(np.int64)
-    flat = parts.flatten().to_numpy()
-    ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(lengths)])]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[ragged((np.cumsum(sizes) - sizes)[codes], sizes[codes])], pa.int32()))
-
-
-def pieces(spark: SparkSession, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids) of every text."""
+
+    def finish(frames: pa.Table, codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        places, sizes, ids = [], [], []
+        for r in frames.to_pylist():
+            places.append(unpack(r["places"], r["n"]))
+            sizes.append(unpack(r["sizes"], r["n"]))
+            ids.append(unpack(r["ids"], int(sizes[-1].sum())).astype(np.int32))
+        order, size = in_places(places, codes), np.concatenate([*sizes, np.zeros(0, np.int64)])
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])[ragged((np.cumsum(size) - size)[order], size[order])]
+        n, own = expanded(codes, lengths, flat, size[order])
+        return [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(own, pa.int32()))]
+
+    found = runs(docs, key, text, True)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    out = gathered(found, encoded_words(found, path), finish, fields).withColumnRenamed("key", key)
+    out._stored_at = found._stored_at
+    return out
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(item, piece): the vocabulary, broadcast up to its bound."""
     known = sorted((i, p) for p, i in tokenizer_of(path).get_vocab(with_added_tokens=True).items())
     table = spark.createDataFrame(pa.table({"item": pa.array([i for i, _ in known], pa.int32()), "piece": [p for _, p in known]}))
     return F.broadcast(table) if len(known) <= BROADCAST else table
 
 
-def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, decoded): the text behind each list of ids, special tokens included; an unknown id is an error."""
-
-    def finish(columns: list[pa.Array], codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
-        item = pa.ListArray.from_arrays(pa.array(np.arange(len(columns[0]) + 1), pa.int32()), columns[0])
-        return [listed(item, codes, lengths), joined_text(columns[1].to_pylist(), codes, lengths)]
-
-    found = stored(runs(encoded, key, ids, False), "id-runs")
-    table = pieces(encoded.sparkSession, path).select("item", F.col("item").alias("id"), "piece")
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return gathered(found, table, finish, fields).withColumnRenamed("key", key)
-
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    """(of, n, places, items, lengths, text): the rows (of, place, item, piece) of a task, those of a run together and packed."""
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(item, ids) of each word of the table (item)."""
+    def frames(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by([("of", "ascending"), ("place", "ascending")]).combine_chunks()
+        run, place, item, text = (rows.column(c).combine_chunks() for c in ("of", "place", "item", "piece"))
+        run, place, item = run.to_numpy(), place.to_numpy(), item.to_numpy()
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+        out: list[tuple] = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            words = [t.encode() for t in text.slice(i, j - i).to_pylist()]
+            out.append((int(run[i]), j - i, pack(place[i:j]), pack(item[i:j]), pack(np.fromiter(map(len, words), np.int64, len(words))), squeeze(b"".join(words))))
+        types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["of", "n", "places", "items", "lengths", "text"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(path)
+        some: list[pa.RecordBatch] = []
         for b in batches:
-            for k in range(0, len(b), TOGETHER):
-                part = b.slice(k, TOGETHER).column(0)
-                found = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(found, pa.list_(pa.int32()))], ["item", "ids"])
+            some += [b] if len(b) else []
+            if sum(map(len, some)) >= PACKED_AT_ONCE:
+                yield frames(pa.Table.from_batches(some))
+                some = []
+        if some:
+            yield frames(pa.Table.from_batches(some))
 
-    return words.mapInArrow(work, "item string, ids array<int>")
+    return pieces.mapInArrow(work, "of long, n int, places binary, items binary, lengths binary, text binary")
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids, decoded): ids of every text, and the text that they decode to."""
-
-    def finish(columns: list[pa.Array], codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
-        ids, texts = columns
-        full = np.diff(ids.offsets.to_numpy()) > 0
-        if not full.all():  # a word without ids has no piece to be joined either
-            kept = full[codes]
-            lengths = np.diff(np.concatenate([[0], np.cumsum(kept)])[np.cumsum(lengths)], prepend=0)
-            codes = codes[kept]
-        lists = listed(ids, codes, lengths)
-        n = pa.array(np.diff(lists.offsets.to_numpy()), pa.int64())
-        return [n, lists, joined_text(texts.to_pylist(), codes, lengths)]
-
-    found = stored(runs(docs, key, text, True), "word-runs")
-    words = found.select(F.explode("items").alias("item")).distinct()
-    table = stored(decode(encode_words(words, path), path, key="item"), "words")
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return gathered(found, table, finish, fields).withColumnRenamed("key", key)
+def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, ids, decoded): the text behind each list of ids, special tokens included; an unknown id is an error.
+
+    Of a result of :func:`encode`, which it reads once, the files of its runs are deleted.
+    """
+
+    def finish(frames: pa.Table, codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        places, texts, items = [], [], []
+        for r in frames.to_pylist():
+            places.append(unpack(r["places"], r["n"]))
+            ends = np.cumsum(unpack(r["lengths"], r["n"])).tolist()
+            data = zstandard.ZstdDecompressor().decompress(r["text"])
+            texts += [data[i:j].decode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            items.append(unpack(r["items"], r["n"]).astype(np.int32))
+        order = in_places(places, codes)
+        table = [texts[k] for k in order.tolist()]
+        own = np.concatenate([*items, np.zeros(0, np.int32)])[order][codes] if len(codes) else np.zeros(0, np.int32)
+        ends = np.cumsum(lengths)
+        decoded = [" ".join(map(table.__getitem__, codes[i:j].tolist())) for i, j in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(own, pa.int32())), pa.array(decoded, pa.string())]
+
+    found = runs(encoded, key, ids, False)
+    forget(encoded)
+    each = found.select(F.col("run").alias("of"), F.posexplode("items").alias("place", "item"))
+    joined = each.join(vocabulary(encoded.sparkSession, path), "item").select("of", "place", "item", "piece")
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return gathered(found, packed_pieces(joined), finish, fields).withColumnRenamed("key", key)
