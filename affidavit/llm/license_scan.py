@@ -9,8 +9,9 @@ files, and a token of no template counts as one that no file holds.  A block can
 reach the threshold only if it shares one of a template's heavy tokens: the
 lightest ones that together stay below the threshold (by the Cauchy-Schwarz
 bound) aren't enough.  Of the blocks with a heavy token, each different one is
-looked at once, and only those leave their task in whose norm the templates'
-tokens have a large enough share (the same bound), so long texts don't.
+looked at once.  Only those are weighed that hold enough different tokens of one
+template, however they are weighted, and only those leave their task in whose norm the
+templates' tokens have a large enough share (the same bound), so long texts don't.
 
 A file has the licence of its best block.  A directory has the licence that most
 of its licence files have.  A file without a licence of its own gets that of the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import uuid
 from collections import Counter
 from collections.abc import Callable
@@ -130,7 +132,7 @@ ADDED = ("licence", "score", "licence_of", "own_licence")
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, with decimal parts, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN.replace("a-z", "A-Za-z")), F.lit(0)), lambda t: F.lower(t))
+    return F.regexp_extract_all(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(TOKEN), F.lit(0))
 
 
 def idf(n_files: int, n_with: int) -> float:
@@ -176,6 +178,33 @@ def any_of(words: list[str]) -> str:
     return f"(?i)(?<![a-z0-9])(?:{each or '(?!)'})(?![a-z0-9])"
 
 
+def enough_tokens(vectors: list[tuple[int, str, dict[str, float]]], least: float) -> list[tuple[list[str], int]]:
+    """For each template its tokens, and how many different ones of them a block needs at least to reach ``least`` with it."""
+    out = []
+    for _, _, w in vectors:
+        total, k = 0.0, 0
+        for x in sorted(w.values(), reverse=True):
+            if total >= least * least * (1 - 1e-9):
+                break
+            total, k = total + x * x, k + 1
+        out.append((sorted(w), k))
+    return out
+
+
+def may_share(block: Column, enough: list[tuple[list[str], int]]) -> Column:
+    """Whether a block holds enough different tokens of some template: a bound without weights, in built-in array functions."""
+    words = lambda ts: F.array(*[F.lit(t) for t in ts])
+    every = sorted({t for ts, _ in enough for t in ts})
+
+    def of(known: Column) -> Column:
+        found = F.lit(False)
+        for ts, k in enough:
+            found = found | (F.size(F.array_intersect(known, words(ts))) >= k)
+        return found
+
+    return bind(F.array_intersect(tokens(block), words(every)), of)
+
+
 def may_reach(block: Column, n: int, df: dict[str, int], least: float) -> Column:
     """Whether the templates' tokens have enough of a block's norm for any template to reach ``least`` (by Cauchy-Schwarz)."""
     weights = F.create_map(*[F.lit(x) for t, k in sorted(df.items()) for x in (t, idf(n, k))])
@@ -257,7 +286,8 @@ def license_scan(
     vectors = template_vectors(n, df, templates)
     needed = F.lit(any_of(heavy_tokens(vectors, least)))
     column = F.col(f"`{text}`")
-    good = lambda block: may_reach(block, n, df, least)
+    enough = enough_tokens(vectors, least)
+    good = lambda block: F.when(may_share(block, enough), may_reach(block, n, df, least)).otherwise(False)
     whole = F.coalesce(F.rlike(F.col(f"`{path}`"), F.lit(licence_file)), F.lit(False))
     holding = files.where(F.rlike(column, needed)).select(F.col(f"`{path}`").alias("p"), column.alias("t"), whole.alias("w"))
     found = stored(holding.select(F.col("p").alias("path"), F.explode(blocks(F.col("t"), F.col("w"), needed, good)).alias("line")), "lines")

@@ -23,7 +23,7 @@ always ends a token and is dropped, which is checked.
 Defined cases: a null text counts as empty and has the end id alone; a very long
 text is one frame, and its ids are in memory at once; null keys come first; rows
 that repeat a key stay, in the order of their frames; further columns play no
-part; an empty table gives a folder without shards.
+part; a key that is no number is an error; an empty table gives a folder without shards.
 """
 
 from __future__ import annotations
@@ -203,6 +203,8 @@ def write_tokens(
     ``path`` is the tokenizers file, at the same place on every machine.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, T.NumericType):
+        raise TypeError(f"shards are ranges of a numeric key, and {key} is none")
     data = train(docs, path, key, text, end_id)
     put(folder, "dictionary", lambda f: f.write(data))
     digest = hashlib.sha256(data).hexdigest()

@@ -84,7 +84,7 @@ def host_verdicts(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         .join(sent(table, len(rows)), "suffix")
         .where(F.startswith("path", "start"))
         .groupBy("url")
-        .agg(F.max(F.struct(F.length("suffix"), F.length("start"), "rule", "verdict")).alias("r"))
+        .agg(F.max(F.struct(F.length("rule"), "rule", "verdict")).alias("r"))
         .select("url", "r.rule", "r.verdict")
     )
 

@@ -103,6 +103,9 @@ def test_url_filter(spark):
     assert seen[4][2:] == ("org/fr/", "allow") and seen[5][2:] == (None, "block") and seen[6][2:] == ("example.com/de/", "block")
     assert seen[7] == ("", "", None, "allow") and seen[8][2:] == (None, "allow") and seen[9][2:] == (None, "block")
     assert url_filter.url_filter(pages.limit(0)).collect() == []
+    long = spark.createDataFrame([(1, "http://www.example.net/en/deeper/x" + "/y" * 100_000), (2, "http://www.example.net/en")], "page_id long, url string")
+    rules = [("example.net/", "block"), ("net/en/deeper/", "allow")]  # the longer rule wins, though its host is shorter
+    assert {r.page_id: r.rule for r in url_filter.url_filter(long, host_rules=rules).collect()} == {1: "net/en/deeper/", 2: "example.net/"}
 
 
 def test_license_scan(spark):
@@ -169,6 +172,11 @@ def test_token_store(spark, docs, empty):
     assert token_store.read_tokens(spark, folder).collect() == []
 
 
+def test_a_key_that_is_no_number_is_refused(spark, docs):
+    with pytest.raises(TypeError, match="numeric key"):
+        token_store.write_tokens(docs.withColumn("doc_id", F.col("doc_id").cast("string")), new_folder(spark, "tokens"), WORDS, end_id=1)
+
+
 def test_another_dictionary_is_refused(spark, docs):
     folder = new_folder(spark, "t")
     token_store.write_tokens(docs, folder, WORDS, end_id=1)
