@@ -87,8 +87,8 @@ def discover_names(texts: DataFrame, people: DataFrame, least: int = 2, order: s
     each round the names that come first among the undecided ones of both their words
     are taken, and all that share a word with them are left.
     """
-    at = F.struct(order, "k") if order else F.lit(0)
-    found = texts.select(*([order] if order else []), F.posexplode(F.regexp_extract_all("text", F.lit(NAME_PAIR), F.lit(0))).alias("k", "name"))
+    at = F.struct("of", "k") if order else F.lit(0)
+    found = texts.select((F.col(order) if order else F.lit(0)).alias("of"), F.posexplode(F.regexp_extract_all("text", F.lit(NAME_PAIR), F.lit(0))).alias("k", "name"))
     names = found.groupBy("name").agg(F.count("*").alias("n"), F.min(at).alias("at")).where(F.col("n") >= least)
     words = F.transform(F.split("name", r"(?U)\s+"), fold)
     bad = F.array(*[F.lit(w) for w in NOT_NAMES])

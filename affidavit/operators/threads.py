@@ -8,6 +8,7 @@ runs as an Arrow UDF over one message's lines.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,10 +32,6 @@ BOUNDARY = r"^(Sent|Gesendet|Skickat|Date):\s*(.+)$"
 IMAGE = r"(?im)\[Image removed by sender\]|\[cid:[^\]]*\]|Bild borttagen av avsändaren|^Image$"
 BANNER = r"(?im)^This email originated from outside of .*?report button\.\s*$"
 THREAD_META = r"(?m)^\s*(Messages in thread:\s*\d+|\*\*\*.*)$"
-BOILERPLATE = (
-    r"(?im)^\s*(If there is anything else you'd like to see in these update emails.*|Hereby the weekly update\."
-    r"|Plan better\. Sell more\. Waste less.*)$"
-)
 SIGNATURE = (
     r"(?i)^\s*(Kind regards|Best regards|Mit freundlichen Grüßen|Med vänliga hälsningar|Venliga hälsningar|Regards|Thanks|"
     r"Thank you|BR|Br|Best|Cheers|Hälsningar|Viele Grüße|Beste Grüße)[,.!]?\s*$"
@@ -48,7 +45,7 @@ CONTACT = (
     + ROLES + r")\b.*"
 )
 NOISE = re.compile(
-    r"^(?:" + CONTACT + r"|Plan better\..*|Image|\[image\]|UTC [+\-].*|.*\|\s*UTC.*|[A-ZÅÄÖ][\w\s.\-]*\d{3,}[\w\s.\-]*)$", re.I
+    r"^(?:" + CONTACT + r"|Image|\[image\]|UTC [+\-].*|.*\|\s*UTC.*|[A-ZÅÄÖ][\w\s.\-]*\d{3,}[\w\s.\-]*)$", re.I
 )
 FOLLOWER = re.compile(r"^(?:" + CONTACT + r"|.*\b\d{3}\s?\d{2}\b.*|.*\|.*UTC.*)$", re.I)
 TAIL, MOST_BELOW, SHARE_BELOW = 14, 10, 0.6
@@ -93,12 +90,16 @@ def split_people(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda p: p != "")
 
 
-def cut_signature(lines: list[str], names: list[bool]) -> list[str]:
-    """The lines of a body without salutation, signature and what trails; ``names`` tells lines that are a known name."""
+def cut_signature(lines: list[str], names: list[bool], phrases: re.Pattern | None = None) -> list[str]:
+    """The lines of a body without salutation, signature and what trails; ``names`` tells lines that are a known name.
+
+    ``phrases`` are further lines that count as noise at the end, as an organisation's slogan.
+    """
+    noise = lambda s: NOISE.match(s) or phrases and phrases.match(s)
     end = next((k for k, s in enumerate(lines) if re.match(SIGNATURE, s)), len(lines))
 
     def trimmed(end: int) -> int:
-        while end and (not lines[end - 1].strip() or names[end - 1] or NOISE.match(lines[end - 1].strip())):
+        while end and (not lines[end - 1].strip() or names[end - 1] or noise(lines[end - 1].strip())):
             end -= 1
         return end
 
@@ -113,13 +114,21 @@ def cut_signature(lines: list[str], names: list[bool]) -> list[str]:
     return lines[start:end]
 
 
-@F.pandas_udf(T.StringType())
-def _cut(lines: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(cut_signature(list(a), list(b))).strip() for a, b in zip(lines, names, strict=True)])
+def _cut(phrases: tuple[str, ...]) -> Callable:
+    more = re.compile(f"^(?:{'|'.join(phrases)})$", re.I) if phrases else None
+
+    @F.pandas_udf(T.StringType())
+    def cut(lines: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(cut_signature(list(a), list(b), more)).strip() for a, b in zip(lines, names, strict=True)])
 
+    return cut
 
-def clean_bodies(lines: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc_id, msg, text, n_images) of every message, empty ones too."""
+
+def clean_bodies(lines: DataFrame, aliases: DataFrame, phrases: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, msg, text, n_images) of every message, empty ones too.
+
+    ``phrases`` are patterns of whole lines that say nothing, as slogans and stock phrases of one corpus; such lines are emptied.
+    """
     bodies = lines.groupBy("doc_id", "msg").agg(
         F.array_sort(F.collect_list(F.when(F.col("role") == "body", F.struct("line", "raw")))).alias("rows")
     )
@@ -133,8 +142,9 @@ def clean_bodies(lines: DataFrame, aliases: DataFrame) -> DataFrame:
     named = resolve(each, "t", aliases, "who").groupBy("doc_id", "msg").agg(
         F.array_sort(F.collect_list(F.struct("k", (F.col("who").isNotNull() & (F.col("t") != "") & (n_words(F.col("t")) <= 4)).alias("is_name")))).alias("f")
     )
-    joined = bodies.join(named, ["doc_id", "msg"]).withColumn("cut", _cut("lines", F.transform("f", lambda x: x["is_name"])))
-    text = F.regexp_replace(F.regexp_replace("cut", BOILERPLATE, ""), r"\n{3,}", "\n\n")
+    joined = bodies.join(named, ["doc_id", "msg"]).withColumn("cut", _cut(phrases)("lines", F.transform("f", lambda x: x["is_name"])))
+    stock = rf"(?im)^\s*({'|'.join(phrases) or '(?!)'})$"
+    text = F.regexp_replace(F.regexp_replace("cut", stock, ""), r"\n{3,}", "\n\n")
     return joined.select("doc_id", "msg", F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"), "n_images")
 
 
@@ -148,7 +158,7 @@ def threads(files: DataFrame) -> DataFrame:
     )
 
 
-def thread_units(files: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
+def thread_units(files: DataFrame, people: DataFrame, aliases: DataFrame, phrases: tuple[str, ...] = ()) -> DataFrame:
     """Unit rows of all threads: stored newest first, numbered from the oldest; empty bodies are counted and left out."""
     docs = threads(files)
     lines = message_lines(docs)
@@ -156,7 +166,7 @@ def thread_units(files: DataFrame, people: DataFrame, aliases: DataFrame) -> Dat
     total = Window.partitionBy("doc_id")
     heads = heads.withColumn("total", F.max("msg").over(total)).withColumn("position", F.col("total") - F.col("msg") + 1)
     sent = header_date(F.coalesce("sent", F.lit("")))
-    msgs = heads.join(clean_bodies(lines, aliases), ["doc_id", "msg"]).where("text <> ''").withColumn("ts", sent)
+    msgs = heads.join(clean_bodies(lines, aliases, phrases), ["doc_id", "msg"]).where("text <> ''").withColumn("ts", sent)
     msgs = resolve(msgs, "from", aliases, "who").join(
         people.select(F.col("pid").alias("who"), F.col("display").alias("who_display"), F.col("org").alias("who_org")), "who", "left"
     )

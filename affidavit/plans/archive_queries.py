@@ -135,8 +135,9 @@ def call_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "idx", "speaker_raw", F.col("t").cast("int").alias("t"), "text")
 
 
-#: Sent at: 2025-03-03 08:00 and seven minutes for each turn, in the form of the header's language, which goes round by turn.
-SENT = F.expr("timestamp_ntz'2025-03-03 08:00:00' + make_interval(0, 0, 0, 0, 0, turn * 7)")
+def sent_at() -> Column:
+    """2025-03-03 08:00 and seven minutes for each turn."""
+    return F.expr("timestamp_ntz'2025-03-03 08:00:00' + make_interval(0, 0, 0, 0, 0, turn * 7)")
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     sender = of_role(F.col("role"), [f"{n} <{m}>" for _, n, _, m in SPEAKERS], "Somebody Else")
     other = of_role(F.col("role"), [SPEAKERS[1][1], SPEAKERS[0][1]], SPEAKERS[0][1])
     others = F.concat(other, F.lit("; Eva, the third <eva@x.example>"))
-    clock, hour = F.date_format(SENT, "HH:mm"), F.date_format(SENT, "h:mm a")
+    clock, hour = F.date_format(sent_at(), "HH:mm"), F.date_format(sent_at(), "h:mm a")
     english = F.concat_ws("\n", F.concat(F.lit("From: "), sender), F.concat(F.lit("Sent: Monday, March 3, 2025 "), hour), F.concat(F.lit("To: "), others), F.lit("Subject: RE: Chat"))
     german = F.concat_ws("\n", F.concat(F.lit("Von: "), sender), F.concat(F.lit("Gesendet: Montag, 3. März 2025 "), clock), F.concat(F.lit("An: "), others), F.lit("Betreff: AW: Chat"))
     swedish = F.concat_ws("\n", F.concat(F.lit("Från: "), sender), F.concat(F.lit("Skickat: den 3 mars 2025 "), clock), F.concat(F.lit("Till: "), others), F.lit("Ämne: SV: Chat"))
@@ -229,8 +230,12 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("doc_id", title.alias("title"), F.lit("to a MORON, from us").alias("subject"), F.array(F.lit("Moron"), F.lit("Moronov"), F.lit("A moron (x)")).alias("participants"), (F.col("doc_id") == "src1").alias("internal"))
 
 
-#: Citations by the rest of doc_id: a stretch of the unit with wider spaces, a unit that doesn't exist, words that it doesn't hold, an empty quote.
-QUOTE = F.when(F.col("seq") % 4 == 2, "qqqq zzzz xxxx jjjj vvvv").when(F.col("seq") % 4 == 3, "  ").otherwise(F.replace(F.substring("text", 11, 60), F.lit(" "), F.lit("\n ")))
+def quote() -> Column:
+    """Quotes by the rest of doc_id: a stretch of the unit with wider spaces, words that it doesn't hold, an empty one."""
+    stretch = F.replace(F.substring("text", 11, 60), F.lit(" "), F.lit("\n "))
+    return F.when(F.col("seq") % 4 == 2, "qqqq zzzz xxxx jjjj vvvv").when(F.col("seq") % 4 == 3, "  ").otherwise(stretch)
+
+
 CITED_SQL = f""",
 cited as (
     select unit_id, doc_id, date_text, text, redacted, seq, case seq % 4 when 2 then 'qqqq zzzz xxxx jjjj vvvv' when 3 then '  ' else replace(substr(text, 11, 60), ' ', chr(10) || ' ') end as quote,
@@ -243,7 +248,7 @@ checked as (
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.col("seq") % 4 == 1, F.concat(F.lit("no"), "unit_id")).otherwise(F.col("unit_id"))
-    return text_units(spark, sf_dir).select(unit.alias("unit_id"), "seq", QUOTE.alias("quote"))
+    return text_units(spark, sf_dir).select(unit.alias("unit_id"), "seq", quote().alias("quote"))
 
 
 @query(UNITS_SQL + CITED_SQL + """
@@ -263,7 +268,7 @@ def verify_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer for every ten documents: a claim on each, repeated citations, superseding units, gaps and abstentions."""
     unit = F.when(F.col("seq") % 4 == 1, F.concat(F.lit("no"), "unit_id")).otherwise(F.col("unit_id"))
-    one = F.struct(unit.alias("unit_id"), QUOTE.alias("quote"))
+    one = F.struct(unit.alias("unit_id"), quote().alias("quote"))
     citations = F.when(F.col("seq") % 10 == 7, F.array().cast("array<struct<unit_id:string,quote:string>>")).otherwise(F.array(one, one))
     status = F.when(F.col("seq") % 20 == 17, "not_in_archive").when(F.col("seq") % 3 == 0, "current").otherwise("superseded")
     over = F.when(F.col("seq") % 6 == 0, F.col("unit_id")).when(F.col("seq") % 6 == 1, "nowhere")

@@ -73,17 +73,17 @@ def range_fingerprints(rows: DataFrame, by: str, key: str, text: str, step: int
     return out.select(F.col("by").alias(by), F.substring("h", 1, 16).alias("fingerprint"))
 
 
-def build(spark: SparkSession, files: DataFrame, roster: DataFrame, orgs: dict[str, str] | None = None) -> Archive:
+def build(spark: SparkSession, files: DataFrame, roster: DataFrame, orgs: dict[str, str] | None = None, phrases: tuple[str, ...] = ()) -> Archive:
     """All tables from files (path, content) and a roster (pid, display, org, role, emails).
 
-    People come first, from the whole corpus, so that a name resolves wherever it stands.
+    ``phrases`` are lines of mails that say nothing (see ``threads.clean_bodies``).  People come first, from the whole corpus, so that a name resolves wherever it stands.
     """
     texts = files.select(F.col("content").alias("text"), "path")
     people = P.build_registry(roster.withColumn("mention_only", F.lit(False)), texts, orgs, order="path")
     aliases = P.alias_table(people)
     people = people.select(*[f.name for f in schemas.PEOPLE.fields])
     said = transcripts.transcript_units(files, people, aliases)
-    mailed = threads.thread_units(files, people, aliases)
+    mailed = threads.thread_units(files, people, aliases, phrases)
     units = said.unionByName(mailed).select(*[F.col(f.name).cast(f.dataType) for f in schemas.UNITS.fields])
     counts = said.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_units"))
     none = F.lit(None)

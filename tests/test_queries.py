@@ -218,3 +218,13 @@ def test_fingerprints_of_keys_far_apart(spark):
     assert len(first) == 3 and first == again and corpus.range_fingerprints(df, "by", "k", "t").count() == 3
     other = df.where("t is null or t <> 't1'")
     assert corpus.range_fingerprints(other, "by", "k", "t").where("by = 'a'").first().fingerprint != first["a"]
+
+
+def test_stock_phrases_of_a_corpus_are_its_callers(spark):
+    from affidavit.operators import people, threads
+
+    body = "From: A B\nSent: Monday, March 3, 2025 9:05 AM\nTo: C\n\nBuy more today.\nThe price is 5.\nBuy more today.\n"
+    files = spark.createDataFrame([("emails/01_x.txt", body)], "path string, content string")
+    nobody = people.with_aliases(spark.createDataFrame([], "pid string, display string, org string, role string, emails array<string>, mention_only boolean"))
+    text = lambda *phrases: threads.thread_units(files, nobody, people.alias_table(nobody), phrases).first().text
+    assert text() == "Buy more today.\nThe price is 5.\nBuy more today." and text(r"Buy more.*") == "The price is 5."
