@@ -1,7 +1,5 @@
 """BPE with word ends, encoded through a table of distinct words and decoded through a join with the vocabulary.
 
-Encoding:
-
 1. Texts are split into words where they are read: at white space, and words of
    Latin letters, digits and common punctuation also where the tokenizer's own
    pattern cuts them.  A *run* is some documents of a task (``RUN`` characters):
@@ -10,12 +8,13 @@ Encoding:
 2. The runs' words meet in buckets by their hash, those of a run and bucket packed
    in one frame.  A bucket's words are made distinct, and each is encoded once, by
    the tokenizers library.
-3. Ids come back to their run by its number and the words' places in it, and the
-   run's documents take theirs by position.
+3. The distinct words' ids are joined with the vocabulary (id, piece), a broadcast
+   of at most ``BROADCAST`` entries, which decodes each word once.
+4. Ids and pieces come back to their run by its number and the words' places in it,
+   and the run's documents take theirs by position.
 
-Decoding takes ids in the same way: runs of lists of ids keep each id once, these
-are joined with the vocabulary (id, piece), broadcast up to ``BROADCAST`` entries, and
-pieces come back to their run and by position to its lists.
+:func:`decode` takes lists of ids from anywhere in the same way: runs of them keep
+each id once, these are joined with the vocabulary, and pieces come back by position.
 
 A frequent word is one word of each run that has it, so no bucket is hot; runs are
 of about equal size, and there are more buckets where there are more partitions.
@@ -55,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, freed, new_folder, partitions
+from .common import freed, new_folder, partitions
 
 #: Characters and ids of a run, words that the library gets at once, entries up to which a vocabulary is broadcast, and buckets at most.
 RUN, RUN_IDS, TOGETHER, BROADCAST, MOST_BUCKETS = 10 << 20, 3 << 20, 4096, 1 << 20, 100_000
@@ -250,7 +249,6 @@ def runs(rows: DataFrame, key: str, value: str, of_text: bool) -> DataFrame:
         of.mapInArrow(work, schema).write.format("parquet").bucketBy(min(partitions(spark), MOST_BUCKETS), "run").option("path", path).saveAsTable(name)
     back = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
-    back._stored_at = path
     return back
 
 
@@ -279,58 +277,124 @@ def in_places(places: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
     return order
 
 
+SIZES, IDS, FRAMES = 0, 1, 2
+
+
 def encoded_words(found: DataFrame, path: str) -> DataFrame:
-    """(of, n, places, sizes, ids): for each run and bucket the ids of its words; each distinct word of a bucket is encoded once."""
+    """(of, n, places, sizes, ids, lengths, text): for each run and bucket the ids of its words and what they decode to.
+
+    A bucket's distinct words are a table: first the numbers of their ids, then the
+    ids, which are joined with the vocabulary row by row, then the runs' frames, as
+    numbers of its words.  The join is a broadcast one, so rows stay in their order, and
+    each distinct word is encoded and decoded once.
+    """
 
-    def work(rows: pa.Table) -> pa.Table:
+    def table(rows: pa.Table) -> pa.Table:
         number: defaultdict = defaultdict(count().__next__)
         codes = []
         for data in rows.column("words"):
             words = zstandard.ZstdDecompressor().decompress(data.as_py()).decode().split("\n")
-            codes.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        tokenizer, table, flat, sizes = tokenizer_of(path), list(number), array("I"), array("I")
-        for k in range(0, len(table), TOGETHER):
-            for e in tokenizer.encode_batch_fast(table[k : k + TOGETHER], add_special_tokens=False):
+            codes.append(pack(np.fromiter(map(number.__getitem__, words), np.uint32, len(words))))
+        tokenizer, words, flat, sizes = tokenizer_of(path), list(number), array("I"), array("I")
+        for k in range(0, len(words), TOGETHER):
+            for e in tokenizer.encode_batch_fast(words[k : k + TOGETHER], add_special_tokens=False):
                 sizes.append(len(e.ids))
                 flat.extend(e.ids)
-        ids, size = np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64)
-        packed_sizes, packed_ids = [], []
-        for c in codes:
-            n, own = expanded(c, np.ones(len(c), np.int64), ids, size)
-            packed_sizes.append(pack(n))
-            packed_ids.append(pack(own))
-        return pa.table({"of": rows.column("run"), "n": rows.column("n"), "places": rows.column("places"), "sizes": pa.array(packed_sizes, pa.binary()), "ids": pa.array(packed_ids, pa.binary())})
-
-    frames = found.select("run", F.inline("items"))
-    return frames.groupBy("bucket").applyInArrow(work, "of long, n int, places binary, sizes binary, ids binary")
+        lists = [flat[k : k + TOGETHER].tolist() for k in range(0, len(flat), TOGETHER)]
+        m, runs_, ns, places = len(lists), rows.column("run").to_pylist(), rows.column("n").to_pylist(), rows.column("places").to_pylist()
+        return pa.table(
+            {
+                "kind": pa.array([SIZES, *[IDS] * m, *[FRAMES] * len(codes)], pa.int32()), "of": pa.array([None] * (m + 1) + runs_, pa.int64()),
+                "n": pa.array([len(words), *[None] * m, *ns], pa.int32()), "places": pa.array([None] * (m + 1) + places, pa.binary()),
+                "numbers": pa.array([pack(np.frombuffer(sizes, np.uint32)), *[None] * m, *codes], pa.binary()),
+                "list": pa.array([None, *lists, *[None] * len(codes)], pa.list_(pa.int32())),
+            }
+        )
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, ids, pieces = np.zeros(0, np.int64), [], []
+        texts: list[bytes] | None = None
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(kind)]
+            out: list[tuple] = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(i, j - i)
+                if not j - i:
+                    continue
+                if kind[i] == SIZES:
+                    sizes, ids, pieces, texts = unpack(part.column("numbers")[-1].as_py(), part.column("n")[-1].as_py()), [], [], None
+                elif kind[i] == IDS:
+                    ids.append(part.column("id").to_numpy())
+                    pieces += part.column("piece").to_pylist()
+                else:
+                    if texts is None:
+                        flat, ends = np.concatenate([*ids, np.zeros(0, np.int32)]), np.cumsum(sizes).tolist()
+                        texts = [" ".join(pieces[x:y]).encode() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+                    for of, n, places, numbers in zip(*(part.column(c).to_pylist() for c in ("of", "n", "places", "numbers")), strict=True):
+                        codes = unpack(numbers, n)
+                        per, own = expanded(codes, np.ones(n, np.int64), flat, sizes)
+                        words = [texts[k] for k in codes.tolist()]
+                        out.append((of, n, places, pack(per), pack(own), pack(np.fromiter(map(len, words), np.int64, n)), squeeze(b"".join(words))))
+            if out:
+                types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ENCODED)
+
+    rows = found.select("run", F.inline("items")).groupBy("bucket").applyInArrow(table, "kind int, of long, n int, places binary, numbers binary, list array<int>")
+    each = rows.select("kind", "of", "n", "places", "numbers", F.explode_outer("list").alias("id"))
+    known = vocabulary(found.sparkSession, path).withColumnRenamed("item", "id")
+    joined = each.join(F.broadcast(known), "id", "left").select("kind", "of", "n", "places", "numbers", "id", "piece")
+    return joined.mapInArrow(frames, "of long, n int, places binary, sizes binary, ids binary, lengths binary, text binary")
+
+
+ENCODED = ["of", "n", "places", "sizes", "ids", "lengths", "text"]
+
+
+def texts_of(frame: dict) -> list[str]:
+    """The texts of a packed row, by their lengths in bytes."""
+    ends = np.cumsum(unpack(frame["lengths"], frame["n"])).tolist()
+    data = zstandard.ZstdDecompressor().decompress(frame["text"])
+    return [data[i:j].decode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def joined_texts(table: list[str], codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """For each row its items' texts, joined by one space."""
+    ends = np.cumsum(lengths)
+    return pa.array([" ".join(map(table.__getitem__, codes[i:j].tolist())) for i, j in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], pa.string())
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids) of every text."""
+    """(key, n_tokens, ids, decoded): the ids of every text, and the text that they decode to."""
 
     def finish(frames: pa.Table, codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
-        places, sizes, ids = [], [], []
+        places, sizes, ids, texts = [], [], [], []
         for r in frames.to_pylist():
             places.append(unpack(r["places"], r["n"]))
             sizes.append(unpack(r["sizes"], r["n"]))
             ids.append(unpack(r["ids"], int(sizes[-1].sum())).astype(np.int32))
+            texts += texts_of(r)
         order, size = in_places(places, codes), np.concatenate([*sizes, np.zeros(0, np.int64)])
         flat = np.concatenate([*ids, np.zeros(0, np.int32)])[ragged((np.cumsum(size) - size)[order], size[order])]
-        n, own = expanded(codes, lengths, flat, size[order])
-        return [pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(own, pa.int32()))]
+        size = size[order]
+        if not size.all():  # a word without ids has no piece to be joined either
+            kept = size[codes] > 0
+            lengths = np.diff(np.concatenate([[0], np.cumsum(kept)])[np.cumsum(lengths)], prepend=0)
+            codes = codes[kept]
+        n, own = expanded(codes, lengths, flat, size)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(own, pa.int32()))
+        return [pa.array(n, pa.int64()), lists, joined_texts([texts[k] for k in order.tolist()], codes, lengths)]
 
     found = runs(docs, key, text, True)
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    out = gathered(found, encoded_words(found, path), finish, fields).withColumnRenamed("key", key)
-    out._stored_at = found._stored_at
-    return out
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return gathered(found, encoded_words(found, path), finish, fields).withColumnRenamed("key", key)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(item, piece): the vocabulary, broadcast up to its bound."""
+    """(item, piece): the vocabulary, to be broadcast; of more than ``BROADCAST`` entries it is refused."""
     known = sorted((i, p) for p, i in tokenizer_of(path).get_vocab(with_added_tokens=True).items())
-    table = spark.createDataFrame(pa.table({"item": pa.array([i for i, _ in known], pa.int32()), "piece": [p for _, p in known]}))
-    return F.broadcast(table) if len(known) <= BROADCAST else table
+    if len(known) > BROADCAST:
+        raise ValueError(f"{len(known)} entries are too many to be broadcast")
+    return spark.createDataFrame(pa.table({"item": pa.array([i for i, _ in known], pa.int32()), "piece": [p for _, p in known]}))
 
 
 def packed_pieces(pieces: DataFrame) -> DataFrame:
@@ -362,29 +426,21 @@ def packed_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, decoded): the text behind each list of ids, special tokens included; an unknown id is an error.
-
-    Of a result of :func:`encode`, which it reads once, the files of its runs are deleted.
-    """
+    """(key, ids, decoded): the text behind lists of ids from anywhere, special tokens included; an unknown id is an error."""
 
     def finish(frames: pa.Table, codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
         places, texts, items = [], [], []
         for r in frames.to_pylist():
             places.append(unpack(r["places"], r["n"]))
-            ends = np.cumsum(unpack(r["lengths"], r["n"])).tolist()
-            data = zstandard.ZstdDecompressor().decompress(r["text"])
-            texts += [data[i:j].decode() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            texts += texts_of(r)
             items.append(unpack(r["items"], r["n"]).astype(np.int32))
         order = in_places(places, codes)
-        table = [texts[k] for k in order.tolist()]
         own = np.concatenate([*items, np.zeros(0, np.int32)])[order][codes] if len(codes) else np.zeros(0, np.int32)
-        ends = np.cumsum(lengths)
-        decoded = [" ".join(map(table.__getitem__, codes[i:j].tolist())) for i, j in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-        return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(own, pa.int32())), pa.array(decoded, pa.string())]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(own, pa.int32()))
+        return [lists, joined_texts([texts[k] for k in order.tolist()], codes, lengths)]
 
     found = runs(encoded, key, ids, False)
-    forget(encoded)
     each = found.select(F.col("run").alias("of"), F.posexplode("items").alias("place", "item"))
-    joined = each.join(vocabulary(encoded.sparkSession, path), "item").select("of", "place", "item", "piece")
+    joined = each.join(F.broadcast(vocabulary(encoded.sparkSession, path)), "item").select("of", "place", "item", "piece")
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return gathered(found, packed_pieces(joined), finish, fields).withColumnRenamed("key", key)
