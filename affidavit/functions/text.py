@@ -100,7 +100,7 @@ def token_letters() -> tuple[str, str]:
 
 
 #: A stop word or single character as a whole token, or else a token as the only group.
-_WORTH = "(?:(?:{}|[a-zà-ÿß0-9×])(?![a-zà-ÿß0-9_.%×-])|([a-zà-ÿß0-9×][a-zà-ÿß0-9_.%×-]*))".format("|".join(sorted({w.lower() for w in STOP_WORDS if len(w) > 1 and w == w.lower()})))
+TOKEN_PATTERN = "(?:(?:{}|[a-zà-ÿß0-9×])(?![a-zà-ÿß0-9_.%×-])|([a-zà-ÿß0-9×][a-zà-ÿß0-9_.%×-]*))".format("|".join(sorted({w.lower() for w in STOP_WORDS if len(w) > 1 and w == w.lower()})))
 
 
 def tokenize(text: Column, trimmed: bool = False) -> Column:
@@ -111,7 +111,7 @@ def tokenize(text: Column, trimmed: bool = False) -> Column:
     """
     small = F.translate(text, *token_letters())
     if not trimmed:
-        return F.array_remove(F.regexp_extract_all(small, F.lit(_WORTH), F.lit(1)), "")
+        return F.array_remove(F.regexp_extract_all(small, F.lit(TOKEN_PATTERN), F.lit(1)), "")
     found = F.transform(F.regexp_extract_all(small, F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, "[_.-]+$", ""))
     stop, longest = F.array(*[F.lit(w) for w in STOP_WORDS]), max(map(len, STOP_WORDS))
     return F.filter(found, lambda t: (F.length(t) > longest) | (F.length(t) > 1) & ~F.array_contains(stop, t))

@@ -120,3 +120,14 @@ def test_figures_of_a_text_that_is_full_of_them(spark):
     text = " and ".join(f"{k % 100} % of {k}k" for k in range(3000))
     found = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(F.explode(X.figures(F.col("t"))).alias("f")).select("f.*").collect()
     assert len(found) == 6000 and all(text[r.start : r.stop].strip() == r.figure for r in found)
+
+
+def test_ranking_from_sql(spark, tmp_path):
+    from affidavit.operators import sql_functions
+
+    units = made(spark, 120).where("unit_id is not null").withColumns({"speaker": F.lit("p"), "ts": F.lit(None).cast("timestamp_ntz")})
+    people = spark.createDataFrame([("p", "P Q", ["P"], ["p@x.example"])], "pid string, display string, aliases array<string>, emails array<string>")
+    found = build(units, f"{tmp_path}/index")
+    assert "rank_units" in sql_functions.register(units, units.select("doc_id").distinct(), people, found)
+    for query, k in (("Rare w1", 5), ("w0 w0 the nowhere", 12), ("nowhere", 3)):
+        assert listed(spark.sql(f"select * from rank_units('{query}', {k})")) == listed(found.search(query, k))
