@@ -118,11 +118,12 @@ def tokenize(text: Column, trimmed: bool = False) -> Column:
 
 
 _TOKEN, _STOP, _END = re.compile(TOKEN), frozenset(STOP_WORDS), re.compile("[_.-]+$")
+_SMALL = str.maketrans(*token_letters())
 
 
 def tokens_of(text: str, trimmed: bool = False) -> list[str]:
     """The tokens of :func:`tokenize`, of a Python string."""
-    found = _TOKEN.findall(text.translate(dict(zip(map(ord, token_letters()[0]), token_letters()[1], strict=True))))
+    found = _TOKEN.findall(text.lower() if text.isascii() else text.translate(_SMALL))
     if trimmed:
         found = [_END.sub("", t) for t in found]
     return [t for t in found if len(t) > 1 and t not in _STOP]

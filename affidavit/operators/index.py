@@ -27,6 +27,8 @@ folder is the caller's to delete.
 from __future__ import annotations
 
 import json
+import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,12 +43,15 @@ from ..sources.store import exists, mark_of
 from .search import ORDER, live
 
 K1, B = 1.5, 0.75
-#: Places of a block, folders of tokens, parts of a folder while it is built, and blocks that are scored first.
-SPAN, BUCKETS, SLICES, FIRST = 512, 64, 8, 16
+#: Places of a block, parts of a folder while it is built, and blocks that are scored first.
+SPAN, SLICES, FIRST = 512, 8, 16
+#: Units for each folder of tokens, and folders at least and at most.
+FOLDER, LEAST_FOLDERS, MOST_FOLDERS = 1 << 16, 8, 4096
 
 
 def bucket_of(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+    """The folder of a token, by a hash that the driver knows too."""
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -79,16 +84,11 @@ class TextIndex:
         if not times:
             return {}
         found = self.of(self.table("terms"), times).select("token", "df").collect()
-        n = self.meta.n
-        idf = self.spark.createDataFrame([(r.token, times[r.token], r.df) for r in found], "token string, times int, df long").select(
-            "token", (F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")
-        )
-        return {r.token: r.w for r in idf.collect()} if found else {}
+        return {r.token: times[r.token] * math.log(1 + (self.meta.n - r.df + 0.5) / (r.df + 0.5)) for r in found}
 
     def of(self, table: DataFrame, tokens: dict[str, float] | Counter) -> DataFrame:
         """The rows of some tokens: their buckets are the only folders that are read."""
-        names = self.spark.createDataFrame([(t,) for t in tokens], "t string")
-        buckets = {r[0] for r in names.select(bucket_of(F.col("t"), self.meta.buckets)).collect()}
+        buckets = {zlib.crc32(t.encode()) % self.meta.buckets for t in tokens}
         return table.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*tokens))
 
     def scores(self, rows: DataFrame) -> DataFrame:
@@ -137,11 +137,16 @@ class TextIndex:
 
 
 def build(
-    units: DataFrame, folder: str, k1: float = K1, b: float = B, trimmed: bool = False, buckets: int = BUCKETS, mark: str = ""
+    units: DataFrame, folder: str, k1: float = K1, b: float = B, trimmed: bool = False, buckets: int | None = None, mark: str = ""
 ) -> TextIndex:
-    """Writes the index of the live units; ``meta`` comes last, so a folder without it is not whole."""
+    """Writes the index of the live units; ``meta`` comes last, so a folder without it is not whole.
+
+    ``buckets`` are the folders of tokens; None takes one for every FOLDER units.
+    """
     spark = units.sparkSession
     of = live(units).select("unit_id", *ORDER, "text")
+    if of.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a table of few files, as a small one is
+        of = of.repartition(spark.sparkContext.defaultParallelism)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +161,7 @@ def build(
     cut.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/units")
     stored = spark.read.parquet(f"{folder}/units")
     n, avgdl = stored.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    buckets = buckets or min(max(n // FOLDER, LEAST_FOLDERS), MOST_FOLDERS)
     each = stored.select("place", "length", F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(
         bucket_of(F.col("x.tokens"), buckets).alias("bucket"), F.col("x.tokens").alias("token"), F.floor(F.col("place") / SPAN).alias("block"),
         F.struct("place", F.col("x.counts").alias("count"), "length").alias("p"),

@@ -56,7 +56,7 @@ def ranking(index: TextIndex) -> tuple[str, str]:
             SELECT u.unit_id, u.doc_id, u.seq, h.score, row_number() OVER (ORDER BY h.score DESC, u.doc_id, u.seq) AS place_of FROM (
                 SELECT x.places AS place, round(sum(w * x.counts * {m.k1 + 1} / (x.counts + {m.k1} * (1 - {m.b} + {m.b} * x.lengths / {m.avgdl or 1.0}))), 4) AS score FROM (
                     SELECT q.times * ln(1 + ({m.n} - t.df + 0.5D) / (t.df + 0.5D)) AS w, explode(arrays_zip(p.places, p.counts, p.lengths)) AS x
-                    FROM (SELECT token, pmod(xxhash64(token), {m.buckets}) AS bucket, count(*) AS times FROM (SELECT explode({tokens}) AS token) GROUP BY token) q
+                    FROM (SELECT token, pmod(crc32(CAST(token AS BINARY)), {m.buckets}) AS bucket, count(*) AS times FROM (SELECT explode({tokens}) AS token) GROUP BY token) q
                     JOIN index_terms t ON t.bucket = q.bucket AND t.token = q.token JOIN index_postings p ON p.bucket = q.bucket AND p.token = q.token
                 ) GROUP BY x.places
             ) h JOIN index_units u ON u.place = h.place WHERE h.score > 0
