@@ -212,6 +212,8 @@ class Lines(HTMLParser):
     def depths(self, kind: int) -> np.ndarray:
         """For each element how many of it and those around it are marked in a way."""
         out = [int(k == kind) for k in self.aside]
+        if kind not in self.aside:
+            return np.array(out)
         for e in range(1, len(out)):
             out[e] += out[self.parents[e]]
         return np.array(out)
@@ -258,7 +260,8 @@ def main_text(page: str | None, clustered: bool = True) -> str:
         return ""
     size = np.array([len(t) for t, _, _ in parser.lines], float)
     tags = np.array([k for _, k, _ in parser.lines])
-    lines = _unlost(parser, lines, elements, named, size / np.maximum(1, tags))
+    if MARKED in parser.aside:
+        lines = _unlost(parser, lines, elements, named, size / np.maximum(1, tags))
     seen = lines[~named[lines]]
     ratio = smoothed(size[lines] / np.maximum(1, tags[lines]))
     content = np.zeros(len(size), bool)
