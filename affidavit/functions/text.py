@@ -74,6 +74,12 @@ def norm(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def capitals(text: Column) -> Column:
+    """Text in capitals letter by letter, so as long as before: ß becomes ẞ, and a letter whose capital form is several stays."""
+    each = lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "ß", "ẞ"))
+    return F.array_join(F.transform(F.split(text, ""), each), "")
+
+
 def fold(text: Column) -> Column:
     """Key for comparing names whatever their case, marks and white space."""
     return norm(plain(text))

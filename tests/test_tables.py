@@ -31,3 +31,16 @@ def test_a_thread_goes_on_over_midnight(spark, tmp_path, name):
     rows += [(9, k, "user", "Weeks later.") for k in (0, 6000, 6001, 6002)]
     got = same(spark, tmp_path, name, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert name != "mail_units" or {r.date_text[:10] for r in got} == {"2025-03-03", "2025-03-04", "2025-04-01"}
+
+
+DOCS, LABELS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality long, toxic long"
+
+
+@pytest.mark.parametrize("text, toxic, verdict", [
+    ("Die Größe der Straße hieß Fuß\nund Maß, aber ŉ ﬁ stehen weiter hinten im Text dieses Falles", 0, "VERIFIED"),
+    ("This one is withheld but its words are asked for alone", 1, "VERIFIED"), ("Too short", 0, "FAILED"), (None, 0, "FAILED"),
+])
+def test_a_quote_in_capitals(spark, tmp_path, text, toxic, verdict):
+    docs = spark.createDataFrame([(8, text, "de", "src1", 0), (18, "Another text", "en", "src2", 0)], DOCS)
+    labels = spark.createDataFrame([(8, 1, toxic)], LABELS)
+    assert [r.verdict for r in same(spark, tmp_path, "verify_quote", documents=docs, labels=labels)] == [verdict]
