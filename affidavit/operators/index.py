@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,13 @@ from .search import ORDER, live
 K1, B = 1.5, 0.75
 #: Places of a block, parts of a folder while it is built, and blocks that are scored first.
 SPAN, SLICES, FIRST = 512, 8, 16
+#: Bytes of texts that are cut into tokens at a time; a longer text is one such piece.
+AT_ONCE = 1 << 20
+#: Columns of folders that have no file if there is no token.
+SCHEMAS = {
+    "postings": "token string, block long, most double, places array<long>, counts array<int>, lengths array<int>, bucket int",
+    "terms": "token string, df long, cf long, bucket int",
+}
 #: Units for each folder of tokens, and folders at least and at most.
 FOLDER, LEAST_FOLDERS, MOST_FOLDERS = 1 << 16, 8, 4096
 
@@ -54,6 +62,37 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{name}")
+
+
+def pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in stretches of at most AT_ONCE bytes in a column of texts, or of one row."""
+    first, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if k > first and held + n > AT_ONCE:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def counted(batches: Iterator[pa.RecordBatch], names: list[str], trimmed: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows whose fourth column is a text, with its tokens, their counts and its length instead; no more than a piece is in work."""
+    for batch in batches:
+        for piece in pieces(batch, 3):
+            tokens, counts, lengths = [], [], []
+            for t in piece.column(3).to_pylist():
+                c = Counter(tokens_of(t or "", trimmed))
+                tokens.append(list(c))
+                counts.append(list(c.values()))
+                lengths.append(None if t is None else c.total())
+            lists = [pa.array(tokens, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:3], *lists], names)
+
+
 @dataclass(frozen=True)
 class Meta:
     n: int
@@ -72,7 +111,7 @@ class TextIndex:
     meta: Meta
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return read(self.spark, self.folder, name)
 
     def terms(self) -> DataFrame:
         """(token, df, cf): every token, the units that hold it and how often they do."""
@@ -148,16 +187,9 @@ def build(
     if of.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a table of few files, as a small one is
         of = of.repartition(spark.sparkContext.defaultParallelism)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            counts = [Counter(tokens_of(t or "", trimmed)) for t in texts]
-            lists = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists, pa.array([None if t is None else c.total() for t, c in zip(texts, counts, strict=True)], pa.int32())], names)
-
     names = ["unit_id", *ORDER, "tokens", "counts", "length"]
     extra = [("tokens", T.ArrayType(T.StringType())), ("counts", T.ArrayType(T.IntegerType())), ("length", T.IntegerType())]
-    cut = of.mapInArrow(work, T.StructType([*of.schema.fields[:3], *[T.StructField(n, t) for n, t in extra]]))
+    cut = of.mapInArrow(lambda batches: counted(batches, names, trimmed), T.StructType([*of.schema.fields[:3], *[T.StructField(n, t) for n, t in extra]]))
     cut.withColumn("place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/units")
     stored = spark.read.parquet(f"{folder}/units")
     n, avgdl = stored.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
@@ -173,7 +205,7 @@ def build(
         "token", "block", "most", F.col("p.place").alias("places"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), "bucket"
     )
     postings.sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    sums = spark.read.parquet(f"{folder}/postings").select(
+    sums = read(spark, folder, "postings").select(
         "bucket", "token", F.size("places").cast("long").alias("df"), F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + c).alias("cf")
     )
     terms = sums.groupBy("bucket", "token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))

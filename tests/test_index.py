@@ -131,3 +131,27 @@ def test_ranking_from_sql(spark, tmp_path):
     assert "rank_units" in sql_functions.register(units, units.select("doc_id").distinct(), people, found)
     for query, k in (("Rare w1", 5), ("w0 w0 the nowhere", 12), ("nowhere", 3)):
         assert listed(spark.sql(f"select * from rank_units('{query}', {k})")) == listed(found.search(query, k))
+
+
+def test_a_batch_of_texts_is_never_counted_whole():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from affidavit.operators.index import counted
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(300)) if k % 7 else None for k in range(4000)]
+    keys = pa.array(range(len(texts)))
+    names = ["unit_id", "doc_id", "seq", "tokens", "counts", "length"]
+    tracemalloc.start()
+    n = 0
+    for out in counted(iter([pa.RecordBatch.from_arrays([keys, keys, keys, pa.array(texts)], [*names[:3], "text"])]), names):
+        for row in out.slice(0, 1).to_pylist():
+            text = texts[row["unit_id"]]
+            assert row["tokens"] == (text or "").split() and row["length"] == (text and 300)
+        n += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 40e6  # at once it is above 150 MB
