@@ -125,6 +125,7 @@ def tokenize(text: Column, trimmed: bool = False) -> Column:
 
 _TOKEN, _STOP, _END = re.compile(TOKEN), frozenset(STOP_WORDS), re.compile("[_.-]+$")
 _SMALL = str.maketrans(*token_letters())
+_IN_TOKEN = r"A-Za-zÀ-ÿ0-9_\-.%"
 
 
 def tokens_of(text: str, trimmed: bool = False) -> list[str]:
@@ -135,6 +136,15 @@ def tokens_of(text: str, trimmed: bool = False) -> list[str]:
     return [t for t in found if len(t) > 1 and t not in _STOP]
 
 
+def shares_token(text: Column, topic: str) -> Column:
+    """Whether a text has a token of a topic: a run of token characters that, from its first letter or digit on, is one."""
+    words = sorted(set(tokens_of(topic)))
+    if not words:
+        return F.lit(False)
+    run = f"(?:^|[^{_IN_TOKEN}])[_.%-]*(?:{'|'.join(map(re.escape, words))})(?![{_IN_TOKEN}])"
+    return F.rlike(F.translate(text, *token_letters()), F.lit(run))
+
+
 def figures(text: Column) -> Column:
     """Figures in order as structs (figure, start, stop); places count from 0.
 

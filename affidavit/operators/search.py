@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIGURE, figures, tokenize
+from ..functions.text import FIGURE, figures, shares_token, tokenize
 
 if TYPE_CHECKING:
     from .index import TextIndex
@@ -105,7 +105,10 @@ def search_exact(units: DataFrame, pattern: str, regex: bool = False, limit: int
 
 def list_figures(units: DataFrame, topic: str | None = None, most: int | None = 60) -> DataFrame:
     """One line for each figure, oldest first: date, figure, source and context."""
-    found = find_figures(units, topic).orderBy(*chronological(), "n")
+    found = find_figures(units, topic)
+    if most is None:  # a sort of all rows looks at them twice, so they are dealt out first and their figures found once
+        found = found.repartition("unit_id")
+    found = found.orderBy(*chronological(), "n")
     line = F.concat_ws(" | ", F.coalesce(F.substring("date_text", 1, 10), F.lit("undated")), "figure", F.concat(F.lit("["), "unit_id", F.lit("]")), "context")
     shown = found.select("unit_id", "n", line.alias("line"))
     return shown.limit(most) if most is not None else shown
@@ -194,7 +197,7 @@ def find_figures(units: DataFrame, topic: str | None = None, context: int = 110)
     """
     at = live(units)
     if topic:
-        at = at.where(F.arrays_overlap(tokenize(F.col("text")), tokenize(F.lit(topic))))
+        at = at.where(shares_token(F.col("text"), topic))
     found = at.where(F.rlike("text", F.lit(FIGURE))).select("*", F.posexplode_outer(figures(F.col("text"))).alias("n", "f")).where("f is not null")
     first = F.greatest(F.col("f.start") - context, F.lit(0))
     cut = F.substring(F.col("text"), first + 1, F.col("f.stop") - first + context)

@@ -46,6 +46,31 @@ def test_a_quote_in_capitals(spark, tmp_path, text, toxic, verdict):
     assert [r.verdict for r in same(spark, tmp_path, "verify_quote", documents=docs, labels=labels)] == [verdict]
 
 
+def test_topics_are_told_as_tokens_are(spark):
+    from affidavit.functions import text as X
+
+    texts = ["the tion", "tions", "station", "tion.", ".tion", "_-%tion, so", "a.tion", "é.tion", "étion", "TION", "ÉTÉ", "été.", "x-tion", "1tion", "tion%", "", None, "a b", "ing…", "…ing", "\ning\n", "5%", "C++", "a.b", "axb", "(a.b)"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for topic in ("Tion ing erst", "été", "the a", "", "5% a.b", "tion."):
+        want = X.F.arrays_overlap(X.tokenize(X.F.col("text")), X.tokenize(X.F.lit(topic)))
+        rows = df.select("text", X.F.coalesce(want, X.F.lit(False)), X.F.coalesce(X.shares_token(X.F.col("text"), topic), X.F.lit(False))).collect()
+        assert [r for r in rows if r[1] != r[2]] == []
+
+
+def test_figures_are_found_once_for_a_sorted_list(spark, tmp_path):
+    import re
+
+    from affidavit.operators import search
+
+    units = spark.createDataFrame([(k, "d", k, f"{k} days and {k} %", None, False) for k in range(200)], "unit_id long, doc_id string, seq int, text string, date_text string, redacted boolean")
+    units.write.parquet(f"{tmp_path}/units")
+    lines = search.list_figures(spark.read.parquet(f"{tmp_path}/units"), None, None)
+    assert [r.unit_id for r in lines.collect()] == [k for k in range(200) for _ in range(2)]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")]  # a plan is printed from its root on
+    assert "rangepartitioning" in above and re.search("hashpartitioning|Exchange hash", above)
+
+
 def test_a_repeated_citation_meets_its_text_once(spark, monkeypatch):
     from affidavit.operators import verify
 
