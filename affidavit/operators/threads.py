@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,9 +117,11 @@ def cut_signature(lines: list[str], names: list[bool], phrases: re.Pattern | Non
 def _cut(phrases: tuple[str, ...]) -> Callable:
     more = re.compile(f"^(?:{'|'.join(phrases)})$", re.I) if phrases else None
 
-    @F.pandas_udf(T.StringType())
-    def cut(lines: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(cut_signature(list(a), list(b), more)).strip() for a, b in zip(lines, names, strict=True)])
+    @F.arrow_udf(T.StringType())
+    def cut(lines: pa.Array, names: pa.Array) -> pa.Array:
+        # lists are made one by one, as a batch has thousands of messages
+        each = zip((a.as_py() for a in lines), (b.as_py() for b in names), strict=True)
+        return pa.array(["\n".join(cut_signature(a, b, more)).strip() for a, b in each], pa.string())
 
     return cut
 

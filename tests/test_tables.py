@@ -106,3 +106,19 @@ def test_far_quotes_are_not_compared_letter_by_letter(monkeypatch):
     text = "some prose of a few words that goes on and on " * 50
     assert window_ratio("qqqq zzzz xxxx jjjj vvvv", text, CLOSE) < CLOSE and not made
     assert window_ratio("of a few words that goes of", text, CLOSE) == window_ratio("of a few words that goes of", text)
+
+
+def test_signatures_are_cut_without_a_second_copy_of_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from affidavit.operators import threads
+
+    lines = pa.array([[f"line {k} of message {i} that says something" for k in range(20)] + ["Best regards,", "Ursula Quist"] for i in range(3000)])
+    names = pa.array([[False] * 22] * 3000)
+    tracemalloc.start()
+    out = threads._cut(()).func(lines, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[7].as_py().endswith("line 19 of message 7 that says something") and peak < 15e6
